@@ -1,0 +1 @@
+"""corepick.streaming"""
