@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from corepick.llm import bpe, chat
+from corepick.llm import bpe, chat, langid, quality
 
 QUERIES = {
     "op3_bpe_rank_array": bpe.op3_bpe_rank_array,
     "op5_chat_parts": chat.op5_chat_parts,
+    "op7_line_frequency": quality.op7_line_frequency,
+    "op8_rank_order_langid": langid.op8_rank_order_langid,
 }
 
 SQL = {
     "op5_chat_parts": chat.OP5_SQL,
+    "op7_line_frequency": quality.OP7_SQL,
 }
