@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corepick.llm import bpe, chat, langid, quality
+from corepick.llm import bpe, chat, langid, near, quality
 
 QUERIES = {
+    "op1_order_minhash": near.op1_order_minhash,
     "op3_bpe_rank_array": bpe.op3_bpe_rank_array,
     "op5_chat_parts": chat.op5_chat_parts,
     "op7_line_frequency": quality.op7_line_frequency,
