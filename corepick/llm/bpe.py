@@ -1,9 +1,10 @@
 """BPE encoding and decoding with a contiguous rank array per short word.
 
-A word is held as two parallel lists: the ids of its parts (their boundaries lie between neighbours) and the merge rank of
+A word is held as two contiguous rows: the ids of its parts (their boundaries lie between neighbours) and the merge rank of
 each adjacent pair. One step scans the ranks for the leftmost minimum, deletes that boundary and refreshes the ranks left
-and right of it. Words of more than ``LONG_WORD`` parts keep the same state in linked lists and find the minimum through a
-heap, which gives the same merges without a quadratic scan.
+and right of it. The new words of some texts take these steps side by side as the rows of numpy matrices; words once met
+are kept, up to ``CACHED`` of them. Words of more than ``LONG_WORD`` bytes keep the same state in linked lists and find the
+minimum through a heap, which gives the same merges without a quadratic scan.
 
 Nulls: a null text is encoded as the empty one, null ids decode to the empty text. Repeated rows, clashing extra columns
 and empty tables need no care, since one column is added to each row and nothing is shuffled.
@@ -18,6 +19,7 @@ import re
 import sys
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,8 +32,11 @@ from corepick.llm.common import table
 #: White space in the sense of the tokenizer's patterns: Unicode's White_Space property.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LONG_WORD = 256
-CACHED_CHUNKS = 1 << 18
-NO_MERGE = 1 << 60
+CACHED = 1 << 18
+CHARS_AT_ONCE = 1 << 20
+NO_MERGE = np.int32(np.iinfo(np.int32).max)
+#: Characters that are neither letters, digits nor white space, without the apostrophe.
+PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 def byte_alphabet() -> list[str]:
@@ -65,13 +70,18 @@ class WordBpe:
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in chain(vocab.items(), self.added.items())}
-        self.inner = [vocab.get(c) for c in byte_alphabet()]
-        self.final = [vocab.get(c + suffix) for c in byte_alphabet()]
-        self.rank, self.merged = {}, []
+        self.inner = np.array([vocab[c] for c in byte_alphabet()], np.int32)
+        self.final = np.array([vocab[c + suffix] for c in byte_alphabet()], np.int32)
+        self.rank, merged = {}, []
         for n, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank[vocab[a], vocab[b]] = n
-            self.merged.append(vocab[a + b])
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            self.rank[vocab[left] << 32 | vocab[right]] = n
+            merged.append(vocab[left + right])
+        keys = np.fromiter(self.rank.keys(), np.int64, len(self.rank))
+        order = np.argsort(keys)
+        #: The same ranks as sorted arrays; the last key is above all others.
+        self.keys, self.ranks = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.fromiter(self.rank.values(), np.int32, len(self.rank))[order], NO_MERGE)
+        self.merged = np.array(merged, np.int32)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         for short, wide in (("\\p{L}", unicode_class("L")), ("\\p{N}", unicode_class("N")), ("\\s", WHITE)):
             pattern = pattern.replace(short, wide)  # in such files all of them stand within brackets
@@ -79,53 +89,116 @@ class WordBpe:
         self.chunks = re.compile(f"[^{WHITE}]+").findall
         self.specials = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> array:
-        out = array("i")
-        pieces = self.specials.split(text) if self.specials and any(t in text for t in self.added) else [text]
-        for k, piece in enumerate(pieces):
-            if k % 2:
-                out.append(self.added[piece])
-                continue
-            chunks = self.chunks(piece)
-            for c in {*chunks}.difference(self.cache):
-                self.cache[c] = tuple(self._chunk(c))
-            out.extend(chain.from_iterable(map(self.cache.__getitem__, chunks)))
-            if len(self.cache) > CACHED_CHUNKS:
-                self.cache.clear()
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[array]:
+        """ids of each text; the words that are new in any of them are merged together."""
+        pieces = [self.specials.split(t) if self.specials and any(a in t for a in self.added) else [t] for t in texts]
+        chunks = [[self.chunks(p) for p in ps[::2]] for ps in pieces]
+        self._learn({c for cs in chunks for x in cs for c in x}.difference(self.cache))
+        out = []
+        for ps, cs in zip(pieces, chunks):
+            ids = array("i")
+            for k, x in enumerate(cs):
+                if k:
+                    ids.append(self.added[ps[2 * k - 1]])
+                ids.extend(chain.from_iterable(map(self.cache.__getitem__, x)))
+            out.append(ids)
+        for kept in (self.cache, self.words):
+            if len(kept) > CACHED:
+                kept.clear()
         return out
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space, as the library does for a file without a decoder; unknown ids give nothing."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        try:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
-    def _chunk(self, chunk: str) -> list[int]:
+    def _split(self, chunk: str) -> list[str]:
+        """The words of a text without white space: most often letters with punctuation behind, which needs no pattern."""
         chunk = unicodedata.normalize("NFC", chunk)
-        lower = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
-        return [i for w in self.word(lower) for i in self._word(w.encode())]
-
-    def _word(self, word: bytes) -> list[int]:
-        parts = [*(self.inner[b] for b in word[:-1]), self.final[word[-1]]]
-        return self._scan(parts) if len(parts) <= LONG_WORD else self._heap(parts)
-
-    def _scan(self, parts: list[int]) -> list[int]:
-        rank = self.rank
-        ranks = [rank.get(p, NO_MERGE) for p in zip(parts, parts[1:])]
-        while ranks and (least := min(ranks)) != NO_MERGE:
-            at = ranks.index(least)
-            parts[at] = self.merged[least]
-            del parts[at + 1], ranks[at]
-            if at:
-                ranks[at - 1] = rank.get((parts[at - 1], parts[at]), NO_MERGE)
-            if at < len(ranks):
-                ranks[at] = rank.get((parts[at], parts[at + 1]), NO_MERGE)
-        return parts
-
-    def _heap(self, parts: list[int]) -> list[int]:
+        chunk = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
+        body = chunk.rstrip(PUNCTUATION)
+        if body.isalpha():
+            return [body, chunk[len(body) :]] if len(body) < len(chunk) else [body]
+        return self.word(chunk)
+
+    def _learn(self, chunks: set[str]) -> None:
+        split = {c: self._split(c) for c in chunks}
+        new = list({w for ws in split.values() for w in ws}.difference(self.words))
+        self.words.update(zip(new, self._merge([w.encode() for w in new])))
+        words = self.words
+        self.cache.update((c, words[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(words.__getitem__, ws)))) for c, ws in split.items())
+
+    def _merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        out: list[tuple[int, ...]] = [()] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        least = 0
+        for most in (8, 12, 16, 24, 48, 96, LONG_WORD):
+            at = np.flatnonzero((lengths > least) & (lengths <= most))
+            for k in range(0, len(at), 1 << 14):
+                some = at[k : k + (1 << 14)].tolist()
+                for i, ids in zip(some, self._scan([words[i] for i in some])):
+                    out[i] = ids
+            least = most
+        for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+            out[i] = tuple(self._heap(words[i]))
+        return out
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, pair)
+        return np.where(self.keys[at] == pair, self.ranks[at], NO_MERGE)
+
+    def _scan(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Words of up to LONG_WORD bytes side by side, a row of part ids and a row of ranks each."""
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(count.max())
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+        rows = np.arange(len(words))
+        parts = self.inner[raw]
+        parts[rows, count - 1] = self.final[raw[rows, count - 1]]
+        place = np.arange(width)
+        ranks = np.full((len(words), width), NO_MERGE, np.int32)
+        if width > 1:
+            inside = place[1:] < count[:, None]
+            ranks[:, :-1][inside] = self._rank_of(parts[:, :-1][inside], parts[:, 1:][inside])
+        out: list[tuple[int, ...]] = [()] * len(words)
+        while True:
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(rows)), at]
+            done = least == NO_MERGE
+            if done.any():
+                for i, n, ids in zip(rows[done].tolist(), count[done].tolist(), parts[done].tolist()):
+                    out[i] = tuple(ids[:n])
+                if done.all():
+                    return out
+                going = ~done
+                rows, count, parts, ranks, at, least = (x[going] for x in (rows, count, parts, ranks, at, least))
+            r = np.arange(len(rows))
+            parts[r, at] = self.merged[least]
+            # the boundary behind the merged part goes: what follows moves up by one place
+            source = np.minimum(place + (place > at[:, None]), width - 1)
+            parts = np.take_along_axis(parts, source, 1)
+            ranks = np.take_along_axis(ranks, np.minimum(place + (place >= at[:, None]), width - 1), 1)
+            count = count - 1
+            before = at > 0
+            ranks[r[before], at[before] - 1] = self._rank_of(parts[r[before], at[before] - 1], parts[r[before], at[before]])
+            after = at + 1 < count
+            ranks[r[after], at[after]] = self._rank_of(parts[r[after], at[after]], parts[r[after], at[after] + 1])
+            ranks[r[~after], at[~after]] = NO_MERGE
+
+    def _heap(self, word: bytes) -> list[int]:
+        parts = [*self.inner[list(word[:-1])].tolist(), int(self.final[word[-1]])]
         rank, n = self.rank, len(parts)
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         alive = [True] * n
-        pair_rank = lambda i: rank.get((parts[i], parts[after[i]])) if after[i] < n else None
+        pair_rank = lambda i: rank.get(parts[i] << 32 | parts[after[i]]) if after[i] < n else None
         heap = [(r, i) for i in range(n - 1) if (r := pair_rank(i)) is not None]
         heapq.heapify(heap)
         while heap:
@@ -133,7 +206,7 @@ class WordBpe:
             if not alive[i] or pair_rank(i) != r:
                 continue
             gone = after[i]
-            parts[i], alive[gone], after[i] = self.merged[r], False, after[gone]
+            parts[i], alive[gone], after[i] = int(self.merged[r]), False, after[gone]
             if after[i] < n:
                 before[after[i]] = i
             for j in (before[i], i):
@@ -142,6 +215,19 @@ class WordBpe:
         return [p for p, keep in zip(parts, alive) if keep]
 
 
+def slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in lists of about CHARS_AT_ONCE characters."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t.as_py() or "")
+        size += len(some[-1])
+        if size > CHARS_AT_ONCE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 _LOADED: dict[str, WordBpe] = {}
 
 
@@ -159,9 +245,10 @@ class BpeTokenizer:
 
         def run(texts: pa.Array) -> pa.Array:
             bpe, flat, ends = _model(key, spec), array("i"), [0]
-            for t in texts:
-                flat.extend(bpe.encode(t.as_py() or ""))
-                ends.append(len(flat))
+            for some in slices(texts):
+                for ids in bpe.encode_many(some):
+                    flat.extend(ids)
+                    ends.append(len(flat))
             values = pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32))
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
@@ -173,8 +260,9 @@ class BpeTokenizer:
         spec, key = self.spec, self.key
 
         def run(rows: pa.Array) -> pa.Array:
-            bpe = _model(key, spec)
-            return pa.array([bpe.decode(r.values.to_numpy(zero_copy_only=False).tolist() if r.is_valid else ()) for r in rows], pa.string())
+            bpe, ids, ends = _model(key, spec), rows.flatten(), np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            texts = (bpe.decode(ids.slice(a, n).to_numpy(zero_copy_only=False).tolist()) for a, n in zip([0, *ends], np.diff([0, *ends]).tolist()))
+            return pa.array(texts, pa.string())
 
         run.__annotations__ = {"rows": pa.Array, "return": pa.Array}
         return F.arrow_udf(run, "string")(ids)
