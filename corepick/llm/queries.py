@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corepick.llm import bpe, chat, langid, near, quality
+from corepick.llm import bpe, chat, langid, near, quality, suffix
 
 QUERIES = {
     "op1_order_minhash": near.op1_order_minhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_chat_parts": chat.op5_chat_parts,
     "op7_line_frequency": quality.op7_line_frequency,
     "op8_rank_order_langid": langid.op8_rank_order_langid,
+    "op10_suffix_array_dedup": suffix.op10_suffix_array_dedup,
 }
 
 SQL = {
