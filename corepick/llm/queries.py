@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corepick.llm import bpe, chat, langid, near, quality, suffix
+from corepick.llm import bpe, chat, decontaminate, langid, near, quality, suffix
 
 QUERIES = {
     "op1_order_minhash": near.op1_order_minhash,
+    "op2_spaced_seeds": decontaminate.op2_spaced_seeds,
     "op3_bpe_rank_array": bpe.op3_bpe_rank_array,
     "op5_chat_parts": chat.op5_chat_parts,
     "op7_line_frequency": quality.op7_line_frequency,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_spaced_seeds": decontaminate.OP2_SQL,
     "op5_chat_parts": chat.OP5_SQL,
     "op7_line_frequency": quality.OP7_SQL,
 }
