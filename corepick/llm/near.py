@@ -3,13 +3,16 @@
 A text is the sequence of its words; its k-mers are windows of ``K`` words, each labelled with how many times it occurred
 before. For each of ``KEYS`` hash functions the ``PICKS`` labelled k-mers of least hash are taken and kept in text order;
 their sequence is one key, so two texts share a key if they hold the same k-mers in the same order. Texts that share a key
-are candidates; a link needs at most ``1 - similarity`` edits (words put in, taken out or changed) per word of the longer text.
+are candidates if ``AGREE`` of the KEYS hash functions also have the same least k-mer in both, which texts that share no more
+than a passage rarely do. A link needs at most ``1 - similarity`` edits (words put in, taken out or changed) per word of the
+longer text.
 
 Equal texts are one vertex. Groups are the connected parts of the links, and pairs that are in one group already need no
 check. So each text is first checked against the first text of its buckets only; then, in the buckets whose texts are still
-in different groups, the pairs across groups are checked, all of them. No link between groups is lost, and a group of many
-copies costs one check a copy. The joins are on the key, with length as part of the condition; a hot key is split by
-adaptive skew handling.
+in different groups, the candidates across groups are checked, all of them. No link between groups is lost, and a group of
+many copies costs one check a copy. Keys that occur once are dropped before texts are joined on them; the second join is on
+the key and one least k-mer, which splits the bucket of a passage that many texts share. Length and agreement are part of
+the join conditions, and a hot key is split by adaptive skew handling.
 
 Nulls: a null text counts as an empty one, and empty texts are equal texts. A text of fewer than K words is one k-mer. A
 null id is allowed; the class id is the least id of the group, null if all are null. Repeated rows are documents of their
@@ -23,7 +26,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corepick.llm.align import edits_within
@@ -34,7 +37,10 @@ K = 5
 PICKS = 2
 KEYS = 16
 SIMILARITY = 0.8
+#: Hash functions of KEYS whose least k-mers must be the same in both texts of a candidate pair.
+AGREE = 3
 BROADCAST_IDS = 500_000
+BROADCAST_KEYS = 2_000_000
 WORDS_AT_ONCE = 1 << 18
 CACHED_WORDS = 1 << 18
 #: A position within its text takes the lower bits of a 64-bit hash; longer texts than this differ in nothing but ties.
@@ -58,8 +64,9 @@ class WordHashes(dict):
         return h
 
 
-def sketch(texts: list[list[int]], k: int = K, picks: int = PICKS, keys: int = KEYS) -> np.ndarray:
-    """Keys of texts given as lists of word hashes, none of them empty: an array of ``len(texts)`` by ``keys``."""
+def sketch(texts: list[list[int]], k: int = K, picks: int = PICKS, keys: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts given as lists of word hashes, none of them empty: the keys, and 32 bits of the k-mer of least hash for each
+    hash function. Both are arrays of ``len(texts)`` by ``keys``."""
     lengths = np.array([len(t) for t in texts])
     flat = np.fromiter((h for t in texts for h in t), np.uint64, int(lengths.sum()))
     kmers = np.maximum(1, lengths - k + 1)
@@ -81,7 +88,7 @@ def sketch(texts: list[list[int]], k: int = K, picks: int = PICKS, keys: int = K
     gram = mix(gram + label * np.uint64(0xD6E8FEB86659FD93))
     low = np.uint64((1 << int(PLACE_BITS)) - 1)
     bits, full = place.astype(np.uint64) & low, np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = np.empty((len(texts), keys), np.uint64)
+    out, least_of = np.empty((len(texts), keys), np.uint64), np.empty((len(texts), keys), np.uint32)
     for j in range(keys):
         value = (mix(gram ^ mix(np.array([j + 1], np.uint64))) & ~low) | bits
         chosen = []
@@ -96,17 +103,20 @@ def sketch(texts: list[list[int]], k: int = K, picks: int = PICKS, keys: int = K
             there = at.astype(np.int64) < kmers
             key = mix(key * np.uint64(31) + np.where(there, gram[np.minimum(starts + np.where(there, at, 0).astype(np.int64), len(gram) - 1)], full))
         out[:, j] = key
-    return out
+        least_of[:, j] = gram[starts + chosen[0].astype(np.int64)].astype(np.uint32)
+    return out, least_of
 
 
 def _sketch_batch(texts: pa.Array) -> pa.Array:
     cache = WordHashes()
-    lengths, keys, pending, size = [], [], [], 0
+    lengths, keys, mins, pending, size = [], [], [], [], 0
 
     def flush():
         nonlocal pending, size
         if pending:
-            keys.append(sketch(pending))
+            k, m = sketch(pending)
+            keys.append(k.ravel())
+            mins.append(m.ravel())
         pending, size = [], 0
 
     for t in texts:
@@ -119,9 +129,8 @@ def _sketch_batch(texts: pa.Array) -> pa.Array:
             flush()
     flush()
     ends = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64) > 0) * KEYS])
-    flat = np.concatenate([k.ravel() for k in keys]).view(np.int64) if keys else np.empty(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-    return pa.StructArray.from_arrays([pa.array(lengths, pa.int32()), lists], ["n", "keys"])
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(c).view(t) if c else np.empty(0, t))) for c, t in ((keys, np.int64), (mins, np.int32))]
+    return pa.StructArray.from_arrays([pa.array(lengths, pa.int32()), *lists], ["n", "keys", "mins"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -149,27 +158,34 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return both.mapInArrow(align, "a binary, b binary")
 
 
-def similar_lengths(n: str, m: str, similarity: float = SIMILARITY):
-    return F.least(F.col(n), F.col(m)) >= similarity * F.greatest(F.col(n), F.col(m)) - F.lit(1e-6)
+def promising(a: str, b: str, similarity: float) -> Column:
+    """Whether two sketches allow a link: lengths that are near enough, and AGREE least k-mers in common."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    same = F.filter(F.zip_with(f"{a}.mins", f"{b}.mins", lambda x, y: x == y), lambda x: x)
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - F.lit(1e-6)) & (F.size(same) >= AGREE)
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """For ``docs(id, text)``: ``rows(id, tid)``, one per document, and ``groups(v, root)`` of the text ids that have links."""
     docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", text_id(F.col("text")))
-    udf = F.arrow_udf(_sketch_batch, "n int, keys array<long>")
+    udf = F.arrow_udf(_sketch_batch, "n int, keys array<long>, mins array<int>")
     rows = cut(docs.select("id", "tid", udf(F.col("text")).alias("s")))
-    texts = rows.groupBy("tid").agg(F.first("s").alias("s"))
-    members = texts.select("tid", "s.n", F.explode("s.keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("tid", "n")).alias("p")).filter("size > 1")
-    shared = cut(members.join(buckets.select("key", F.col("p.tid").alias("pivot"), F.col("p.n").alias("pn")), "key"))
-    pairs = cut(shared.filter((F.col("tid") != F.col("pivot")) & similar_lengths("n", "pn", similarity)).select(F.col("tid").alias("a"), F.col("pivot").alias("b")).distinct())
+    texts = cut(rows.groupBy("tid").agg(F.first("s").alias("s")))
+    twice = cut(texts.select(F.explode("s.keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"))
+    members = texts.select("tid", F.struct("s.n", "s.mins").alias("s"), F.explode("s.keys").alias("key"))
+    members = members.join(F.broadcast(twice) if fits(twice, BROADCAST_KEYS) else twice, "key", "left_semi")
+    pivots = members.groupBy("key").agg(F.min(F.struct("tid", "s")).alias("p")).select("key", F.col("p.tid").alias("pivot"), F.col("p.s").alias("ps"))
+    shared = cut(members.join(pivots, "key"))
+    pairs = cut(shared.filter((F.col("tid") != F.col("pivot")) & promising("s", "ps", similarity)).select(F.col("tid").alias("a"), F.col("pivot").alias("b")).distinct())
     links = cut(verified(pairs, docs, similarity))
     groups = connected_groups(links)
     known = shared.join(groups.select(F.col("v").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     mixed = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    rest = cut(known.join(mixed, "key").filter(F.col("tid") != F.col("pivot")).select("key", "tid", "n", "root"))
-    other = rest.select("key", F.col("tid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    across = rest.join(other, "key").filter((F.col("root") < F.col("other")) & similar_lengths("n", "m", similarity))
+    rest = known.join(mixed, "key").filter(F.col("tid") != F.col("pivot")).select("key", "tid", "s", "root")
+    # a pair needs least k-mers in common, so it meets where one of them is; a common passage alone rarely gives that
+    rest = cut(rest.select("*", F.posexplode("s.mins").alias("slot", "least")))
+    other = rest.select("key", "slot", "least", F.col("tid").alias("b"), F.col("s").alias("os"), F.col("root").alias("other"))
+    across = rest.join(other, ["key", "slot", "least"]).filter((F.col("root") < F.col("other")) & promising("s", "os", similarity))
     across = cut(across.select(F.least("tid", "b").alias("a"), F.greatest("tid", "b").alias("b")).distinct())
     if not across.isEmpty():
         more = cut(verified(across, docs, similarity))
