@@ -30,6 +30,7 @@ def blocked(left: DataFrame, right: DataFrame, work: Callable, schema: str, by_l
     sizes = [max(1, -(-df.count() // block)) for df in (left, right)]
     of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # new names for columns that both may come from
     a = left.withColumn("lb", of(sizes[0])).withColumn("rb", every(sizes[1]))
     b = right.withColumn("rb", of(sizes[1])).withColumn("lb", every(sizes[0]))
     keys = ["lb", "rb", "label"] if by_label else ["lb", "rb"]

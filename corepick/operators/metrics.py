@@ -54,7 +54,7 @@ def summary_table(results: DataFrame, ratios: list[float], metric: str = "balanc
     for r in ratios:
         tag = f"r{round(r * 10000):04d}bp"
         mean, std = F.col(f"`{r}_mean`"), F.col(f"`{r}_std`")
-        out += [mean.alias(f"{tag}_mean"), std.alias(f"{tag}_std"), F.when(mean.isNotNull(), F.format_string("%.1f±%.1f", mean, F.coalesce(std, F.lit(0.0)))).alias(f"{tag}_text")]
+        out += [mean.alias(f"{tag}_mean"), std.alias(f"{tag}_std"), F.when(mean.isNotNull(), F.format_string("%.1f±%.1f", F.round(mean, 1), F.round(F.coalesce(std, F.lit(0.0)), 1))).alias(f"{tag}_text")]
     return stats.select(*out)
 
 
