@@ -241,31 +241,45 @@ class BpeTokenizer:
 
     def encode(self, text: Column) -> Column:
         """ids, ``array<int>`` and never null."""
-        spec, key = self.spec, self.key
+        return F.arrow_udf(self._with(_encoded), "array<int>")(text)
+
+    def round_trip(self, text: Column) -> Column:
+        """``struct<ids, decoded>``: the ids and the text decoded from them, in one pass of the worker."""
 
-        def run(texts: pa.Array) -> pa.Array:
-            bpe, flat, ends = _model(key, spec), array("i"), [0]
-            for some in slices(texts):
-                for ids in bpe.encode_many(some):
-                    flat.extend(ids)
-                    ends.append(len(flat))
-            values = pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32))
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        def both(bpe: WordBpe, texts: pa.Array) -> pa.Array:
+            ids = _encoded(bpe, texts)
+            return pa.StructArray.from_arrays([ids, _decoded(bpe, ids)], ["ids", "decoded"])
 
-        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-        return F.arrow_udf(run, "array<int>")(text)
+        return F.arrow_udf(self._with(both), "ids array<int>, decoded string")(text)
 
     def decode(self, ids: Column) -> Column:
         """The decoded text, never null."""
+        return F.arrow_udf(self._with(_decoded), "string")(ids)
+
+    def _with(self, work):
         spec, key = self.spec, self.key
 
-        def run(rows: pa.Array) -> pa.Array:
-            bpe, ids, ends = _model(key, spec), rows.flatten(), np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-            texts = (bpe.decode(ids.slice(a, n).to_numpy(zero_copy_only=False).tolist()) for a, n in zip([0, *ends], np.diff([0, *ends]).tolist()))
-            return pa.array(texts, pa.string())
+        def run(values: pa.Array) -> pa.Array:
+            return work(_model(key, spec), values)
+
+        run.__annotations__ = {"values": pa.Array, "return": pa.Array}
+        return run
+
+
+def _encoded(bpe: WordBpe, texts: pa.Array) -> pa.Array:
+    flat, ends = array("i"), [0]
+    for some in slices(texts):
+        for ids in bpe.encode_many(some):
+            flat.extend(ids)
+            ends.append(len(flat))
+    values = pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
 
-        run.__annotations__ = {"rows": pa.Array, "return": pa.Array}
-        return F.arrow_udf(run, "string")(ids)
+def _decoded(bpe: WordBpe, rows: pa.Array) -> pa.Array:
+    ids, ends = rows.flatten(), np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    starts = [0, *ends[:-1]] if ends else []
+    return pa.array((bpe.decode(ids.slice(a, b - a).to_numpy(zero_copy_only=False).tolist()) for a, b in zip(starts, ends)), pa.string())
 
 
 def _model(key: str, spec) -> WordBpe:
@@ -284,7 +298,8 @@ def default_path() -> str:
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded_text") -> DataFrame:
     """``docs`` with the ids of each text and the text decoded from them; columns of the same names are replaced."""
     bpe = BpeTokenizer(docs.sparkSession, path)
-    return docs.withColumn(ids, bpe.encode(F.col(text))).withColumn(decoded, bpe.decode(F.col(ids)))
+    done = docs.withColumn("bpe_", bpe.round_trip(F.col(text)))
+    return done.withColumns({ids: F.col("bpe_.ids"), decoded: F.col("bpe_.decoded")}).drop("bpe_")
 
 
 def op3_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:

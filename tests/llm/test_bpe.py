@@ -60,4 +60,8 @@ def test_query_on_nulls_repeats_and_clashing_columns(spark, library, tmp_path):
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.encode_documents(docs.limit(0), PATH).count() == 0
+    one = bpe.BpeTokenizer(spark, PATH)
+    apart = docs.select("text", one.encode(F.col("text")).alias("ids")).select("ids", one.decode(F.col("ids")).alias("back"), one.decode(F.lit(None).cast("array<int>")).alias("none"))
+    both = docs.select(one.round_trip(F.col("text")).alias("x")).select("x.*").collect()
+    assert sorted((r.ids, r.back) for r in apart.collect()) == sorted(map(tuple, both)) and {r.none for r in apart.collect()} == {""}
     assert bpe.encode_documents(docs, PATH).filter(F.size("token_ids") > 0).count() == 3
