@@ -22,7 +22,7 @@ def min_max_normalize(df: DataFrame, column: str) -> DataFrame:
 def min_max_normalize_by_class(df: DataFrame, column: str, label: str = "label") -> DataFrame:
     """The same within each label; ranges are pre-aggregated, so that a class may be of any size."""
     span = df.groupBy(F.col(label).alias("c_")).agg(F.min(column).alias("lo_"), F.max(column).alias("hi_"))
-    return df.join(F.broadcast(span), df[label].eqNullSafe(F.col("c_"))).withColumn(column, _scaled(F.col(column), F.col("lo_"), F.col("hi_"))).drop("lo_", "hi_", "c_")
+    return df.join(span, df[label].eqNullSafe(F.col("c_"))).withColumn(column, _scaled(F.col(column), F.col("lo_"), F.col("hi_"))).drop("lo_", "hi_", "c_")
 
 
 def is_uniform(df: DataFrame, column: str, key: str = "id") -> DataFrame:
@@ -77,7 +77,7 @@ def mid_k_per_class(df: DataFrame, score: str, budget: int, label: str = "label"
     """The ``budget`` rows from place ``(n - budget) // 2`` of each class in ascending order."""
     sizes = df.groupBy(F.col(label).alias("c_")).agg(F.count("*").alias("n_"))
     ranked = df.withColumn("r_", F.row_number().over(Window.partitionBy(label).orderBy(score, key)))
-    ranked = ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("c_")))
+    ranked = ranked.join(sizes, F.col(label).eqNullSafe(F.col("c_")))
     start = F.greatest(F.lit(0), F.floor((F.col("n_") - budget) / 2))
     return ranked.filter((F.col("r_") > start) & (F.col("r_") <= start + budget)).select(F.col(key).alias("id"), F.col(label).alias("label"), (F.col("r_") - start).cast("int").alias("rank"))
 

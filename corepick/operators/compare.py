@@ -21,7 +21,7 @@ def overlap_matrix(selections: DataFrame) -> DataFrame:
     s = selections.select("config", "id").distinct()
     sizes = s.groupBy("config").agg(F.count("*").alias("n"))
     common = s.withColumnRenamed("config", "a").join(s.withColumnRenamed("config", "b"), "id").groupBy("a", "b").agg(F.count("*").alias("c"))
-    pairs = F.broadcast(sizes.withColumnRenamed("config", "a")).crossJoin(sizes.select(F.col("config").alias("b")))
+    pairs = sizes.withColumnRenamed("config", "a").crossJoin(sizes.select(F.col("config").alias("b")))
     return pairs.join(common, ["a", "b"], "left").select("a", "b", (F.coalesce("c", F.lit(0)) / F.col("n") * 100).alias("overlap_pct"))
 
 
@@ -68,7 +68,7 @@ def proportional_subsample(df: DataFrame, most: int, seed: int = 42) -> DataFram
 def _hash_sample(df: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("label").orderBy("h_", "id"))
     ranked = df.select("id", "label", hash_order(seed, F.col("id")).alias("h_")).withColumn("rank", place)
-    return ranked.join(F.broadcast(quota), F.col("label") == F.col("c_")).filter(F.col("rank") <= F.col("q")).select("id", "label", "rank")
+    return ranked.join(quota, F.col("label") == F.col("c_")).filter(F.col("rank") <= F.col("q")).select("id", "label", "rank")
 
 
 def uniform_subsample(df: DataFrame, most: int, seed: int = 42) -> DataFrame:

@@ -74,6 +74,6 @@ def dynamics_summary(aum: DataFrame, forgetting: DataFrame) -> DataFrame:
 def nearest_window(table: DataFrame, asked: DataFrame, default: tuple[int, int] = (1, 100)) -> DataFrame:
     """``dataset, rate, early, late``: the window of the nearest tabulated rate of the dataset (ties: the lower one)."""
     table = table.select(F.col("dataset").alias("d_"), F.col("rate").alias("r_"), F.col("early").alias("e_"), F.col("late").alias("l_"))
-    near = asked.join(F.broadcast(table), F.col("dataset") == F.col("d_"), "left")
+    near = asked.join(table, F.col("dataset") == F.col("d_"), "left")
     best = near.groupBy("dataset", "rate").agg(F.min_by(F.struct("e_", "l_"), F.when(F.col("r_").isNotNull(), F.struct(F.abs(F.col("r_") - F.col("rate")), "r_"))).alias("w"))
     return best.select("dataset", "rate", F.coalesce("w.e_", F.lit(default[0])).alias("early"), F.coalesce("w.l_", F.lit(default[1])).alias("late"))

@@ -189,4 +189,5 @@ def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select("id", F.col("x").alias("xa")).join(b.select("id", F.col("x").alias("xb")), "id")
     ra = average_rank(both, "xa").withColumnRenamed("r", "ra")
     rb = average_rank(both, "xb").withColumnRenamed("r", "rb")
-    return ra.join(rb, "id").agg(F.when(F.count("*") > 2, F.corr("ra", "rb")).alias("rho"))
+    spread = F.nullif(F.stddev_pop("ra") * F.stddev_pop("rb"), F.lit(0.0))
+    return ra.join(rb, "id").agg(F.when(F.count("*") > 2, F.covar_pop("ra", "rb") / spread).alias("rho"))

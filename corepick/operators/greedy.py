@@ -113,7 +113,7 @@ def greedy(kernel, nodes: DataFrame, budget: int, rule: Rule = FACILITY, per_cla
     while any(left.values()):
         open_ = [c for c, n in left.items() if n]
         gone = spark.createDataFrame([(p[0],) for p in picks], "id long")
-        free = state.filter(F.col("label").isin(open_)).join(F.broadcast(gone), "id", "left_anti").select("id", "label")
+        free = state.filter(F.col("label").isin(open_)).join(gone, "id", "left_anti").select("id", "label")
         gains = free.join(kernel.gains(state, rule), "id", "left").select("id", "label", F.coalesce("gain", F.lit(0.0)).alias("gain"))
         order = [F.desc("gain"), F.asc("id")]
         if per_class:
@@ -241,7 +241,7 @@ def farthest_points(distance, nodes: DataFrame, budget: int, first: DataFrame, w
         state = cut(state.join(moved, "id", "left").select("id", "label", F.least("d", F.coalesce("e", "d")).alias("d")))
         done = spark.createDataFrame([(i,) for ids in picks.values() for i in ids], "id long")
         open_ = [c for c in picks if len(picks[c]) < need[c]]
-        free = state.filter(F.col("label").isin(open_)).join(F.broadcast(done), "id", "left_anti")
+        free = state.filter(F.col("label").isin(open_)).join(done, "id", "left_anti")
         place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("d"), "id"))
         rows = free.withColumn("r", place).filter(F.col("r") <= width + 1).collect()
         measure = distance.among([r.id for r in rows])
@@ -277,7 +277,7 @@ def weighted_farthest_points(samples: DataFrame, budget: int, importance: DataFr
     picks: dict = defaultdict(list)
     for step in range(budget):
         done = spark.createDataFrame([(i,) for ids in picks.values() for i in ids], "id long")
-        free = state.join(F.broadcast(done), "id", "left_anti")
+        free = state.join(done, "id", "left_anti")
         if step == 0:
             score = F.col("importance")
         else:
@@ -314,7 +314,7 @@ def herding(samples: DataFrame, budget: int) -> DataFrame:
     for step in range(budget):
         aims = spark.createDataFrame([(c, [float(x) for x in (step + 1) * means[c] - total[c]]) for c in means], "c_ long, aim_ array<double>")
         done = spark.createDataFrame([(i,) for ids in picks.values() for i in ids], "id long")
-        free = units.join(F.broadcast(done), "id", "left_anti").join(F.broadcast(aims), F.col("label") == F.col("c_"))
+        free = units.join(done, "id", "left_anti").join(F.broadcast(aims), F.col("label") == F.col("c_"))
         score = F.aggregate(F.zip_with("u", "aim_", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
         best = free.groupBy("label").agg(F.max(F.struct(score.alias("score"), (-F.col("id")).alias("minus"), F.col("u"))).alias("b")).collect()
         for r in best:

@@ -119,7 +119,7 @@ def easy_samples(df, budget, importance, seed):
 
 def _to_centroid(df: DataFrame) -> DataFrame:
     c = class_centroids(df).withColumnRenamed("label", "c_")
-    return df.join(F.broadcast(c), F.col("label") == F.col("c_")).withColumn("s_", F.sqrt(sq_l2(F.col("v"), F.col("centroid"))))
+    return df.join(c, F.col("label") == F.col("c_")).withColumn("s_", F.sqrt(sq_l2(F.col("v"), F.col("centroid"))))
 
 
 @register_method("prototype", ("v",))

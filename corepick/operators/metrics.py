@@ -43,7 +43,7 @@ def with_baselines(results: DataFrame) -> DataFrame:
     """Rows without embeddings (``none``) are repeated under every embedding of their dataset."""
     named = results.filter("embedding <> 'none'")
     each = named.select(F.col("dataset").alias("d_"), F.col("embedding").alias("e_")).distinct()
-    copies = results.filter("embedding = 'none'").join(F.broadcast(each), F.col("dataset") == F.col("d_")).withColumn("embedding", F.col("e_")).drop("d_", "e_")
+    copies = results.filter("embedding = 'none'").join(each, F.col("dataset") == F.col("d_")).withColumn("embedding", F.col("e_")).drop("d_", "e_")
     return named.unionByName(copies)
 
 
@@ -94,7 +94,7 @@ def compare_to_expected(results: DataFrame, expected: DataFrame) -> DataFrame:
     """Per (dataset, ratio, method): difference in points, its size, z, and whether it is within one deviation."""
     keys = ["dataset", "ratio", "method"]
     delta = F.col("balanced_accuracy") * 100 - F.col("mean")
-    both = results.join(F.broadcast(expected), keys)
+    both = results.join(expected, keys)
     return both.select(*keys, delta.alias("delta"), F.abs(delta).alias("abs_delta"), (delta / F.nullif(F.col("std"), F.lit(0.0))).alias("z"), (F.abs(delta) <= F.col("std")).alias("within_std"))
 
 
