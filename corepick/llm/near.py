@@ -22,6 +22,7 @@ own in :func:`near_classes`; :func:`keep_one` keeps one. Extra columns stay in `
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -64,11 +65,9 @@ class WordHashes(dict):
         return h
 
 
-def sketch(texts: list[list[int]], k: int = K, picks: int = PICKS, keys: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts given as lists of word hashes, none of them empty: the keys, and 32 bits of the k-mer of least hash for each
-    hash function. Both are arrays of ``len(texts)`` by ``keys``."""
-    lengths = np.array([len(t) for t in texts])
-    flat = np.fromiter((h for t in texts for h in t), np.uint64, int(lengths.sum()))
+def sketch(flat: np.ndarray, lengths: np.ndarray, k: int = K, picks: int = PICKS, keys: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts given by the hashes of all their words and how many each has, at least one: the keys, and 32 bits of the k-mer
+    of least hash for each hash function. Both are arrays of ``len(lengths)`` by ``keys``."""
     kmers = np.maximum(1, lengths - k + 1)
     first = np.repeat(np.cumsum(lengths) - lengths, kmers)
     starts = np.cumsum(kmers) - kmers
@@ -79,7 +78,7 @@ def sketch(texts: list[list[int]], k: int = K, picks: int = PICKS, keys: int = K
         at = first + place + j
         gram = mix(gram + np.where(at < end, flat[np.minimum(at, len(flat) - 1)], np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j))
     # the number of the occurrence within its text
-    owner = np.repeat(np.arange(len(texts)), kmers)
+    owner = np.repeat(np.arange(len(lengths)), kmers)
     order = np.lexsort((gram, owner))
     new = np.concatenate([[True], (gram[order][1:] != gram[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
     run = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
@@ -88,7 +87,7 @@ def sketch(texts: list[list[int]], k: int = K, picks: int = PICKS, keys: int = K
     gram = mix(gram + label * np.uint64(0xD6E8FEB86659FD93))
     low = np.uint64((1 << int(PLACE_BITS)) - 1)
     bits, full = place.astype(np.uint64) & low, np.uint64(0xFFFFFFFFFFFFFFFF)
-    out, least_of = np.empty((len(texts), keys), np.uint64), np.empty((len(texts), keys), np.uint32)
+    out, least_of = np.empty((len(lengths), keys), np.uint64), np.empty((len(lengths), keys), np.uint32)
     for j in range(keys):
         value = (mix(gram ^ mix(np.array([j + 1], np.uint64))) & ~low) | bits
         chosen = []
@@ -98,7 +97,7 @@ def sketch(texts: list[list[int]], k: int = K, picks: int = PICKS, keys: int = K
             if p + 1 < picks:
                 value = np.where(value == np.repeat(least, kmers), full, value)
         ordered = np.sort(np.array(chosen), axis=0)
-        key = np.full(len(texts), j, np.uint64)
+        key = np.full(len(lengths), j, np.uint64)
         for at in ordered:
             there = at.astype(np.int64) < kmers
             key = mix(key * np.uint64(31) + np.where(there, gram[np.minimum(starts + np.where(there, at, 0).astype(np.int64), len(gram) - 1)], full))
@@ -109,28 +108,28 @@ def sketch(texts: list[list[int]], k: int = K, picks: int = PICKS, keys: int = K
 
 def _sketch_batch(texts: pa.Array) -> pa.Array:
     cache = WordHashes()
-    lengths, keys, mins, pending, size = [], [], [], [], 0
+    counts, keys, mins, hashes, lengths = [], [], [], array("Q"), array("q")
 
     def flush():
-        nonlocal pending, size
-        if pending:
-            k, m = sketch(pending)
+        nonlocal hashes, lengths
+        if lengths:
+            k, m = sketch(np.frombuffer(hashes, np.uint64), np.frombuffer(lengths, np.int64))
             keys.append(k.ravel())
             mins.append(m.ravel())
-        pending, size = [], 0
+        hashes, lengths = array("Q"), array("q")
 
     for t in texts:
         words = words_of((t.as_py() or "").lower())
-        lengths.append(len(words))
+        counts.append(len(words))
         if words:
-            pending.append([cache[w] for w in words])
-            size += len(words)
-        if size > WORDS_AT_ONCE:
+            hashes.extend(map(cache.__getitem__, words))
+            lengths.append(len(words))
+        if len(hashes) > WORDS_AT_ONCE:
             flush()
     flush()
-    ends = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64) > 0) * KEYS])
+    ends = np.concatenate([[0], np.cumsum(np.array(counts, np.int64) > 0) * KEYS])
     lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(c).view(t) if c else np.empty(0, t))) for c, t in ((keys, np.int64), (mins, np.int32))]
-    return pa.StructArray.from_arrays([pa.array(lengths, pa.int32()), *lists], ["n", "keys", "mins"])
+    return pa.StructArray.from_arrays([pa.array(counts, pa.int32()), *lists], ["n", "keys", "mins"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
