@@ -340,19 +340,30 @@ def remove_repeats(docs: DataFrame, text: str = "text", kept: str = "kept_bytes"
 
     A text of at least LENGTH bytes that several rows hold is removed whole; for such texts no ranges are gathered.
     """
-    work = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("own"))
+    others = [c for c in docs.columns if c != text]
+    # the text is moved once: beside it go the other columns and whether it was null
+    work = docs.select(F.struct(F.col(text).isNull().alias("none_"), *others).alias("row"), F.col(text).alias("own"))
     work = keyed(work, "own").drop("own")
     ranges = repeated_ranges(work)
     copied = work.groupBy("t1", "t2").agg(F.count("*").alias("n")).filter("n > 1").select("t1", "t2", F.lit(True).alias("copied"))
     copied = cut(copied)
     single = ranges.join(_small(copied, BROADCAST_ROWS), ["t1", "t2"], "left_anti")
-    runs = single.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    runs = cut(single.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
     own = F.array(F.struct(F.lit(0).alias("lo"), (F.octet_length("text") - LENGTH).alias("hi")))
     whole = F.when(F.col("copied") & (F.octet_length("text") >= LENGTH), own)
-    joined = work.join(_small(copied, BROADCAST_ROWS), ["t1", "t2"], "left").join(runs, ["t1", "t2"], "left")
+    work = work.join(_small(copied, BROADCAST_ROWS), ["t1", "t2"], "left")
+    touched = runs.select("t1", "t2")
+    if fits(touched, BROADCAST_ROWS):  # then only texts that lose something are shuffled
+        touched = F.broadcast(touched)
+        joined = work.join(touched, ["t1", "t2"], "left_semi").join(runs, ["t1", "t2"])
+        rest = work.join(touched, ["t1", "t2"], "left_anti").withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
+        joined = joined.unionByName(rest)
+    else:
+        joined = work.join(runs, ["t1", "t2"], "left")
     udf = F.arrow_udf(_cut_text, "kept binary, spans array<struct<start:int,stop:int>>")
-    out = joined.select("row", udf("text", F.coalesce(whole, "runs")).alias("x"))
-    columns = [F.col("row")[c].alias(c) for c in docs.columns if c not in (kept, spans)]
+    out = joined.select("row", "text", udf("text", F.coalesce(whole, "runs")).alias("x"))
+    same = F.when(~F.col("row.none_"), F.col("text"))
+    columns = [same.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in (kept, spans)]
     return out.select(*columns, F.col("x.kept").alias(kept), F.col("x.spans").alias(spans))
 
 
