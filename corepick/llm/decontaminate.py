@@ -19,13 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corepick.llm.common import table
+from corepick.llm.common import cut, fits, table
 
 #: Spans of 10 and 11 tokens of which 7 count.
 MASKS = ("1110110011", "11010010111")
 SIMILARITY = 0.8
 MIN_TOKENS = 13
 TOKENS_AT_ONCE = 1_000_000
+BROADCAST_IDS = 500_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -84,7 +85,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows whose text overlaps a benchmark item; rows with a null key are judged alike."""
-    hits = contaminated(docs, benchmark, key=key, **options).select(F.col(key).alias("hit_")).distinct()
+    hits = cut(contaminated(docs, benchmark, key=key, **options).select(F.col(key).alias("hit_")).distinct())
+    if fits(hits, BROADCAST_IDS):  # else texts are shuffled once
+        hits = F.broadcast(hits)
     return docs.join(hits, F.col(key).eqNullSafe(F.col("hit_")), "left_anti")
 
 
