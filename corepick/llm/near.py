@@ -10,9 +10,9 @@ longer text.
 Equal texts are one vertex. Groups are the connected parts of the links, and pairs that are in one group already need no
 check. So each text is first checked against the first text of its buckets only; then, in the buckets whose texts are still
 in different groups, the candidates across groups are checked, all of them. No link between groups is lost, and a group of
-many copies costs one check a copy. Keys that occur once are dropped before texts are joined on them; the second join is on
-the key and one least k-mer, which splits the bucket of a passage that many texts share. Length and agreement are part of
-the join conditions, and a hot key is split by adaptive skew handling.
+many copies costs one check a copy. Keys that occur once are dropped before texts are joined on them. Length and agreement
+are part of the join conditions, so that texts that share a passage only are compared by their sketches and give no row; a
+hot key is split by adaptive skew handling.
 
 Nulls: a null text counts as an empty one, and empty texts are equal texts. A text of fewer than K words is one k-mer. A
 null id is allowed; the class id is the least id of the group, null if all are null. Repeated rows are documents of their
@@ -181,10 +181,9 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     known = shared.join(groups.select(F.col("v").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     mixed = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
     rest = known.join(mixed, "key").filter(F.col("tid") != F.col("pivot")).select("key", "tid", "s", "root")
-    # a pair needs least k-mers in common, so it meets where one of them is; a common passage alone rarely gives that
-    rest = cut(rest.select("*", F.posexplode("s.mins").alias("slot", "least")))
-    other = rest.select("key", "slot", "least", F.col("tid").alias("b"), F.col("s").alias("os"), F.col("root").alias("other"))
-    across = rest.join(other, ["key", "slot", "least"]).filter((F.col("root") < F.col("other")) & promising("s", "os", similarity))
+    rest = cut(rest.select("key", "tid", "s", "root"))
+    other = rest.select("key", F.col("tid").alias("b"), F.col("s").alias("os"), F.col("root").alias("other"))
+    across = rest.join(other, "key").filter((F.col("root") < F.col("other")) & promising("s", "os", similarity))
     across = cut(across.select(F.least("tid", "b").alias("a"), F.greatest("tid", "b").alias("b")).distinct())
     if not across.isEmpty():
         more = cut(verified(across, docs, similarity))
