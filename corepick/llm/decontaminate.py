@@ -2,16 +2,18 @@
 
 A mask is a pattern of token positions of which some are ignored, such as ``1101100111``. Each position of a text gives one
 hash a mask, over the tokens that the mask selects; equal hashes in a benchmark item are hits, which a changed token in an
-ignored position does not prevent. Around a hit the item is laid along the text (same offset throughout, so changed tokens
-but none put in or left out), and the overlap is found contaminated if ``similarity`` of its tokens agree and it has at
-least ``min_tokens`` tokens.
+ignored position does not prevent. Around a hit the item is laid along the text at one offset, and the overlap is found
+contaminated if ``similarity`` of its tokens agree and it has at least ``min_tokens`` tokens. With ``parts``, where the whole
+overlap does not agree, its best run that does, from an equal token to an equal one, is taken, so that a text which quotes a part of an item is found, and one with tokens put in or
+left out if ``min_tokens`` in a row remain at one offset. Runs at several offsets are not added up.
 
 The benchmark is a stated query set: it is dealt into blocks of about ``TOKENS_AT_ONCE`` tokens, whose seeds are broadcast.
 Texts are never shuffled: seeds are made, looked up and verified in one stage, and what is shuffled is one row per text and
 item that agree, pre-aggregated.
 
 Nulls: a null text or item has no tokens and matches nothing; a null id stays a null id. Repeated rows give one hit, since a
-hit is a pair of ids. Items shorter than the shortest mask have no seed and match nothing. Extra columns are ignored. Empty tables give no rows.
+hit is a pair of ids. Items shorter than the shortest mask have no seed and match nothing; with
+``parts`` they match where all of their tokens stand in a text unchanged. Extra columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ SIMILARITY = 0.8
 MIN_TOKENS = 13
 TOKENS_AT_ONCE = 1_000_000
 BROADCAST_IDS = 500_000
+#: What a run within an overlap counts less than a whole one.
+WITHIN = 1 << 61
 
 
 def tokens_of(text: Column) -> Column:
@@ -49,36 +53,73 @@ def places(tokens: str, mask: str) -> Column:
     return F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
 
 
-def seeds(df: DataFrame, tokens: str, masks: tuple[str, ...]) -> DataFrame:
-    """A row per place and mask: ``at``, ``seed``, and the columns of ``df``."""
+def seeds(df: DataFrame, tokens: str, masks: tuple[str, ...], lengths: tuple[int, ...] = (), whole: bool = False) -> DataFrame:
+    """A row per place and mask: ``at``, ``seed``, and the columns of ``df``; also for all tokens of runs of ``lengths``, or of texts that are ``whole`` so long."""
     # one explode over places, then one over the masks that fit there
-    at = df.select("*", F.explode(places(tokens, min(masks, key=len))).alias("at"))
-    each = F.array(*(F.when(F.col("at") + len(m) <= F.size(tokens), seed(tokens, F.col("at"), m, k)) for k, m in enumerate(masks)))
-    return at.select("*", F.explode(each).alias("seed")).filter("seed IS NOT NULL")
+    runs = tuple("1" * n for n in lengths)
+    at = df.select("*", F.explode(places(tokens, min((*masks, *runs), key=len))).alias("at"))
+    each = [F.when(F.col("at") + len(m) <= F.size(tokens), seed(tokens, F.col("at"), m, k)) for k, m in enumerate(masks)]
+    each += [F.when(F.size(tokens) == len(m) if whole else F.col("at") + len(m) <= F.size(tokens), seed(tokens, F.col("at"), m, -len(m))) for m in runs]
+    return at.select("*", F.explode(F.array(*each)).alias("seed")).filter("seed IS NOT NULL")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def packed(equal: Column, n: Column) -> Column:
+    """Most equal tokens first, then fewest in all, as one number."""
+    return equal.cast("long") * (1 << 31) - n
+
+
+def best_run(x: str, y: str, similarity: float, least: Column) -> Column:
+    """The best run, packed, of at least ``least`` places within two arrays of one length of which ``similarity`` agree, the first and last among them, or null."""
+    same = F.zip_with(x, y, lambda a, b: (a == b).cast("int"))
+    before = F.aggregate(same, F.array(F.lit(0)), lambda got, one: F.concat(got, F.array(F.element_at(got, -1) + one)))  # equal ones before each place
+
+    def from_place(counts, i):
+        def to_place(j):
+            equal = F.get(counts, j) - F.get(counts, i)
+            ends = (F.get(counts, i + 1) > F.get(counts, i)) & (F.get(counts, j) > F.get(counts, j - 1))
+            return F.when(ends & (equal >= similarity * (j - i)), packed(equal, j - i))
+
+        return F.array_max(F.transform(F.sequence(i + least, F.size(x)), to_place))
+
+    starts = F.sequence(F.lit(0), F.size(x) - least)
+    # a transform of one element names the counts, so that they are made once
+    return F.get(F.transform(F.array(before), lambda counts: F.array_max(F.transform(starts, lambda i: from_place(counts, i)))), 0)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, parts: bool = False) -> DataFrame:
     """``key, item, n_overlap, n_equal``: the best overlap of each text and benchmark item that agree.
 
-    The best one has most equal tokens, then fewest in all. ``min_tokens`` is lowered to an item's length where that is less.
+    The best one has most equal tokens, then fewest in all; with ``parts``, runs within an overlap come after all that agree as a whole.
+    ``min_tokens`` is lowered to an item's length where that is less.
     """
     items = benchmark.select(F.col(item).alias("item_"), token_hashes(F.col(item_text)).alias("b_")).filter(F.size("b_") > 0)
     blocks = -(-(items.agg(F.sum(F.size("b_"))).first()[0] or 0) // TOKENS_AT_ONCE)
+    short = tuple(sorted(r.n for r in items.select(F.size("b_").alias("n")).filter(F.col("n") < min(map(len, masks))).distinct().collect())) if parts else ()
     texts = docs.select(F.col(key).alias("k_"), token_hashes(F.col(text)).alias("d_"))
     found = None
     for block in range(max(1, blocks)):
         some = items.filter(F.pmod(F.xxhash64("item_"), F.lit(max(1, blocks))) == block)
-        known = seeds(some, "b_", masks).select(F.col("item_").alias("hit_"), F.col("at").alias("j_"), F.col("seed").alias("seed_"))
-        hits = seeds(texts, "d_", masks).join(F.broadcast(known), F.col("seed") == F.col("seed_"))
+        known = seeds(some, "b_", masks, short, whole=True).select(F.col("item_").alias("hit_"), F.col("at").alias("j_"), F.col("seed").alias("seed_"))
+        hits = seeds(texts, "d_", masks, short).join(F.broadcast(known), F.col("seed") == F.col("seed_"))
         hits = hits.join(F.broadcast(some), F.col("hit_").eqNullSafe(F.col("item_")))
         lead = F.least("at", "j_")
         run = lead + F.least(F.size("d_") - F.col("at"), F.size("b_") - F.col("j_"))
         laid = hits.select("k_", "item_", run.alias("n_"), F.slice("d_", F.col("at") - lead + 1, run).alias("x_"), F.slice("b_", F.col("j_") - lead + 1, run).alias("y_"), F.size("b_").alias("size_"))
         laid = laid.filter(F.col("n_") >= F.least(F.lit(min_tokens), "size_"))
         equal = F.size(F.filter(F.zip_with("x_", "y_", lambda x, y: x == y), lambda same: same))
-        good = laid.select("k_", "item_", "n_", equal.alias("e_")).filter(F.col("e_") >= similarity * F.col("n_"))
-        best = good.groupBy("k_", "item_").agg(F.max(F.col("e_").cast("long") * (1 << 31) - F.col("n_")).alias("best_"))
+        laid = laid.withColumns({"e_": equal, "least_": F.least(F.lit(min_tokens), "size_")})
+        agrees = F.col("e_") >= similarity * F.col("n_")
+        if parts:
+            # one row for all hits at an offset; what agrees as a whole needs its tokens no more
+            laid = laid.filter(F.col("e_") >= similarity * F.col("least_"))
+            once = laid.select("k_", "item_", "least_", F.when(agrees, packed(F.col("e_"), F.col("n_"))).alias("all_"), *(F.when(~agrees, F.col(c)).alias(c) for c in ("x_", "y_"))).distinct()
+            value = F.coalesce("all_", F.when(F.col("x_").isNotNull(), best_run("x_", "y_", similarity, F.col("least_")) - WITHIN))
+            good = once.select("k_", "item_", value.alias("v_")).filter("v_ IS NOT NULL")
+        else:
+            good = laid.filter(agrees).select("k_", "item_", packed(F.col("e_"), F.col("n_")).alias("v_"))
+        best = good.groupBy("k_", "item_").agg(F.max("v_").alias("best_"))
         found = best if found is None else found.union(best)
+    found = found.withColumn("best_", F.when(F.col("best_") < 0, F.col("best_") + WITHIN).otherwise(F.col("best_")))
     equal = F.ceil(F.col("best_") / (1 << 31)).cast("long")
     return found.select(F.col("k_").alias(key), F.col("item_").alias(item), (equal * (1 << 31) - F.col("best_")).alias("n_overlap"), equal.alias("n_equal"))
 

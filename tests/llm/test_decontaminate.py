@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from corepick.llm import decontaminate as dc
 from tests.llm.helpers import SF, run_sql, same_rows
 
@@ -67,3 +68,21 @@ def test_empty_tables(spark, tmp_path, empty):
 def test_plan_is_native(spark):
     plan = dc.op2_spaced_seeds(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_parts_edits_and_short_items_are_found(spark, tmp_path):
+    item = [f"t{i}" for i in range(59)]
+    around = [f"x{i}" for i in range(40)]
+    few = "just five tokens in all".split()
+    texts = [around + item[10:40] + around, around + item[:30] + ["new"] + item[30:] + around, around + item[:29] + item[30:] + around, around + item[20:33] + around, around + item[20:32] + around, around + few + around, around + few[:4] + around]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(few))], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): (r.n_overlap, r.n_equal) for r in dc.contaminated(docs, items, parts=True).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()}
+    assert kept == {4, 6}
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 1), (5, 2)}
+    brute = lambda e: max((sum(e[i:j]), i - j) for i in range(len(e)) for j in range(i + 13, len(e) + 1) if e[i] and e[j - 1] and sum(e[i:j]) >= 0.8 * (j - i))
+    same = [10 <= i < 40 for i in range(59)]
+    equal, n = brute(same)
+    assert got[0, 1] == (-n, equal) and got[5, 2] == (5, 5)
