@@ -1,217 +1,137 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
 A text is the sequence of its words; its k-mers are windows of ``K`` words, each labelled with how many times it occurred
-before. For each of ``KEYS`` hash functions the ``PICKS`` labelled k-mers of least hash are taken and kept in text order;
-their sequence is one key, so two texts share a key if they hold the same k-mers in the same order. Texts that share a key
-are candidates if ``AGREE`` of the KEYS hash functions also have the same least k-mer in both, which texts that share no more
-than a passage rarely do. A link needs at most ``1 - similarity`` edits (words put in, taken out or changed) per word of the
-longer text.
-
-Equal texts are one vertex. Groups are the connected parts of the links, and pairs that are in one group already need no
-check. So each text is first checked against the first text of its buckets only; then, in the buckets whose texts are still
-in different groups, the candidates across groups are checked, all of them. No link between groups is lost, and a group of
-many copies costs one check a copy. Keys that occur once are dropped before texts are joined on them. Length and agreement
-are part of the join conditions, so that texts that share a passage only are compared by their sketches and give no row; a
-hot key is split by adaptive skew handling.
+before. The labelled k-mers are dealt by hash into ``KEYS`` samples, of each of which the ``PICKS`` of least hash are taken and
+kept in text order; their sequence is one key, so two texts share a key if they hold the same k-mers in the same order. A
+sample without a k-mer has no key. A link needs at most ``1 - similarity`` edits (words put in, taken out or changed) per word
+of the longer text; the tests measure how many pairs at that limit share a key, by length.
+
+Equal texts are one vertex, and groups are the connected parts of the links. Items of a bucket are compared by their prints,
+and aligned within a band, in :mod:`corepick.llm.buckets`.
 
 Nulls: a null text counts as an empty one, and empty texts are equal texts. A text of fewer than K words is one k-mer. A
 null id is allowed; the class id is the least id of the group, null if all are null. Repeated rows are documents of their
-own in :func:`near_classes`; :func:`keep_one` keeps one. Extra columns stay in ``keep_one`` and are ignored otherwise.
+own in :func:`near_classes`; :func:`keep_one` keeps one. Extra columns stay in ``keep_one``, whatever their names, and are
+ignored otherwise. An empty table gives no rows. Very long texts are worked on whole, in slices that end with a text.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corepick.llm.align import edits_within
+from corepick.llm.buckets import like_groups, prints_of
 from corepick.llm.common import cut, fits, table, text_id
-from corepick.llm.groups import connected_groups
+from corepick.llm.words import Words, mix, slices
 
 K = 5
 PICKS = 2
-KEYS = 16
+KEYS = 96
 SIMILARITY = 0.8
-#: Hash functions of KEYS whose least k-mers must be the same in both texts of a candidate pair.
-AGREE = 3
 BROADCAST_IDS = 500_000
-BROADCAST_KEYS = 2_000_000
-WORDS_AT_ONCE = 1 << 18
-CACHED_WORDS = 1 << 18
-#: A position within its text takes the lower bits of a 64-bit hash; longer texts than this differ in nothing but ties.
-PLACE_BITS = np.uint64(24)
 
 words_of = re.compile(r"\w+").findall
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (multiply and shift), wrapping around."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def sketch(flat: np.ndarray, lengths: np.ndarray, k: int = K, picks: int = PICKS, keys: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts given by the hashes of all their words and how many each has, at least one: the keys, and 32 bits of the k-mer
-    of least hash for each hash function. Both are arrays of ``len(lengths)`` by ``keys``."""
+def labelled_kmers(flat: np.ndarray, lengths: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the labelled k-mers of texts in text order, given by the hashes of all words and how many each text has, at
+    least one; and the text that each is in."""
     kmers = np.maximum(1, lengths - k + 1)
-    first = np.repeat(np.cumsum(lengths) - lengths, kmers)
-    starts = np.cumsum(kmers) - kmers
-    place = np.arange(int(kmers.sum())) - np.repeat(starts, kmers)
-    end = np.repeat(np.cumsum(lengths), kmers)
+    owner = np.repeat(np.arange(len(lengths)), kmers)
+    place = np.arange(int(kmers.sum())) - np.repeat(np.cumsum(kmers) - kmers, kmers)
+    first, end = (np.cumsum(lengths) - lengths)[owner] + place, np.cumsum(lengths)[owner]
     gram = np.zeros(len(place), np.uint64)
     for j in range(k):
-        at = first + place + j
+        at = first + j
         gram = mix(gram + np.where(at < end, flat[np.minimum(at, len(flat) - 1)], np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j))
-    # the number of the occurrence within its text
-    owner = np.repeat(np.arange(len(lengths)), kmers)
-    order = np.lexsort((gram, owner))
-    new = np.concatenate([[True], (gram[order][1:] != gram[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
-    run = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    # the label is the number of the occurrence within its text; a stable sort keeps text order
+    own = mix(gram ^ mix(owner.astype(np.uint64)))
+    order = np.argsort(own, kind="stable")
+    new = np.concatenate([[True], own[order][1:] != own[order][:-1]])
     label = np.empty(len(order), np.uint64)
-    label[order] = run
-    gram = mix(gram + label * np.uint64(0xD6E8FEB86659FD93))
-    low = np.uint64((1 << int(PLACE_BITS)) - 1)
-    bits, full = place.astype(np.uint64) & low, np.uint64(0xFFFFFFFFFFFFFFFF)
-    out, least_of = np.empty((len(lengths), keys), np.uint64), np.empty((len(lengths), keys), np.uint32)
-    for j in range(keys):
-        value = (mix(gram ^ mix(np.array([j + 1], np.uint64))) & ~low) | bits
-        chosen = []
-        for p in range(picks):
-            least = np.minimum.reduceat(value, starts)
-            chosen.append(np.where(least == full, low, least & low))
-            if p + 1 < picks:
-                value = np.where(value == np.repeat(least, kmers), full, value)
-        ordered = np.sort(np.array(chosen), axis=0)
-        key = np.full(len(lengths), j, np.uint64)
-        for at in ordered:
-            there = at.astype(np.int64) < kmers
-            key = mix(key * np.uint64(31) + np.where(there, gram[np.minimum(starts + np.where(there, at, 0).astype(np.int64), len(gram) - 1)], full))
-        out[:, j] = key
-        least_of[:, j] = gram[starts + chosen[0].astype(np.int64)].astype(np.uint32)
-    return out, least_of
+    label[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return mix(gram + label * np.uint64(0xD6E8FEB86659FD93)), owner
+
+
+def sketch(flat: np.ndarray, lengths: np.ndarray, k: int = K, picks: int = PICKS, keys: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of texts, given by the hashes of all words and how many each text has, at least one; and how many each has."""
+    gram, owner = labelled_kmers(flat, lengths, k)
+    sample = owner * keys + (mix(gram + np.uint64(1)) % np.uint64(keys)).astype(np.int64)
+    order = np.lexsort((gram, sample))
+    start = np.flatnonzero(np.concatenate([[True], sample[order][1:] != sample[order][:-1]]))
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    chosen = np.sort(order[rank < picks])  # in text order
+    chosen = chosen[np.argsort(sample[chosen], kind="stable")]
+    of = sample[chosen]
+    start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    many = np.diff(np.append(start, len(of)))
+    key = (of[start] % keys).astype(np.uint64)
+    for p in range(picks):
+        has = many > p
+        key[has] = mix(key[has] * np.uint64(31) + gram[chosen[start[has] + p]])
+    return key, np.bincount(of[start] // keys, minlength=len(lengths))
 
 
 def _sketch_batch(texts: pa.Array) -> pa.Array:
-    cache = WordHashes()
-    counts, keys, mins, hashes, lengths = [], [], [], array("Q"), array("q")
-
-    def flush():
-        nonlocal hashes, lengths
-        if lengths:
-            k, m = sketch(np.frombuffer(hashes, np.uint64), np.frombuffer(lengths, np.int64))
-            keys.append(k.ravel())
-            mins.append(m.ravel())
-        hashes, lengths = array("Q"), array("q")
-
-    for t in texts:
-        words = words_of((t.as_py() or "").lower())
-        counts.append(len(words))
-        if words:
-            hashes.extend(map(cache.__getitem__, words))
-            lengths.append(len(words))
-        if len(hashes) > WORDS_AT_ONCE:
-            flush()
-    flush()
-    ends = np.concatenate([[0], np.cumsum(np.array(counts, np.int64) > 0) * KEYS])
-    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(c).view(t) if c else np.empty(0, t))) for c, t in ((keys, np.int64), (mins, np.int32))]
-    return pa.StructArray.from_arrays([pa.array(counts, pa.int32()), *lists], ["n", "keys", "mins"])
-
-
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs ``(a, b)`` of text ids whose texts are alike; ``docs`` has ``tid`` and ``text``."""
-    needed = pairs.select(F.col("a").alias("tid")).union(pairs.select(F.col("b").alias("tid"))).distinct()
-    if fits(needed, BROADCAST_IDS):
-        needed = F.broadcast(needed)
-    texts = docs.join(needed, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
-
-    def align(batches):
-        last = words = None
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("ta"), batch.column("tb"))):
-                y = y.as_py()
-                if y != last:
-                    last, words = y, words_of(y.lower())
-                mine = words_of(x.as_py().lower())
-                longer = max(len(mine), len(words))
-                if edits_within(mine, words, int((1 - similarity) * longer + 1e-9)) is not None:
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return both.mapInArrow(align, "a binary, b binary")
-
-
-def promising(a: str, b: str, similarity: float) -> Column:
-    """Whether two sketches allow a link: lengths that are near enough, and AGREE least k-mers in common."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    same = F.filter(F.zip_with(f"{a}.mins", f"{b}.mins", lambda x, y: x == y), lambda x: x)
-    return (F.least(n, m) >= similarity * F.greatest(n, m) - F.lit(1e-6)) & (F.size(same) >= AGREE)
-
-
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """For ``docs(id, text)``: ``rows(id, tid)``, one per document, and ``groups(v, root)`` of the text ids that have links."""
-    docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", text_id(F.col("text")))
-    udf = F.arrow_udf(_sketch_batch, "n int, keys array<long>, mins array<int>")
-    rows = cut(docs.select("id", "tid", udf(F.col("text")).alias("s")))
-    texts = cut(rows.groupBy("tid").agg(F.first("s").alias("s")))
-    twice = cut(texts.select(F.explode("s.keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"))
-    members = texts.select("tid", F.struct("s.n", "s.mins").alias("s"), F.explode("s.keys").alias("key"))
-    members = members.join(F.broadcast(twice) if fits(twice, BROADCAST_KEYS) else twice, "key", "left_semi")
-    pivots = members.groupBy("key").agg(F.min(F.struct("tid", "s")).alias("p")).select("key", F.col("p.tid").alias("pivot"), F.col("p.s").alias("ps"))
-    shared = cut(members.join(pivots, "key"))
-    pairs = cut(shared.filter((F.col("tid") != F.col("pivot")) & promising("s", "ps", similarity)).select(F.col("tid").alias("a"), F.col("pivot").alias("b")).distinct())
-    links = cut(verified(pairs, docs, similarity))
-    groups = connected_groups(links)
-    known = shared.join(groups.select(F.col("v").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    mixed = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    rest = known.join(mixed, "key").filter(F.col("tid") != F.col("pivot")).select("key", "tid", "s", "root")
-    rest = cut(rest.select("key", "tid", "s", "root"))
-    other = rest.select("key", F.col("tid").alias("b"), F.col("s").alias("os"), F.col("root").alias("other"))
-    across = rest.join(other, "key").filter((F.col("root") < F.col("other")) & promising("s", "os", similarity))
-    across = cut(across.select(F.least("tid", "b").alias("a"), F.greatest("tid", "b").alias("b")).distinct())
-    if not across.isEmpty():
-        more = cut(verified(across, docs, similarity))
-        if not more.isEmpty():
-            groups = connected_groups(links.union(more))
-    return rows.select("id", "tid"), groups
+    strings = [t or "" for t in texts.to_pylist()]
+    sizes, prints, keys, counts = [np.empty(0, np.int64)], [], [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for a, b in slices(strings):
+        words = Words(strings[a:b])
+        lengths = words.per_text()
+        sizes.append(lengths)
+        prints += prints_of(words.hashes, lengths)
+        each, has = np.zeros(b - a, np.int64), lengths > 0
+        if has.any():
+            flat, each[has] = sketch(words.hashes, lengths[has])
+            keys.append(flat)
+        counts.append(each)
+    listed = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(prints, pa.binary()), listed], ["w", "fp", "keys"])
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """For ``docs(tid, text)``: ``tid, root`` of the text ids that have links."""
+    udf = F.arrow_udf(_sketch_batch, "w int, fp binary, keys array<bigint>")
+    texts = cut(docs.select("tid", udf("text").alias("s")).groupBy("tid").agg(F.first("s").alias("s")).select(F.col("tid").alias("v"), "s.*"))
+
+    def texts_of(ends: DataFrame) -> DataFrame:
+        side = F.broadcast(ends) if fits(ends, BROADCAST_IDS) else ends
+        return docs.join(side.withColumnRenamed("v", "tid"), "tid", "left_semi").groupBy(F.col("tid").alias("v")).agg(F.min("text").alias("s"))
+
+    return like_groups(texts, texts_of, similarity).withColumnRenamed("v", "tid")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``key, class_id, class_size``; ``class_id`` is the least key of the group."""
-    rows, groups = near_groups(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), similarity)
-    rooted = rows.join(groups.withColumnRenamed("v", "tid"), "tid", "left").select("id", F.coalesce("root", "tid").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return rooted.join(classes, "root").select(F.col("id").alias(key), "class_id", "class_size")
+    docs = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tid", text_id(F.col("text")))
+    groups = near_groups(docs, similarity)
+    # sums by text id first: a text with many copies is one row in all that follows
+    counted = docs.groupBy("tid").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    rooted = cut(counted.join(groups, "tid", "left").withColumn("root", F.coalesce("root", "tid")))
+    classes = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
+    named = cut(rooted.select("tid", "root").join(classes, "root").select("tid", "class_id", "class_size"))
+    named = F.broadcast(named) if fits(named, BROADCAST_IDS) else named
+    return docs.select("id", "tid").join(named, "tid").select(F.col("id").alias(key), "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group: that of the least key (a null one last), then the least text id."""
-    rows, groups = near_groups(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), similarity)
-    counted = rows.groupBy("id", "tid").agg(F.count("*").alias("copies"))
-    rooted = counted.join(groups.withColumnRenamed("v", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "tid", "copies")).alias("x"))
-    best = cut(best.select(F.col("x.id").alias("id_k"), F.col("x.tid").alias("tid_k"), F.col("x.copies").alias("copies_k")))
-    own = docs.withColumn("tid_d", text_id(F.col(text)))
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    work = docs.select(row.alias("row"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tid", text_id(F.col("text")))
+    groups = near_groups(work.select("tid", "text"), similarity)
+    counted = work.groupBy("tid", "id").agg(F.count("*").alias("n")).groupBy("tid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("one"))
+    rooted = counted.join(groups, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    best = rooted.groupBy("root").agg(F.min(F.struct("one.none", "one.id", "tid", "one.n")).alias("x"))
+    best = cut(best.select(F.col("x.id").alias("id2"), F.col("x.tid").alias("tid2"), "x.n"))
     side = F.broadcast(best) if fits(best, BROADCAST_IDS) else best
-    kept = own.join(side, (F.col("tid_d") == F.col("tid_k")) & F.col(key).eqNullSafe(F.col("id_k")))
-    repeated = kept.filter("copies_k > 1").dropDuplicates(["tid_d"])
-    return kept.filter("copies_k = 1").union(repeated).select(*docs.columns)
+    kept = work.join(side, (F.col("tid") == F.col("tid2")) & F.col("id").eqNullSafe(F.col("id2")))
+    if not best.filter("n > 1").isEmpty():  # of rows equal in text and id one stays
+        kept = kept.filter("n = 1").union(kept.filter("n > 1").dropDuplicates(["tid"]))
+    return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

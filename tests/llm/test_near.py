@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
 from corepick.llm import near
 from corepick.llm.groups import connected_groups
+from corepick.llm.words import Words
 
 
 def plain_distance(a, b):
@@ -54,6 +56,13 @@ def corpus():
     return texts
 
 
+def test_keep_one_carries_clashing_columns(spark):
+    names = ["tid", "id", "row", "n", "one", "root", "id2", "tid2", "v", "s", "x", "a.b"]
+    rows = [(2, "a b c d e f", *names), (1, "a b c d e f", *names), (1, "a b c d e f", *names), (3, None, *names)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in names)]))
+    assert sorted(map(tuple, near.keep_one(df).collect())) == [rows[1], rows[3]]
+
+
 def test_classes_equal_brute_force_over_all_pairs(spark, corpus):
     """All texts here are edited lightly enough that every similar pair is connected through shared keys."""
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(corpus)], "doc_id long, text string, class_id string")
@@ -72,6 +81,52 @@ def test_classes_equal_brute_force_over_all_pairs(spark, corpus):
     assert sorted(r.doc_id for r in kept) == sorted({*want}) and kept[0].class_id == "c"
 
 
+def test_recall_of_candidates_by_edits():
+    """Share of pairs with a key in common among texts with 5, 10, 15 and 20 % of words edited."""
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(5000)]
+    for size in (50, 200, 1000):
+        for share in (0.05, 0.1, 0.15, 0.2):
+            found, pairs = 0, 100
+            for _ in range(pairs):
+                a = rnd.choices(vocab, k=size)
+                b = a[:]
+                for i in rnd.sample(range(size), int(share * size)):
+                    b[i] = rnd.choice(vocab)
+                keys = [set(near.sketch(w.hashes, w.per_text())[0].tolist()) for w in (Words([" ".join(x)]) for x in (a, b))]
+                found += bool(keys[0] & keys[1])
+            print(size, share, found / pairs)
+            assert found >= 0.95 * pairs, (size, share, found)
+
+
+def test_sketch_equals_plain():
+    rnd = random.Random(6)
+    texts = [rnd.choices("abc", k=rnd.randrange(1, 60)) for _ in range(40)]
+    words = Words([" ".join(t) for t in texts])
+    keys, counts = near.sketch(words.hashes, words.per_text())
+    gram, owner = near.labelled_kmers(words.hashes, words.per_text())
+    seen, at = {}, 0
+    for n, t in enumerate(texts):
+        own, times = gram[owner == n].tolist(), {}
+        for i, h in enumerate(own):
+            kmer = tuple(t[i : i + near.K])
+            times[kmer] = times.get(kmer, 0) + 1
+            assert seen.setdefault((kmer, times[kmer]), h) == h
+        samples = {}
+        for h in own:
+            samples.setdefault(int(near.mix(np.array([h + 1], np.uint64))[0]) % near.KEYS, []).append(h)
+        assert counts[n] == len(samples)
+        want = set()
+        for number, hs in samples.items():
+            key = number
+            for h in [h for h in hs if h in sorted(hs)[: near.PICKS]]:
+                key = int(near.mix(np.array([(key * 31 + h) % 2**64], np.uint64))[0])
+            want.add(key)
+        assert set(keys[at : at + counts[n]].tolist()) == want
+        at += counts[n]
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_every_candidate_across_groups_is_checked(spark):
     """A chain: the first text of the bucket is like the second only, the third is like the second."""
     rnd = random.Random(9)
