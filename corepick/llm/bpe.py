@@ -6,8 +6,10 @@ and right of it. The new words of some texts take these steps side by side as th
 are kept, up to ``CACHED`` of them. Words of more than ``LONG_WORD`` bytes keep the same state in linked lists and find the
 minimum through a heap, which gives the same merges without a quadratic scan.
 
-Nulls: a null text is encoded as the empty one, null ids decode to the empty text. Repeated rows, clashing extra columns
-and empty tables need no care, since one column is added to each row and nothing is shuffled.
+Nulls: a null text is encoded as the empty one, null ids decode to the empty text. Repeated rows and empty tables need no
+care, since one column is added to each row and nothing is shuffled; extra columns stay, whatever their names. Ties: of equal
+ranks the leftmost merges first. Very long texts are worked on whole, a slice of texts at a time. Classes of characters come
+from Python's Unicode tables; characters that are newer than those may differ from the library (tests go up to U+30000).
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corepick.llm.common import table
+from corepick.llm.common import fresh, table
 
 #: White space in the sense of the tokenizer's patterns: Unicode's White_Space property.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LONG_WORD = 256
-CACHED = 1 << 18
-CHARS_AT_ONCE = 1 << 20
+CACHED = 1 << 16
+CHARS_AT_ONCE = 1 << 18
 NO_MERGE = np.int32(np.iinfo(np.int32).max)
 #: Characters that are neither letters, digits nor white space, without the apostrophe.
 PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -248,7 +250,9 @@ class BpeTokenizer:
 
         def both(bpe: WordBpe, texts: pa.Array) -> pa.Array:
             ids = _encoded(bpe, texts)
-            return pa.StructArray.from_arrays([ids, _decoded(bpe, ids)], ["ids", "decoded"])
+            out = pa.StructArray.from_arrays([ids, _decoded(bpe, ids)], ["ids", "decoded"])
+            pa.default_memory_pool().release_unused()
+            return out
 
         return F.arrow_udf(self._with(both), "ids array<int>, decoded string")(text)
 
@@ -297,9 +301,9 @@ def default_path() -> str:
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded_text") -> DataFrame:
     """``docs`` with the ids of each text and the text decoded from them; columns of the same names are replaced."""
-    bpe = BpeTokenizer(docs.sparkSession, path)
-    done = docs.withColumn("bpe_", bpe.round_trip(F.col(text)))
-    return done.withColumns({ids: F.col("bpe_.ids"), decoded: F.col("bpe_.decoded")}).drop("bpe_")
+    both = fresh(docs, "bpe")
+    done = docs.withColumn(both, BpeTokenizer(docs.sparkSession, path).round_trip(F.col(text)))
+    return done.withColumns({ids: F.col(f"{both}.ids"), decoded: F.col(f"{both}.decoded")}).drop(both)
 
 
 def op3_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:

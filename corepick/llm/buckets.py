@@ -182,6 +182,18 @@ def _parts(similarity: float):
     return run
 
 
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two items, given by the hashes of their words, need no more edits than are allowed."""
+    most, n = edits_allowed(max(len(x), len(y)), similarity), min(len(x), len(y))
+    if len(x) == len(y) and np.count_nonzero(x != y) <= most:  # changed words alone
+        return True
+    differ = np.flatnonzero(x[:n] != y[:n])
+    start = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(x[start:][::-1][: n - start] != y[start:][::-1][: n - start])
+    tail = int(differ[0]) if len(differ) else n - start
+    return edits_within(x[start : len(x) - tail].tolist(), y[start : len(y) - tail].tolist(), most) is not None
+
+
 def links_within(texts: list[str], similarity: float) -> list[tuple[int, int]]:
     """Links that connect what is alike among some texts."""
     words, lengths, fp = [], [], []
@@ -194,23 +206,16 @@ def links_within(texts: list[str], similarity: float) -> list[tuple[int, int]]:
     starts = np.cumsum(sizes) - sizes
     prints = Prints(pa.array(fp, pa.binary()), sizes, similarity)
     root, found = np.arange(len(texts)), []
-    lists: dict[int, list[int]] = {}
-
-    def listed(i: int) -> list[int]:
-        if i not in lists:
-            lists[i] = flat[starts[i] : starts[i] + sizes[i]].tolist()
-        return lists[i]
-
     for i in range(len(texts) - 1):
         others = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
         if not len(others):
             continue
+        x = flat[starts[i] : starts[i] + sizes[i]]
         for j in others[prints.may_be_like(np.full(len(others), i), others)].tolist():
             # what has come into one part meanwhile needs no check
-            if root[i] != root[j] and edits_within(listed(i), listed(j), edits_allowed(int(max(sizes[i], sizes[j])), similarity)) is not None:
+            if root[i] != root[j] and alike(x, flat[starts[j] : starts[j] + sizes[j]], similarity):
                 root[root == root[j]] = root[i]
                 found.append((i, j))
-        lists.pop(i, None)
     return found
 
 

@@ -10,7 +10,8 @@ The score is ``1 - distance / largest possible distance``, from 0 to 1.
 
 Nulls: a null or letterless text is ``und`` with score 0. Documents with a null label or text teach nothing. A null id
 counts as an empty one. Repeated rows are predicted (and, for learning, counted) each. An empty training set makes every
-prediction ``und``. Extra columns are kept by :func:`identify`, one of the names it adds is replaced.
+prediction ``und``. Extra columns are kept by :func:`identify`, whatever their names; one of a name that it adds is replaced.
+Very long texts count whole. More than ``MAX_LANGUAGES`` labels raise an error.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corepick.llm.common import table
+from corepick.llm.common import fresh, table
+from corepick.llm.words import slices
 
 PROFILE_SIZE = 300
 #: Most languages that a model may have; bounds what the driver and each worker hold.
 MAX_LANGUAGES = 2_000
-CHARS_AT_ONCE = 1 << 20
 UNDETERMINED = "und"
 
 
@@ -88,18 +89,6 @@ class Grams:
         return group[top], code[top], rank[top]
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHARS_AT_ONCE characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > CHARS_AT_ONCE:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if texts:
-        yield start, len(texts)
-
-
 def grams_of(texts: list[str], groups: np.ndarray) -> Iterator[tuple[int, int, Grams]]:
     """Grams of slices of texts, of single texts where the letters of a slice are too many for one code."""
     for a, b in slices(texts):
@@ -184,7 +173,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], text: str = "text"
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     guess = F.arrow_udf(run, "label string, score double")(F.col(text))
-    return docs.withColumn("guess_", guess).withColumns({label: F.col("guess_.label"), score: F.col("guess_.score")}).drop("guess_")
+    both = fresh(docs, "guess")
+    return docs.withColumn(both, guess).withColumns({label: F.col(f"{both}.label"), score: F.col(f"{both}.score")}).drop(both)
 
 
 def fold(doc_id: Column) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corepick.llm.common import cut, fits, table
+from corepick.llm.common import cut, fits, fresh, table
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 BROADCAST_LINES = 200_000
@@ -107,10 +107,11 @@ def remove_frequent_lines(docs: DataFrame, text: str = "text", host: str = "sour
 
     A host's list holds at most one line per ``max_docs`` documents and ``1 / max_share`` per line position, so it stays small.
     """
-    common = frequent_lines(docs, text, host, **limits).groupBy(F.col("host").alias("host_c")).agg(F.collect_list("h").alias("hs_c"))
-    joined = docs.join(F.broadcast(common) if fits(common, 10_000) else common, F.col(host).eqNullSafe(F.col("host_c")), "left")
+    own, hashes = fresh(docs, "host_of"), fresh(docs, "hashes_of")
+    common = frequent_lines(docs, text, host, **limits).groupBy(F.col("host").alias(own)).agg(F.collect_list("h").alias(hashes))
+    joined = docs.join(F.broadcast(common) if fits(common, 10_000) else common, F.col(host).eqNullSafe(F.col(own)), "left")
     normal = lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, SPACE, " "))))
-    kept = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("hs_c"), normal(x)), F.lit(False)))
+    kept = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains(F.col(hashes), normal(x)), F.lit(False)))
     return joined.withColumn(text, F.array_join(kept, "\n")).select(*docs.columns)
 
 

@@ -14,15 +14,20 @@ def test_query_equals_sql(spark):
 
 
 def plain(docs, items):
-    """Every offset of every pair, without seeds."""
+    """Every run at every offset of every pair, without seeds and sums."""
     out = {}
     for d, x in docs:
         for b, y in items:
             for shift in range(-len(y) + 1, len(x)):
                 lo, hi = max(0, shift), min(len(x), len(y) + shift)
-                n, e = hi - lo, sum(x[i] == y[i - shift] for i in range(lo, hi))
-                if n >= min(dc.MIN_TOKENS, len(y)) and e >= dc.SIMILARITY * n:
-                    out[d, b] = max(out.get((d, b), (0, 0)), (e, -n))
+                same = [x[i] == y[i - shift] for i in range(lo, hi)]
+                if len(y) < min(map(len, dc.MASKS)) and not (same and all(same) and len(same) == len(y)):
+                    continue
+                for end in range(1, len(same) + 1):
+                    # the longest run that ends here and agrees
+                    start = next((i for i in range(end) if 5 * sum(same[i:end]) >= 4 * (end - i)), end)
+                    if end - start >= min(dc.MIN_TOKENS, len(y)):
+                        out[d, b] = max(out.get((d, b), (0, -9999)), (sum(same[start:end]), start - end))
     return {(*k, -n, e) for k, (e, n) in out.items()}
 
 
@@ -71,18 +76,35 @@ def test_plan_is_native(spark):
 
 
 def test_parts_edits_and_short_items_are_found(spark, tmp_path):
-    item = [f"t{i}" for i in range(59)]
-    around = [f"x{i}" for i in range(40)]
+    item = [f"t{i}" for i in range(60)]
+    around = [f"x{i}" for i in range(100)]
     few = "just five tokens in all".split()
-    texts = [around + item[10:40] + around, around + item[:30] + ["new"] + item[30:] + around, around + item[:29] + item[30:] + around, around + item[20:33] + around, around + item[20:32] + around, around + few + around, around + few[:4] + around]
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    texts = [
+        around + item[10:40] + around,
+        around + item[:30] + ["new"] + item[30:] + around,
+        around + item[:29] + item[30:] + around,
+        around + item[20:33] + around,
+        around + item[20:30] + around,
+        around + few + around,
+        around + few[:4] + around,
+        around + ["changed" if i % 6 == 5 else t for i, t in enumerate(item)] + around,
+        around + around,
+    ]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    names = ["hit_key", "hit_text", "k_", "t_", "item_", "hit_"]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], ", ".join(["doc_id long", "text string", *(f"{c} string" for c in names)]))
     items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(few))], "item_id long, text string")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {(r.doc_id, r.item_id): (r.n_overlap, r.n_equal) for r in dc.contaminated(docs, items, parts=True).collect()}
-    kept = {r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()}
-    assert kept == {4, 6}
-    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 1), (5, 2)}
-    brute = lambda e: max((sum(e[i:j]), i - j) for i in range(len(e)) for j in range(i + 13, len(e) + 1) if e[i] and e[j - 1] and sum(e[i:j]) >= 0.8 * (j - i))
-    same = [10 <= i < 40 for i in range(59)]
-    equal, n = brute(same)
-    assert got[0, 1] == (-n, equal) and got[5, 2] == (5, 5)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = dc.op2_spaced_seeds(spark, str(tmp_path)).toPandas()
+    same_rows(got, run_sql(dc.OP2_SQL, str(tmp_path)))
+    assert {tuple(map(int, r)) for r in got[["doc_id", "item_id", "n_overlap", "n_equal"]].itertuples(index=False)} == plain([(d, t.split()) for d, t in rows], [(1, item), (2, few)])
+    kept = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {4, 6, 8} and kept.columns == docs.columns
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    item = " ".join(f"t{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, item), (None, "clean"), (1, item), (1, "clean"), (1, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(map(str, dc.drop_contaminated(docs, items).collect())) == ["Row(doc_id=1, text='clean')", "Row(doc_id=None, text='clean')"]

@@ -7,7 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from corepick.llm import decontaminate, langid, near
+from corepick.llm import decontaminate, langid, near, quality
 from tests.llm.helpers import SF
 from tests.llm.test_langid import plain_grams, plain_predict
 from tests.llm.test_lines import brute
@@ -63,3 +63,20 @@ def test_hard_rows_pass_every_stage(spark, tmp_path):
             if name != "bpe":
                 assert docs.columns == df.columns
         assert docs.count() <= 3
+
+
+def test_clashing_columns_pass_every_stage(spark, tmp_path):
+    names = ["guess", "hit_key", "hit_text", "tid", "row", "bpe", "root", "v", "id"]
+    text = " ".join(f"word{i} and the" for i in range(60))
+    df = spark.createDataFrame([(1, text, "en", "s", len(text), *names)], ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *(f"{c} string" for c in names)]))
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = df
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert [tuple(r) for r in docs.collect()] == [tuple(r) for r in df.collect()]
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 1
+
+
+def test_quality_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "h", "x", "y")], "doc_id long, text string, source string, host_of string, hashes_of string")
+    assert [tuple(r) for r in quality.remove_frequent_lines(df).collect()] == [(1, "a b", "h", "x", "y")]
