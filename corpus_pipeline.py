@@ -2,6 +2,11 @@
 
 Stages take ``(spark, docs, sf_dir)``; all but the last return the columns of ``documents``. A caller may write what a
 stage returns and hand the reread table to the next; :func:`run` cuts the plan between stages with a checkpoint instead.
+
+Nulls: a null text has no language and goes in the first stage; later stages given one keep it as it is (line dedup drops
+it, as it has no word). A null id, language, source or length is kept; ties for what stays of a group go to the least id, a
+null one last, then to the text. Of rows equal in id and text, near dedup keeps one. Extra columns stay up to the last stage,
+whatever their names. Empty tables pass every stage. Texts are worked on whole, however long.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark, whole or in part."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), parts=True)
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
