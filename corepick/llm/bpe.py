@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corepick.llm.common import fresh, table
+from corepick.llm.common import fresh, small_batches, table
 
 #: White space in the sense of the tokenizer's patterns: Unicode's White_Space property.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -301,6 +301,7 @@ def default_path() -> str:
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded_text") -> DataFrame:
     """``docs`` with the ids of each text and the text decoded from them; columns of the same names are replaced."""
+    small_batches(docs.sparkSession)
     both = fresh(docs, "bpe")
     done = docs.withColumn(both, BpeTokenizer(docs.sparkSession, path).round_trip(F.col(text)))
     return done.withColumns({ids: F.col(f"{both}.ids"), decoded: F.col(f"{both}.decoded")}).drop(both)

@@ -128,8 +128,18 @@ def group_ends(t: pa.Table, key: int) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(t))
 
 
-def join_roots(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-    """Make the roots of ``x`` and ``y`` one, the least, for each pair."""
+def spread(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the first row of its group, and how many rows of it follow."""
+    starts = np.concatenate([[0], ends[:-1]])
+    return np.repeat(starts, ends - starts), np.repeat(ends, ends - starts) - np.arange(int(ends[-1])) - 1
+
+
+def join_roots(root: np.ndarray, x: np.ndarray, y: np.ndarray, start: int = 0, end: int | None = None) -> None:
+    """Make the roots of ``x`` and ``y`` one, the least, for each pair; all rows that share a root are between start and end."""
+    if len(x) == 1:
+        (a, b), own = sorted((int(root[x[0]]), int(root[y[0]]))), root[start:end]
+        own[own == b] = a
+        return
     while len(x):
         a, b = root[x], root[y]
         np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
@@ -142,8 +152,7 @@ def join_roots(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 def bucket_parts(prints: Prints, ends: np.ndarray) -> np.ndarray:
     """For each row the first row of the part that prints connect it to within its bucket."""
     n = int(ends[-1])
-    starts = np.concatenate([[0], ends[:-1]])
-    first, left = np.repeat(starts, ends - starts), np.repeat(ends, ends - starts) - np.arange(n) - 1
+    first, left = spread(ends)
     root = np.arange(n)
     rest = np.flatnonzero(first != root)
     like = rest[prints.may_be_like(first[rest], rest)]
@@ -194,8 +203,8 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return edits_within(x[start : len(x) - tail].tolist(), y[start : len(y) - tail].tolist(), most) is not None
 
 
-def links_within(texts: list[str], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect what is alike among some texts."""
+def links_within(texts: list[str], ends: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what is alike in each of some groups of texts; a group ends where ``ends`` says."""
     words, lengths, fp = [], [], []
     for a, b in text_slices(texts):
         some = Words(texts[a:b])
@@ -205,17 +214,27 @@ def links_within(texts: list[str], similarity: float) -> list[tuple[int, int]]:
     flat, sizes = np.concatenate(words), np.concatenate(lengths)
     starts = np.cumsum(sizes) - sizes
     prints = Prints(pa.array(fp, pa.binary()), sizes, similarity)
+    first, left = spread(ends)
     root, found = np.arange(len(texts)), []
-    for i in range(len(texts) - 1):
-        others = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-        if not len(others):
-            continue
-        x = flat[starts[i] : starts[i] + sizes[i]]
-        for j in others[prints.may_be_like(np.full(len(others), i), others)].tolist():
+
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        like = prints.may_be_like(a, b)
+        for i, j in zip(a[like].tolist(), b[like].tolist()):
             # what has come into one part meanwhile needs no check
-            if root[i] != root[j] and alike(x, flat[starts[j] : starts[j] + sizes[j]], similarity):
-                root[root == root[j]] = root[i]
+            if root[i] != root[j] and alike(flat[starts[i] : starts[i] + sizes[i]], flat[starts[j] : starts[j] + sizes[j]], similarity):
+                join_roots(root, np.array([i]), np.array([j]), int(first[i]), int(j + left[j] + 1))
                 found.append((i, j))
+
+    # first with the first text of each group, then, where that leaves several parts, with the next ones in turn
+    link(first[rest := np.flatnonzero(first != np.arange(len(texts)))], rest)
+    apart = np.zeros(len(texts), bool)
+    apart[first[rest[root[rest] != first[rest]]]] = True
+    at, step = np.flatnonzero(apart[first] & (left > 0)), 1
+    while len(at):
+        open_ = at[root[at] != root[at + step]]
+        link(open_, open_ + step)
+        step += 1
+        at = at[left[at] >= step]
     return found
 
 
@@ -224,15 +243,10 @@ def _link(similarity: float):
 
     def run(batches):
         for t in runs(batches, ["g", "lo", "hi", "v", "s"], 3):
-            a, b, start = [], [], 0
-            for end in group_ends(t, 3).tolist():
-                for i, j in links_within(t.column("s").slice(start, end - start).to_pylist(), similarity):
-                    a.append(start + i)
-                    b.append(start + j)
-                start = end
-            if a:
+            found = links_within(t.column("s").to_pylist(), group_ends(t, 3), similarity)
+            if found:
                 v = t.column("v").combine_chunks()
-                yield pa.RecordBatch.from_arrays([v.take(pa.array(a)), v.take(pa.array(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([v.take(pa.array(x)) for x in zip(*found)], names=["a", "b"])
 
     return run
 

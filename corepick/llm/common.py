@@ -23,6 +23,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of about 4 MB, unless the session has a limit of its own: a worker holds a batch as
+    Arrow, as strings and as arrays at once."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit) == "67108864b":
+        spark.conf.set(limit, "4m")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that is no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corepick.llm.common import fresh, table
+from corepick.llm.common import fresh, small_batches, table
 from corepick.llm.words import slices
 
 PROFILE_SIZE = 300
@@ -113,6 +113,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
                     names=["lang", "gram", "n"],
                 )
 
+    small_batches(docs.sparkSession)
     labelled = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t IS NOT NULL AND l IS NOT NULL")
     counts = labelled.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_place = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -165,6 +166,7 @@ def nearest(texts: list[str], profiles: dict[str, list[str]], size: int = PROFIL
 
 def identify(docs: DataFrame, profiles: dict[str, list[str]], text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its score."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(texts: pa.Array) -> pa.Array:

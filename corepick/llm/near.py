@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corepick.llm.buckets import like_groups, prints_of
-from corepick.llm.common import cut, fits, table, text_id
+from corepick.llm.common import cut, fits, small_batches, table, text_id
 from corepick.llm.words import Words, mix, slices
 
 K = 5
@@ -95,6 +95,7 @@ def _sketch_batch(texts: pa.Array) -> pa.Array:
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """For ``docs(tid, text)``: ``tid, root`` of the text ids that have links."""
+    small_batches(docs.sparkSession)
     udf = F.arrow_udf(_sketch_batch, "w int, fp binary, keys array<bigint>")
     texts = cut(docs.select("tid", udf("text").alias("s")).groupBy("tid").agg(F.first("s").alias("s")).select(F.col("tid").alias("v"), "s.*"))
 
