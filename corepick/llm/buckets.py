@@ -35,6 +35,8 @@ from corepick.llm.words import slices as text_slices
 CHUNK = 8192
 TEXTS = 2048
 BROADCAST_KEYS = 2_000_000
+#: Words up to which an alignment is as cheap as a bound of it.
+FEW = 24
 #: Print rows that are compared at once.
 AT_ONCE = 1 << 18
 
@@ -191,6 +193,19 @@ def _parts(similarity: float):
     return run
 
 
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two arrays have in common, repeated ones as often as both have them."""
+    (a, m), (b, n) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    if not len(a) or not len(b):
+        return 0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int(np.minimum(m, n[at])[b[at] == a].sum())
+
+
+def neighbours(x: np.ndarray) -> np.ndarray:
+    return mix(x[:-1] * np.uint64(31) + x[1:])
+
+
 def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     """Whether two items, given by the hashes of their words, need no more edits than are allowed."""
     most, n = edits_allowed(max(len(x), len(y)), similarity), min(len(x), len(y))
@@ -200,7 +215,12 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     start = int(differ[0]) if len(differ) else n
     differ = np.flatnonzero(x[start:][::-1][: n - start] != y[start:][::-1][: n - start])
     tail = int(differ[0]) if len(differ) else n - start
-    return edits_within(x[start : len(x) - tail].tolist(), y[start : len(y) - tail].tolist(), most) is not None
+    x, y = x[start : len(x) - tail], y[start : len(y) - tail]
+    # an edit takes one word at most from what both have in common, and two pairs of neighbours
+    n = max(len(x), len(y))
+    if n > FEW and (n - in_common(x, y) > most or n - 1 - in_common(neighbours(x), neighbours(y)) > 2 * most):
+        return False
+    return edits_within(x.tolist(), y.tolist(), most) is not None
 
 
 def links_within(texts: list[str], ends: np.ndarray, similarity: float) -> list[tuple[int, int]]:
