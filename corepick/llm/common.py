@@ -12,7 +12,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not shared and not spark.sparkContext.master.startswith("local["):
+        if not shared and spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corepick-checkpoint-"))
 
