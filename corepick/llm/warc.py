@@ -1,12 +1,19 @@
 """Derivatives of web archive responses: linked metadata and plain-text conversion records.
 
 Each response gives two records. Both name it in ``WARC-Refers-To`` and carry its target, date and payload digest; the
-metadata record lists what was found in the page, the conversion record holds its text. A record id is a UUID made from
-what the record is derived from, so a task that is run again writes the same ids. :func:`write_warc` writes records that
-readers of the format accept: the header lines, an empty line, the block, and two line ends.
-
-Nothing is shuffled. Nulls: a null body is an empty one, a null target or date leaves its header out. Repeated rows give
-equal records. Extra columns of the responses are dropped except those listed in ``keep``. An empty table gives no records.
+metadata record lists what was found in the page and every header line of the source, the conversion record holds the text.
+A record id is a UUID made from what the record is derived from, so a task that is run again writes the same ids.
+:func:`write_warc` writes records that readers of the format accept: the header lines, an empty line, the block, and two line
+ends.
+
+Pages are read by one scan whose time is in proportion to the page. A comment, script or style without an end runs to the end
+of the page, as in browsers; a head, title, noscript or template without an end hides nothing; a ``<`` without a later ``>``
+is text. Links count where they are visible.
+
+Nothing is shuffled. Nulls: a null body is an empty one, a null target leaves its header out, a null date is that of
+:func:`derive`, null source headers are none. Repeated rows give equal records, and nothing depends on an order, so there are
+no ties. Extra columns of the responses are dropped except those listed in ``keep``. An empty table gives no records. Very
+long pages are worked on whole.
 """
 
 from __future__ import annotations
@@ -20,24 +27,79 @@ from pyspark.sql import functions as F
 
 from corepick.llm.common import table
 
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head|title)\b[^>]*>.*?</\1\s*>|<![^>]*>", re.S | re.I)
-BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-TAGS = re.compile(r"</?[a-z][^>]*>", re.I)
+#: What the query gives as the date of its records, since ``pages`` has none.
+DATE = "2024-01-01T00:00:00Z"
+
+# Elements of the page whose tags end a line.
+BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th tr ul".split())
+TO_THE_END = frozenset(("script", "style"))
+MARKUP = re.compile(r"<(?:!--|!|(/?)([a-z][a-z0-9]*))", re.I)
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "noscript", "template", "title")}
+HEAD_END = re.compile(r"</head(?=[\s/>])|<body(?=[\s/>])", re.I)
+TAGS = re.compile(r"</?[a-z][^<>]*>", re.I)
 BLANKS = re.compile(r"[^\S\n]+")
 LINES = re.compile(r" ?\n[ \n]*")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*\bhref\s*=", re.I)
+LANG = re.compile(r"[\s\"'/]lang\s*=\s*[\"']?([\w-]+)", re.I)
+LINK = re.compile(r"[\s\"'/]href\s*=", re.I)
+ZEROS = re.compile(r"&#0+(?=\d)")
+LONG_NUMBERS = re.compile(r"&#(\d{8})\d+")
+
+
+def unescape(text: str) -> str:
+    """Character references resolved; numbers too long to be a character are cut first, as Python refuses the longest."""
+    return html.unescape(LONG_NUMBERS.sub(r"&#\1", ZEROS.sub("&#", text)) if "&#" in text else text)
 
 
 def page_facts(body: str) -> tuple[str, str, str, int]:
     """Title, language and text of a page, and how many links it has."""
-    title = TITLE.search(body)
-    lang = LANG.search(body)
-    text = TAGS.sub("", BREAKS.sub("\n", HIDDEN.sub(" ", body)))
-    text = LINES.sub("\n", BLANKS.sub(" ", html.unescape(text))).strip()
-    name = " ".join(html.unescape(TAGS.sub("", title[1])).split()) if title else ""
-    return name, lang[1] if lang else "", text, len(LINK.findall(body))
+    out, title, lang, links = [], None, "", 0
+    at, head_end, endless = 0, 0, set()
+    while m := MARKUP.search(body, at):
+        start, name = m.start(), (m[2] or "").lower()
+        if start >= head_end:
+            out.append(body[max(at, head_end) : start])
+        comment = body.startswith("<!--", start)
+        end = body.find("-->", start + 4) if comment else body.find(">", m.end())
+        if end < 0:
+            if not comment:
+                at = start
+                break  # no tag can end any more
+            at = len(body)
+            break
+        at = end + (3 if comment else 1)
+        if not name:
+            out.append(" ")
+        elif name in BREAKS:
+            out.append("\n")
+        elif m[1]:
+            continue
+        elif name == "a":
+            links += start >= head_end and LINK.search(body, m.end(), end) is not None
+        elif name == "html":
+            found = None if lang else LANG.search(body, m.end(), end)
+            lang = found[1] if found else lang
+        elif name == "head":
+            if start >= head_end and name not in endless:
+                found = HEAD_END.search(body, at)
+                head_end = found.start() if found else head_end
+                endless |= set() if found else {name}
+                out.append(" ")
+        elif name in ENDS and name not in endless:
+            found = ENDS[name].search(body, at)
+            if found is None:
+                endless.add(name)
+                if name in TO_THE_END:
+                    at = len(body)
+                    break
+                continue
+            if name == "title" and title is None:
+                title = body[at : found.start()]
+            end = body.find(">", found.end())
+            at = end + 1 if end >= 0 else len(body)
+            out.append(" ")
+    out.append(body[max(at, head_end) :])
+    text = LINES.sub("\n", BLANKS.sub(" ", unescape("".join(out)))).strip()
+    return " ".join(unescape(TAGS.sub("", title or "")).split()), lang, text, links
 
 
 def _facts(bodies: pa.Array) -> pa.Array:
@@ -59,12 +121,27 @@ def uuid_of(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">"))
 
 
-def responses_of(pages: DataFrame, date: str | None = None, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """Response records (``key, record_id, target_uri, date, http_headers, payload``) of a table of pages."""
+def responses_of(pages: DataFrame, date: str | None = None, key: str = "page_id", url: str = "url", body: str = "html", headers: str | None = None) -> DataFrame:
+    """Response records (``key, record_id, target_uri, date, http_headers, payload``) of a table of pages. ``headers`` names
+    the column with a response's status line and header lines; without it they are made from the body."""
     payload = F.coalesce(F.col(body), F.lit(""))
-    headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"))
+    made = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"))
+    source = F.col(headers) if headers else made
     identity = uuid_of(F.lit("response"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(url), F.lit("")), F.md5(payload.cast("binary")))
-    return pages.select(F.col(key), identity.alias("record_id"), F.col(url).alias("target_uri"), F.lit(date).cast("string").alias("date"), headers.alias("http_headers"), payload.alias("payload"))
+    return pages.select(F.col(key), identity.alias("record_id"), F.col(url).alias("target_uri"), F.lit(date).cast("string").alias("date"), source.alias("http_headers"), payload.alias("payload"))
+
+
+def source_fields(headers: Column) -> Column:
+    """A ``source-`` field for the status line and for each header line, in their order; folded lines are made one, and lines
+    without a name are left as ``source-line``."""
+    lines = F.split(F.regexp_replace(F.coalesce(headers, F.lit("")), "\\r?\\n[ \\t]+", " "), "[\\r\\n]+")
+
+    def field(line: Column) -> Column:
+        named = F.concat(F.lit("source-"), F.lower(F.regexp_extract(line, "^([^\\s:]+)", 1)), F.lit(": "), F.trim(F.regexp_extract(line, "^[^\\s:]+[ \\t]*:(.*)$", 1)))
+        status = line.rlike("^HTTP/[0-9.]+[ \\t]")
+        return F.concat(F.when(status, F.concat(F.lit("source-status: "), line)).when(line.rlike("^[^\\s:]+[ \\t]*:"), named).otherwise(F.concat(F.lit("source-line: "), line)), F.lit("\r\n"))
+
+    return F.array_join(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), field), "")
 
 
 def header(name: str, value: Column) -> Column:
@@ -72,18 +149,17 @@ def header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), "[\\r\\n]+", " "), F.lit("\r\n")), F.lit(""))
 
 
-def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def derive(responses: DataFrame, keep: tuple[str, ...] = (), date: str = DATE) -> DataFrame:
     """Two records per response: ``keep``, ``record_type, record_id, refers_to, target_uri, date, source_digest, block_digest,
-    content_length, header, block``."""
+    content_length, header, block``. ``date`` is that of records whose response has none, as each record must have one."""
     facts = F.arrow_udf(_facts, "title string, lang string, text string, links long")
-    r = responses.select(*keep, "record_id", "target_uri", "date", "http_headers", sha1_label(F.coalesce("payload", F.lit(""))).alias("source_digest"), facts("payload").alias("f"))
-    source = F.regexp_extract("http_headers", "(?i)content-type:[ \\t]*([^\\r\\n]*)", 1)
+    r = responses.select(*keep, "record_id", "target_uri", F.coalesce("date", F.lit(date)).alias("date"), "http_headers", sha1_label(F.coalesce("payload", F.lit(""))).alias("source_digest"), facts("payload").alias("f"))
     fields = F.concat(
         header("title", F.col("f.title")),
         header("language", F.when(F.col("f.lang") != "", F.col("f.lang"))),
         header("outlinks", F.col("f.links")),
         header("text-bytes", F.octet_length("f.text")),
-        header("source-content-type", F.when(source != "", source)),
+        source_fields(F.col("http_headers")),
         header("source-payload-digest", F.col("source_digest")),
     )
     kinds = F.array(
@@ -113,5 +189,5 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = derive(responses_of(table(spark, sf_dir, "pages")), keep=("page_id",))
+    records = derive(responses_of(table(spark, sf_dir, "pages"), DATE), keep=("page_id",))
     return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "content_length", F.sha2("header", 256).alias("header_sha256"), F.sha2("block", 256).alias("block_sha256"))

@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import time
+import uuid
 from html.parser import HTMLParser
 
 from corepick.llm import warc
@@ -78,6 +80,49 @@ def test_records_are_linked_and_readable(spark, tmp_path):
     assert seen == 10
 
 
+def test_hostile_pages():
+    facts = warc.page_facts
+    assert facts("a <script>hi\nvar x=1;")[2] == "a" and facts("a <!-- b <p>c")[2] == "a"
+    assert facts("<head><title>t<p>body") == ("", "", "t\nbody", 0)
+    assert facts("1 < 2 <b and")[2] == "1 < 2 <b and"
+    assert facts("<head><title>T</title><meta><body>x")[:3] == ("T", "", "x")
+    assert facts("<a href=x>1</a><!-- <a href=y> --><noscript><a href=z>2</a></noscript>")[2:] == ("1", 1)
+    assert facts("&#" + "9" * 6000 + "; &#" + "0" * 6000 + "65;")[2] == "\ufffd A"
+    for piece in ("<!--", "<script", "<script>", "</script ", "<title>", "<head>", "<", "<a ", "<noscript>", "&#", "<title></title ", "\n ", "<p>"):
+        start = time.time()
+        facts(piece * 200_000)
+        assert time.time() - start < 5, piece
+
+
+def test_source_headers(spark):
+    lines = "HTTP/1.1 404 Not Found\r\nServer: x\r\nX-Long: a\r\n\tb\r\nSet-Cookie: 1=2\r\nset-cookie: c: d\r\nodd line\r\n\r\n"
+    df = spark.createDataFrame([(1, "u", "b", lines), (2, "u", "b", None)], "page_id long, url string, html string, h string")
+    rows = warc.derive(warc.responses_of(df, headers="h"), keep=("page_id",)).filter("record_type = 'metadata'").collect()
+    block = {r.page_id: r.block for r in rows}
+    want = "source-status: HTTP/1.1 404 Not Found\r\nsource-server: x\r\nsource-x-long: a b\r\nsource-set-cookie: 1=2\r\nsource-set-cookie: c: d\r\nsource-line: odd line\r\n"
+    assert block[1].split("text-bytes: 1\r\n")[1].split("source-payload")[0] == want
+    assert block[2].split("text-bytes: 1\r\n")[1].startswith("source-payload")
+    assert all(f"WARC-Date: {warc.DATE}\r\n" in r.header for r in rows)
+
+
+def test_query_equals_plain_python(spark):
+    label = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    name = lambda *parts: f"<urn:uuid:{uuid.UUID(hashlib.md5(chr(10).join(parts).encode()).hexdigest())}>"
+    want = set()
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        body = (r.html or "").encode()
+        source = name("response", str(r.page_id), r.url, hashlib.md5(body).hexdigest())
+        title, lang, text, links = plain(r.html or "")
+        fields = [f"title: {title}", *([f"language: {lang}"] if lang else []), f"outlinks: {links}", f"text-bytes: {len(text.encode())}", "source-status: HTTP/1.1 200 OK"]
+        fields += ["source-content-type: text/html; charset=utf-8", f"source-content-length: {len(body)}", f"source-payload-digest: {label(body)}"]
+        for kind, content, block in (("metadata", "application/warc-fields", "".join(f + "\r\n" for f in fields).encode()), ("conversion", "text/plain; charset=utf-8", text.encode())):
+            head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(kind, source)}", f"WARC-Refers-To: {source}", f"WARC-Target-URI: {r.url}", f"WARC-Date: {warc.DATE}"]
+            head += [f"WARC-Source-Payload-Digest: {label(body)}", f"WARC-Block-Digest: {label(block)}", f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+            digest = hashlib.sha256("".join(h + "\r\n" for h in head).encode()).hexdigest()
+            want.add((r.page_id, kind, name(kind, source), source, r.url, label(body), label(block), len(block), digest, hashlib.sha256(block).hexdigest()))
+    assert {tuple(r) for r in warc.op9_warc_derivatives(spark, SF).collect()} == want
+
+
 def test_query_and_empty_table(spark, tmp_path):
     assert warc.op9_warc_derivatives(spark, SF).count() == 2 * spark.read.parquet(f"{SF}/pages.parquet").count()
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
