@@ -1,12 +1,17 @@
 """Licence scan by lookup of canonical digests.
 
-A text is made canonical: lower case, copyright lines taken out, equivalent spellings made one, everything but letters and
-digits made a blank. The SHA-256 of that is joined by hash to the digests of known licence texts and notices, made the same
-way. The whole document is looked up, and each of its lines as a text of its own, which finds one-line notices.
+A text is made canonical: lower case, copyright lines taken out, everything but letters and digits made a blank, equivalent
+spellings made one. So neither line ends nor comment signs at their beginning matter. A copyright line begins with
+"copyright", "(c)" or the sign and goes on with a year, a sign or a name; a line of the licence itself that a wrap lets begin
+with "copyright holders" and the like stays. A notice that goes on in the next line is taken out only as far as the first.
+The SHA-256 of that is joined by hash to the digests of known licence texts and notices, made the same way. The whole
+document is looked up, and each of its lines as a text of its own, which finds one-line notices. :func:`read_known` takes a
+folder of licence texts where :data:`KNOWN` is not enough.
 
 The known digests are broadcast; their number is that of ``known`` (checked against ``BROADCAST_ROWS``, joined by a shuffle
-beyond that). Nulls: a null text is empty, and empty texts match nothing; a null id stays. Rows equal in id and text get
-equal results. Extra columns are ignored. An empty table gives no rows.
+beyond that). Nulls: a null text is empty, and empty texts match nothing; a null id stays. Ties: of licences with one digest
+the least name is given. Rows equal in id and text get equal results. Extra columns are ignored, whatever their names. An
+empty table gives no rows. Very long texts are worked on whole, by expressions of Spark.
 """
 
 from __future__ import annotations
@@ -60,28 +65,30 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 )
-#: Each pattern stands for its equivalent.
+#: Each pattern stands for its equivalent, over words with one blank between them.
 SPELLINGS = (
-    ("licen[cs]e", "license"),
-    ("licen[cs]ing", "licensing"),
-    ("sub-license", "sublicense"),
+    ("licenc", "licens"),
+    ("sub licens", "sublicens"),
     ("organisation", "organization"),
     ("authoris", "authoriz"),
     ("favour", "favor"),
-    ("non-?commercial", "noncommercial"),
-    ("https?://", "http://"),
+    ("non commercial", "noncommercial"),
+    ("https ", "http "),
     ("copyright owner", "copyright holder"),
     ("gnu gpl", "gnu general public license"),
 )
-COPYRIGHT = "^[^a-z0-9]*(copyright|\\(c\\)|©|all rights reserved)"
+#: A line that begins like a copyright notice,
+COPYRIGHT = "^[^a-z0-9]*(copyright|©|\\(c\\)[^a-z]*[0-9]{4}|\\(c\\)[^a-z]*copyright|all rights reserved)"
+#: and how a wrapped line of a licence may begin instead.
+OF_THE_TEXT = "^[^a-z0-9]*copyright[^a-z0-9©]*$|^[^a-z0-9]*copyright[^a-z0-9(©]+(and|for|holders?|in|interests?|is|laws?|licen[cs]es?|notices?|of|or|owners?|statements?|to)([^a-z]|$)"
 
 
 def canonical(text: Column) -> Column:
-    lines = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: ~x.rlike(COPYRIGHT))
-    out = F.array_join(lines, "\n")
+    lines = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: ~x.rlike(COPYRIGHT) | x.rlike(OF_THE_TEXT))
+    out = F.regexp_replace(F.array_join(lines, "\n"), "[^\\p{L}\\p{N}]+", " ")
     for pattern, one in SPELLINGS:
-        out = F.regexp_replace(out, pattern, one)
-    return F.trim(F.regexp_replace(out, "[^\\p{L}\\p{N}]+", " "))
+        out = F.replace(out, F.lit(pattern), F.lit(one))
+    return F.trim(out)
 
 
 def digest(text: Column) -> Column:
@@ -93,6 +100,12 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     return rows.select("license", digest(F.col("text")).alias("digest_")).groupBy("digest_").agg(F.min("license").alias("license"))
 
 
+def read_known(spark: SparkSession, folder: str) -> DataFrame:
+    """The digests of the licence texts in a folder, one a file; a file's name without ``.txt`` is its licence."""
+    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+?)(?:[.]txt)?$", 1).alias("license"), digest(F.col("value")).alias("digest_"))
+    return rows.groupBy("digest_").agg(F.min("license").alias("license"))
+
+
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``key, digest, license`` (of the whole text, or null), ``n_license_lines, line_licenses``."""
     known = F.broadcast(known) if fits(known, BROADCAST_ROWS) else known
@@ -110,10 +123,12 @@ def op4_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"array_to_string(list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda x: NOT regexp_matches(x, '{COPYRIGHT}')), chr(10))"
+    keeps = f"NOT regexp_matches(x, '{COPYRIGHT}') OR regexp_matches(x, '{OF_THE_TEXT}')"
+    out = f"array_to_string(list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda x: {keeps}), chr(10))"
+    out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
     for pattern, one in SPELLINGS:
-        out = f"regexp_replace({out}, '{pattern}', '{one}', 'g')"
-    return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        out = f"replace({out}, '{pattern}', '{one}')"
+    return f"trim({out})"
 
 
 _VALUES = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)

@@ -1,3 +1,5 @@
+import textwrap
+
 from corepick.llm import licenses
 from tests.llm.helpers import SF, run_sql, same_rows
 
@@ -23,3 +25,24 @@ def test_variants_and_hard_rows(spark, tmp_path):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan(df, licenses.known_digests(spark)).count() == 0
+
+
+def test_every_wrap_and_comment_sign(spark):
+    texts = [x for x in licenses.KNOWN if len(x[1]) > 300]
+    rows, want = [], []
+    for name, body in texts:
+        for width in range(12, 131):
+            for sign in ("", "# ", " * "):
+                wrapped = "\n".join(sign + line for part in body.split("\n") for line in textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False) or [""])
+                rows.append((len(rows), f"{sign}Copyright (c) 2020 A. Person\n{sign}Copyright Some Body\n{sign}(C) 2001-2003 X\n{sign}All rights reserved.\n" + wrapped))
+                want.append(name)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df, licenses.known_digests(spark)).collect()}
+    assert [i for i, name in enumerate(want) if got[i] != name] == []
+
+
+def test_known_from_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Do what you like.\nBut not here.")
+    df = spark.createDataFrame([(1, "do what YOU like but not here", 1, 2), (2, "x", 1, 2)], "doc_id long, text string, license int, k_ int")
+    got = {r.doc_id: r.license for r in licenses.scan(df, licenses.read_known(spark, str(tmp_path))).collect()}
+    assert got == {1: "Own-1.0", 2: None}
