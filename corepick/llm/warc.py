@@ -41,6 +41,10 @@ BLANKS = re.compile(r"[^\S\n]+")
 LINES = re.compile(r" ?\n[ \n]*")
 LANG = re.compile(r"[\s\"'/]lang\s*=\s*[\"']?([\w-]+)", re.I)
 LINK = re.compile(r"[\s\"'/]href\s*=", re.I)
+STATUS = re.compile(r"HTTP/[0-9.]+[ \t]")
+BLANK = re.compile(r"\s")
+ENDS_OF_LINES = re.compile(r"[\r\n]+")
+FOLDS = re.compile(r"\r?\n[ \t]+")
 ZEROS = re.compile(r"&#0+(?=\d)")
 LONG_NUMBERS = re.compile(r"&#(\d{8})\d+")
 
@@ -102,10 +106,27 @@ def page_facts(body: str) -> tuple[str, str, str, int]:
     return " ".join(unescape(TAGS.sub("", title or "")).split()), lang, text, links
 
 
-def _facts(bodies: pa.Array) -> pa.Array:
-    rows = [page_facts(b.as_py() or "") for b in bodies]
-    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))]
-    return pa.StructArray.from_arrays(columns, ["title", "lang", "text", "links"])
+def source_fields(headers: str) -> str:
+    """A ``source-`` field for the status line and for each header line, in their order; folded lines are made one, and lines
+    without a name are left as ``source-line``."""
+    out = []
+    for line in filter(str.strip, ENDS_OF_LINES.split(FOLDS.sub(" ", headers))):
+        name, colon, value = line.partition(":")
+        name = name.rstrip(" \t")
+        if STATUS.match(line):
+            out.append(f"source-status: {line}\r\n")
+        elif colon and name and not BLANK.search(name):
+            out.append(f"source-{name.lower()}: {value.strip()}\r\n")
+        else:
+            out.append(f"source-line: {line}\r\n")
+    return "".join(out)
+
+
+def _facts(bodies: pa.Array, headers: pa.Array) -> pa.Array:
+    rows = [(*page_facts(b.as_py() or ""), source_fields(h.as_py() or "")) for b, h in zip(bodies, headers)]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+    return pa.StructArray.from_arrays(columns, ["title", "lang", "text", "links", "source"])
 
 
 def sha1_label(data: Column) -> Column:
@@ -131,19 +152,6 @@ def responses_of(pages: DataFrame, date: str | None = None, key: str = "page_id"
     return pages.select(F.col(key), identity.alias("record_id"), F.col(url).alias("target_uri"), F.lit(date).cast("string").alias("date"), source.alias("http_headers"), payload.alias("payload"))
 
 
-def source_fields(headers: Column) -> Column:
-    """A ``source-`` field for the status line and for each header line, in their order; folded lines are made one, and lines
-    without a name are left as ``source-line``."""
-    lines = F.split(F.regexp_replace(F.coalesce(headers, F.lit("")), "\\r?\\n[ \\t]+", " "), "[\\r\\n]+")
-
-    def field(line: Column) -> Column:
-        named = F.concat(F.lit("source-"), F.lower(F.regexp_extract(line, "^([^\\s:]+)", 1)), F.lit(": "), F.trim(F.regexp_extract(line, "^[^\\s:]+[ \\t]*:(.*)$", 1)))
-        status = line.rlike("^HTTP/[0-9.]+[ \\t]")
-        return F.concat(F.when(status, F.concat(F.lit("source-status: "), line)).when(line.rlike("^[^\\s:]+[ \\t]*:"), named).otherwise(F.concat(F.lit("source-line: "), line)), F.lit("\r\n"))
-
-    return F.array_join(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), field), "")
-
-
 def header(name: str, value: Column) -> Column:
     """A header line, or nothing where the value is null; line ends within the value become blanks."""
     return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), "[\\r\\n]+", " "), F.lit("\r\n")), F.lit(""))
@@ -152,14 +160,14 @@ def header(name: str, value: Column) -> Column:
 def derive(responses: DataFrame, keep: tuple[str, ...] = (), date: str = DATE) -> DataFrame:
     """Two records per response: ``keep``, ``record_type, record_id, refers_to, target_uri, date, source_digest, block_digest,
     content_length, header, block``. ``date`` is that of records whose response has none, as each record must have one."""
-    facts = F.arrow_udf(_facts, "title string, lang string, text string, links long")
-    r = responses.select(*keep, "record_id", "target_uri", F.coalesce("date", F.lit(date)).alias("date"), "http_headers", sha1_label(F.coalesce("payload", F.lit(""))).alias("source_digest"), facts("payload").alias("f"))
+    facts = F.arrow_udf(_facts, "title string, lang string, text string, links long, source string")
+    r = responses.select(*keep, "record_id", "target_uri", F.coalesce("date", F.lit(date)).alias("date"), sha1_label(F.coalesce("payload", F.lit(""))).alias("source_digest"), facts("payload", "http_headers").alias("f"))
     fields = F.concat(
         header("title", F.col("f.title")),
         header("language", F.when(F.col("f.lang") != "", F.col("f.lang"))),
         header("outlinks", F.col("f.links")),
         header("text-bytes", F.octet_length("f.text")),
-        source_fields(F.col("http_headers")),
+        F.col("f.source"),
         header("source-payload-digest", F.col("source_digest")),
     )
     kinds = F.array(
