@@ -11,6 +11,18 @@ from corepick.operators.knn import cross_attention, knn_graph, local_density
 
 FORMULAS = ("uniform", "el2n_easy", "el2n_hard", "el2n_mid", "variance_low", "variance_high")
 METHODS = (*FORMULAS, "test_attention", "local_density", "centrality")
+#: Columns that a metric needs beside ``id``.
+NEEDS = {
+    "uniform": set(),
+    "el2n_easy": {"el2n"},
+    "el2n_hard": {"el2n"},
+    "el2n_mid": {"el2n"},
+    "variance_low": {"conf_var", "conf_mean"},
+    "variance_high": {"conf_var"},
+    "test_attention": {"label", "v"},
+    "local_density": {"label", "v"},
+    "centrality": {"label", "v"},
+}
 
 
 def compute_importance(df: DataFrame, method: str, normalize: bool = True, k: int = 10, queries: DataFrame | None = None, temperature: float = 0.1) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -48,7 +49,8 @@ def register_method(name: str, needs: tuple[str, ...] = (), importance: str = "i
 
 def select(df: DataFrame, method: str, budget_per_class: int, importance_col: str | None = None, seed: int = 42, **overrides) -> DataFrame:
     """``id, label, rank`` by a registered method. Overrides that the method does not declare are ignored, and missing columns
-    are an error. A budget of 0 selects nothing."""
+    are an error. A budget of 0 selects nothing. Where a method requires importance and none is given, all rows count alike,
+    with a warning."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     spec = METHODS[method]
@@ -56,6 +58,8 @@ def select(df: DataFrame, method: str, budget_per_class: int, importance_col: st
     if missing:
         raise ValueError(f"{method} needs {missing}")
     importance = None
+    if spec.importance == "required" and not importance_col:
+        warnings.warn(f"{method} got no importance; all rows count alike", stacklevel=2)
     if spec.importance != "ignore" and (importance_col or spec.importance == "required"):
         column = F.col(importance_col) if importance_col else F.lit(1.0)
         importance = df.select("id", "label", column.cast("double").alias("importance"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corepick.functions.scores import budget_per_class
 from corepick.operators import compare, graph
 from corepick.operators import greedy as g
+from corepick.operators.importance import NEEDS, compute_importance
 from corepick.operators.knn import knn_graph
 from corepick.operators.methods import METHODS, _as_columns, _nodes, select
 from corepick.operators.runtime import cut
@@ -20,9 +21,9 @@ TRAINED = {"eva", "aum", "forgetting", "el2n", "conf_var", "conf_mean"}
 SEEDED = {"random", "random_proportional", "fps", "graph_fps", "easy_then_diverse", "proto_then_diverse"}
 
 
-def resolve_dependencies(methods: list[str], sources: list[str]) -> list[str]:
-    """The sources, with ``trained`` where a method needs its scores."""
-    needs = {c for m in methods for c in METHODS[m].needs}
+def resolve_dependencies(methods: list[str], sources: list[str], importances: tuple[str, ...] | list[str] = ()) -> list[str]:
+    """The sources, with ``trained`` where a method or an importance metric needs its scores."""
+    needs = {c for m in methods for c in METHODS[m].needs} | {c for m in importances for c in NEEDS[m]}
     return sources if not needs & TRAINED or "trained" in sources else [*sources, "trained"]
 
 
@@ -38,26 +39,62 @@ def valid_configs(methods: list[str], sources: dict[str, DataFrame]) -> list[tup
     return out
 
 
-def selection_sweep(sources: dict[str, DataFrame], methods: list[str], ratios: list[float], trials: int = 1, seed: int = 42) -> tuple[DataFrame, list[dict]]:
-    """``(selections, failures)``: ``method, embedding, ratio, trial, id, label, rank`` of every valid configuration.
-
-    A configuration that fails is recorded and the others go on.
+def _importance(sources: dict[str, DataFrame], first: DataFrame, metric: str, propagate: bool, k: int, queries: DataFrame | None, propagation: dict) -> DataFrame:
+    """``id, importance_`` from ``first``, or else from the first source that has what the metric needs."""
+    giver = next((df for df in (first, *sources.values()) if {"id", *NEEDS[metric]} <= {*df.columns}), None)
+    if giver is None:
+        raise ValueError(f"no source has {sorted(NEEDS[metric])} for {metric}")
+    values = compute_importance(giver, metric, k=k, queries=queries)
+    if propagate:
+        if "v" not in first.columns:
+            raise ValueError("importance propagates over vectors, and the source has none")
+        values = graph.propagate_importance(values, cut(graph.adjacency(knn_graph(first, k))), **propagation)
+    return cut(values.select("id", F.col("importance").alias("importance_")))
+
+
+def selection_sweep(
+    sources: dict[str, DataFrame],
+    methods: list[str],
+    ratios: list[float],
+    trials: int = 1,
+    seed: int = 42,
+    importances: tuple[str, ...] | list[str] = (),
+    propagate: bool = False,
+    k: int = 10,
+    queries: DataFrame | None = None,
+    **propagation,
+) -> tuple[DataFrame, list[dict]]:
+    """``(selections, failures)``: ``method, embedding, importance, ratio, trial, id, label, rank`` of every valid configuration.
+
+    Every method is crossed with every importance metric (``none`` without any); ``propagate`` spreads importance over the
+    source's neighbour graph first, with the options of :func:`graph.propagate_importance`. What does not depend on the seed
+    or on importance is selected once. A configuration that fails is recorded and the others go on.
     """
     parts, failures = [], []
+    made: dict[tuple, DataFrame] = {}
+    scored: dict[tuple, DataFrame] = {}
     for method, source in valid_configs(methods, sources):
         fit = [df for df in sources.values() if {"id", "label", *METHODS[method].needs} <= {*df.columns}]
         df = sources[source] if source != "none" else fit[0]
+        uses = METHODS[method].importance != "ignore"
         for ratio in ratios:
             budget = budget_per_class(df, ratio).first().budget
-            picks = None
-            for trial in range(trials):
-                try:
-                    if picks is None or method in SEEDED:
-                        picks = select(df, method, budget, seed=seed + trial)
-                    row = (F.lit(method).alias("method"), F.lit(source).alias("embedding"), F.lit(ratio).alias("ratio"), F.lit(trial).alias("trial"))
-                    parts.append(picks.select(*row, "id", "label", "rank"))
-                except Exception as e:  # a sweep reports what failed and goes on
-                    failures.append({"method": method, "embedding": source, "ratio": ratio, "trial": trial, "error": str(e)})
+            for metric in importances or ("none",):
+                for trial in range(trials):
+                    key = (method, source, ratio, metric if uses else None, trial if method in SEEDED else None)
+                    try:
+                        if key not in made:
+                            pool, column = df, None
+                            if uses and metric != "none":
+                                which = (next(n for n, x in sources.items() if x is df), metric)
+                                if which not in scored:
+                                    scored[which] = _importance(sources, df, metric, propagate, k, queries, propagation)
+                                pool, column = df.join(scored[which], "id"), "importance_"
+                            made[key] = select(pool, method, budget, column, seed=seed + trial)
+                        config = {"method": method, "embedding": source, "importance": metric, "ratio": ratio, "trial": trial}
+                        parts.append(made[key].select(*(F.lit(v).alias(n) for n, v in config.items()), "id", "label", "rank"))
+                    except Exception as e:  # a sweep reports what failed and goes on
+                        failures.append({"method": method, "embedding": source, "importance": metric, "ratio": ratio, "trial": trial, "error": str(e)})
     if not parts:
         raise ValueError(f"nothing was selected: {failures}")
     return reduce(DataFrame.union, parts), failures

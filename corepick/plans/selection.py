@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corepick.functions import scores
 from corepick.operators import compare, graph, metrics, sweep
 from corepick.operators import greedy as g
-from corepick.operators.methods import _as_columns, _nodes, normalized_graph, select
+from corepick.operators.methods import METHODS, _as_columns, _nodes, normalized_graph, register_method, select
 from corepick.operators.runtime import cut
 from corepick.plans import fixtures as x
 from corepick.plans.registry import query
@@ -122,15 +123,16 @@ def _(s, sf):
     return select(x.samples(s, sf), "facility", 1, global_selection=True)
 
 
-@query(
-    "m16_herding",
-    f"""WITH RECURSIVE {x.UNITS}, mu AS MATERIALIZED (SELECT label, list(e ORDER BY p) AS mu FROM (SELECT label, p, avg(e) AS e FROM (SELECT label, unnest(u) AS e, generate_subscripts(u, 1) AS p FROM units) GROUP BY label, p) GROUP BY label),
+def _herding(b: int) -> str:
+    return f"""WITH RECURSIVE {x.UNITS}, mu AS MATERIALIZED (SELECT label, list(e ORDER BY p) AS mu FROM (SELECT label, p, avg(e) AS e FROM (SELECT label, unnest(u) AS e, generate_subscripts(u, 1) AS p FROM units) GROUP BY label, p) GROUP BY label),
     aim AS MATERIALIZED (SELECT id, label, list_dot_product(u, mu) AS a FROM units JOIN mu USING (label)),
     walk(it, id, label, a, t, rk) AS (SELECT 0, id, label, a, 0.0::DOUBLE, 0 FROM aim
       UNION ALL (WITH st AS (SELECT * FROM walk), n AS (SELECT id, label FROM st WHERE rk = 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY (it + 1) * a - t DESC, id) = 1)
-      SELECT st.it + 1, st.id, st.label, st.a, st.t + list_dot_product(x.u, y.u), CASE WHEN st.id = n.id THEN st.it + 1 ELSE st.rk END FROM st JOIN n ON n.label = st.label JOIN units x ON x.id = st.id JOIN units y ON y.id = n.id WHERE st.it < 4))
-    SELECT id, label, CAST(rk AS INTEGER) AS rank FROM walk WHERE rk > 0 AND it = 4""",
-)
+      SELECT st.it + 1, st.id, st.label, st.a, st.t + list_dot_product(x.u, y.u), CASE WHEN st.id = n.id THEN st.it + 1 ELSE st.rk END FROM st JOIN n ON n.label = st.label JOIN units x ON x.id = st.id JOIN units y ON y.id = n.id WHERE st.it < {b}))
+    SELECT id, label, CAST(rk AS INTEGER) AS rank FROM walk WHERE rk > 0 AND it = {b}"""
+
+
+@query("m16_herding", _herding(4))
 def _(s, sf):
     return select(x.samples(s, sf), "herding", 4)
 
@@ -313,15 +315,69 @@ def _(s, sf):
     "SELECT 'random' AS method, 'none' AS embedding, ratio, trial, id, label, CAST(rn AS INTEGER) AS rank FROM rnd, b WHERE rn <= b UNION ALL SELECT 'prototype', 'base', ratio, trial, id, label, CAST(rn AS INTEGER) FROM pro, b, t WHERE rn <= b",
 )
 def _(s, sf):
-    return sweep.selection_sweep({"base": x.samples(s, sf)}, ["random", "prototype", "eva"], [0.05, 0.1], trials=2)[0]
+    return sweep.selection_sweep({"base": x.samples(s, sf)}, ["random", "prototype", "eva"], [0.05, 0.1], trials=2)[0].drop("importance")
+
+
+_BUDGET = "(SELECT CAST(floor(floor(count(*) * 0.05::DOUBLE) / count(DISTINCT label)) AS BIGINT) FROM scored)"
+_BY_IMPORTANCE = (("uniform", "id"), ("el2n_hard", "el2n DESC"), ("variance_low", "conf_mean - conf_var DESC"))
+
+
+@query(
+    "o1_sweep_importance",
+    f"WITH {_SCORES} " + " UNION ALL ".join(f"SELECT 'greedy_importance' AS method, 'none' AS embedding, '{n}' AS importance, 0.05::DOUBLE AS ratio, CAST(0 AS INTEGER) AS trial, * FROM ({_TOP.format(order=o, table='scored', b=_BUDGET)})" for n, o in _BY_IMPORTANCE),
+)
+def _(s, sf):
+    sources = {"base": x.samples(s, sf), "trained": x.scored(s, sf)}
+    return sweep.selection_sweep(sources, ["greedy_importance"], [0.05], importances=[n for n, _ in _BY_IMPORTANCE])[0]
+
+
+@query("o2_resolve_dependencies", f"WITH {_SCORES}, {x.SAMPLES} SELECT 'base' AS source, count(*) AS n FROM samples UNION ALL SELECT 'trained', count(*) FROM scored")
+def _(s, sf):
+    known = {"base": x.samples(s, sf), "trained": x.scored(s, sf)}
+    names = sweep.resolve_dependencies(["random"], ["base"], ["el2n_hard"])
+    counts = [known[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("source"), "n") for n in names]
+    return counts[0].union(counts[1])
+
+
+_ON_VECTORS = "anti_prototype facility fps global_influence graph_a1 graph_a2 graph_a3 graph_a4 graph_a5 graph_coverage graph_density graph_facility graph_fps heat_kernel herding proto_then_diverse prototype"
+_ON_NONE = "easy_samples el2n_bottom el2n_mid el2n_top greedy_importance high_variance random random_proportional"
+
+
+@query("p14_valid_configs", f"WITH {x.SAMPLES}, c AS (SELECT unnest(string_split('{_ON_VECTORS}', ' ')) AS method, 'base' AS source UNION ALL SELECT unnest(string_split('{_ON_NONE}', ' ')), 'none') SELECT method, source, (SELECT count(*) FROM samples) AS n FROM c")
+def _(s, sf):
+    sources = {"base": x.samples(s, sf), "trained": x.scored(s, sf)}
+    pairs = s.createDataFrame(sweep.valid_configs(sorted(METHODS), sources), "method string, source string")
+    return pairs.crossJoin(F.broadcast(sources["base"].agg(F.count("*").alias("n"))))
+
+
+@query("u1_register_method", f"WITH {x.SAMPLES} " + _TOP.format(order="id DESC", table="samples", b=3))
+def _(s, sf):
+    @register_method("latest", ("v",))
+    def latest(df, budget, importance, seed):
+        """Greatest ids of each class."""
+        return scores.top_k_per_class(df, "id", budget)
+
+    try:
+        return select(x.samples(s, sf), "latest", 3)
+    finally:
+        del METHODS["latest"]
+
 
+_OF_K = " UNION ALL ".join(f"SELECT 'k{k:02d}' AS config, id FROM ({x.greedy_sql(x.knn_sql(k) + x.power_sum_sql(2), 1, False)})" for k in (5, 10))
 
-@query("o3_compare_k")
+
+@query("o3_compare_k", f"WITH s AS MATERIALIZED ({_OF_K}), " + _MATRIX.format("s"), "overlap_pct")
 def _(s, sf):
     return sweep.compare_k(x.samples(s, sf), [5, 10], 1)
 
 
-@query("o4_compare_global")
+@query(
+    "o4_compare_global",
+    f"WITH a AS MATERIALIZED (SELECT * FROM ({x.greedy_sql(x.knn_sql(K, True) + x.power_sum_sql(2), B, True)})), b AS MATERIALIZED (SELECT * FROM ({x.greedy_sql(x.knn_sql(K) + x.power_sum_sql(2), B, False)})), "
+    "l AS (SELECT DISTINCT CAST(label AS BIGINT) AS label FROM embeddings), o AS (SELECT count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) / count(a.id) * 100 AS overlap_pct, count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) / count(*) AS jaccard FROM a FULL JOIN b ON a.id = b.id) "
+    "SELECT label, (SELECT count(*) FROM a WHERE a.label = l.label) AS n_per_class, (SELECT count(*) FROM b WHERE b.label = l.label) AS n_global, overlap_pct, jaccard FROM l, o",
+    "overlap_pct jaccard",
+)
 def _(s, sf):
     return sweep.compare_global(x.samples(s, sf), B)
 
@@ -336,9 +392,23 @@ def _(s, sf):
     return sweep.compare_sources(_halves(s, sf), 5)
 
 
-@query("o6_compare_methods")
+_FOUR = {
+    "random": f"WITH {x.SAMPLES} " + _TOP.format(order=_HASH, table="samples", b=3),
+    "prototype": f"WITH {_CENTROID} " + _TOP.format(order="s", table="d", b=3),
+    "graph_density": f"WITH {x.knn_sql(K, True)}, d AS (SELECT src AS id, label, 1 / (avg(dist) + 1e-8) AS s FROM knn JOIN samples ON id = src GROUP BY src, label) " + _TOP.format(order="s DESC", table="d", b=3),
+    "herding": _herding(3),
+}
+_OF_METHODS = "WITH s AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{n}' AS config, id FROM ({q})" for n, q in _FOUR.items()) + "), "
+
+
+@query("o6_compare_methods", _OF_METHODS + _MATRIX.format("s"), "overlap_pct")
+def _(s, sf):
+    return sweep.compare_methods(x.samples(s, sf), [*_FOUR], 3)[0]
+
+
+@query("o6_compare_methods_unique", _OF_METHODS + "o AS (SELECT id FROM s GROUP BY id HAVING count(*) = 1) SELECT s.config, count(o.id) AS n_unique, count(o.id) / count(*) AS share FROM s LEFT JOIN o ON o.id = s.id GROUP BY s.config", "share")
 def _(s, sf):
-    return sweep.compare_methods(x.samples(s, sf), ["random", "prototype", "graph_density", "herding"], 3)[0]
+    return sweep.compare_methods(x.samples(s, sf), [*_FOUR], 3)[1]
 
 
 @query("o7_validate_kernel")

@@ -140,6 +140,30 @@ def test_sweep_goes_on_after_a_failure(spark):
     assert failures == [] and out.groupBy("method", "trial").count().count() == 4
 
 
+def test_sweep_with_importance(spark):
+    from corepick.operators.importance import compute_importance
+    from corepick.operators.knn import knn_graph
+
+    rows = [(i, i % 2, [float(i % 5) + 0.1, float(i * i % 7), 1.0], float(i * 5 % 11)) for i in range(24)]
+    df = spark.createDataFrame(rows, "id long, label long, v array<double>, el2n double")
+    base, trained = df.drop("el2n"), df.drop("v")
+    assert sweep.resolve_dependencies(["facility"], ["base"], ["el2n_easy"]) == ["base", "trained"]
+    assert sweep.resolve_dependencies(["facility"], ["base"], ["centrality"]) == ["base"]
+    picks = lambda out, **where: sorted((r.id, r["rank"]) for r in out.collect() if all(r[c] == v for c, v in where.items()))
+    out, failures = sweep.selection_sweep({"base": base, "trained": trained}, ["facility", "prototype"], [0.25], trials=2, importances=["el2n_hard", "variance_low"])
+    assert {(f["method"], f["importance"]) for f in failures} == {("facility", "variance_low")}  # no source has what it needs
+    joined = base.join(compute_importance(trained, "el2n_hard"), "id")
+    want = sorted((r.id, r["rank"]) for r in methods.select(joined, "facility", 3, "importance").collect())
+    assert picks(out, method="facility", importance="el2n_hard", trial=1) == want
+    assert picks(out, method="prototype", importance="variance_low", trial=0) == picks(out, method="prototype", importance="el2n_hard", trial=1)
+    spread = graph.propagate_importance(compute_importance(trained, "el2n_hard"), graph.adjacency(knn_graph(base, 3)), iterations=3)
+    want = sorted((r.id, r["rank"]) for r in methods.select(base.join(spread, "id"), "greedy_importance", 3, "importance").collect())
+    out, failures = sweep.selection_sweep({"base": base, "trained": trained}, ["greedy_importance"], [0.25], importances=["el2n_hard"], propagate=True, k=3, iterations=3)
+    assert failures == [] and picks(out) == want
+    with pytest.warns(UserWarning, match="no importance"):
+        methods.select(df, "greedy_importance", 1)
+
+
 def test_dynamics(spark):
     rows = [(1, e, 0, [0.9, 0.1] if e % 2 else [0.2, 0.8], [0.9, 0.1] if e % 2 else [0.2, 0.8]) for e in range(1, 7)]
     m = dynamics.epoch_metrics(spark.createDataFrame(rows, "id long, epoch int, label long, logits array<double>, probs array<double>"))
