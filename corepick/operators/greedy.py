@@ -3,7 +3,8 @@
 The gain of a candidate only falls as others are picked. So a round computes all gains in one Spark job, takes the best
 ``width`` candidates (of each class, for per-class scope) with their kernel columns to the driver, and picks among them as
 long as the best of them beats every gain left outside; then the state of the rows is brought up to date and cut. The
-driver holds ``width`` columns at most. Ties go to the least id; where sums of the driver and of Spark could differ in the
+driver takes at most ``cells`` kernel cells in a round, however many rows there are: beyond that it looks into fewer
+candidates, and where not two of a group fit it takes the best of each by Spark's gains alone, a job a pick. Ties go to the least id; where sums of the driver and of Spark could differ in the
 last bits (a lead under ``LEAD``), the round ends and the next job decides. The first pick of a round is always safe.
 """
 
@@ -25,6 +26,8 @@ from corepick.operators.runtime import cut
 
 WIDTH = 256
 LEAD = 1e-12
+#: Kernel cells (40 bytes each) that the driver takes in a round.
+CELLS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -62,6 +65,10 @@ class EdgeKernel:
         joined = self.edges.join(state.select(F.col("id").alias("i"), "s", "imp"), "i")
         return joined.groupBy(F.col("j").alias("id")).agg(F.sum(F.col("imp") * rule.gain(F.col("w"), F.col("s"))).alias("gain"))
 
+    def lengths(self, some: DataFrame) -> dict[int, int] | None:
+        """Cells of each column; those of candidates without any are left out."""
+        return {r.j: r.n for r in self.edges.join(F.broadcast(some.select(F.col("id").alias("j"))), "j").groupBy("j").agg(F.count("*").alias("n")).collect()}
+
     def columns(self, some: DataFrame, state: DataFrame) -> DataFrame:
         own = self.edges.join(F.broadcast(some.select(F.col("id").alias("j"))), "j")
         return own.join(state.select(F.col("id").alias("i"), "s", "imp"), "i").select("i", "j", "w", "s", "imp")
@@ -84,6 +91,10 @@ class CosineKernel:
         rows = self.units.join(state.select("id", "s", "imp"), "id")
         return blocked(rows, self.units, work, "id long, gain double", self.by_label).groupBy("id").agg(F.sum("gain").alias("gain"))
 
+    def lengths(self, some: DataFrame) -> dict[int, int] | None:
+        """None: each column has a cell for every row of its scope."""
+        return None
+
     def columns(self, some: DataFrame, state: DataFrame) -> DataFrame:
         picked = self.units.join(F.broadcast(some.select("id")), "id")
 
@@ -97,7 +108,7 @@ class CosineKernel:
         return pairs.join(state.select(F.col("id").alias("i"), "s", "imp"), "i").select("i", "j", "w", "s", "imp")
 
 
-def greedy(kernel, nodes: DataFrame, budget: int, rule: Rule = FACILITY, per_class: bool = True, width: int = WIDTH) -> DataFrame:
+def greedy(kernel, nodes: DataFrame, budget: int, rule: Rule = FACILITY, per_class: bool = True, width: int = WIDTH, cells: int = CELLS) -> DataFrame:
     """``id, label, rank`` from ``nodes(id, label, imp)``: up to ``budget`` picks a class.
 
     Per class, rank counts within the class, and the kernel must not join classes. Otherwise one ranking runs over all rows;
@@ -123,13 +134,15 @@ def greedy(kernel, nodes: DataFrame, budget: int, rule: Rule = FACILITY, per_cla
         groups: dict = defaultdict(list)
         for r in best.collect():
             groups[r.label if per_class else None].append((-r.gain, r.id, r.label))
-        bound, chosen = {}, []
-        for g, rows in groups.items():
+        for rows in groups.values():
             rows.sort()
-            bound[g] = rows[width] if len(rows) > width else None
-            chosen += rows[:width]
+        full = {g: sizes[g] if per_class else sum(sizes.values()) for g in groups}
+        take = _affordable(kernel, groups, full, width, cells, spark)
+        bound = {g: rows[take] if len(rows) > take else None for g, rows in groups.items()}
+        chosen = [x for rows in groups.values() for x in rows[:take]]
         some = spark.createDataFrame([(x[1],) for x in chosen], "id long")
-        new = _pick(kernel.columns(some, state).toPandas(), chosen, bound, left, rule, per_class)
+        seen = kernel.columns(some, state).toPandas() if take > 1 else pd.DataFrame({c: [] for c in ("i", "j", "w", "s", "imp")})
+        new = _pick(seen, chosen, bound, left, rule, per_class)
         for i, c in new:
             key = c if per_class else None
             ranks[key] += 1
@@ -141,6 +154,19 @@ def greedy(kernel, nodes: DataFrame, budget: int, rule: Rule = FACILITY, per_cla
     return spark.createDataFrame(picks, schema)
 
 
+def _affordable(kernel, groups: dict, full: dict, width: int, cells: int, spark) -> int:
+    """How many candidates of each group, best first, the driver may look into: their columns have ``cells`` cells at most."""
+    if sum(min(width, len(rows)) * full[g] for g, rows in groups.items()) <= cells:
+        return width
+    lengths = kernel.lengths(spark.createDataFrame([(x[1],) for rows in groups.values() for x in rows[:width]], "id long"))
+    total = 0
+    for n in range(width):
+        total += sum(full[g] if lengths is None else lengths.get(rows[n][1], 0) for g, rows in groups.items() if len(rows) > n)
+        if total > cells:
+            return max(1, n)
+    return width
+
+
 def _advance(state: DataFrame, columns: DataFrame, order: list[int], rule: Rule) -> DataFrame:
     """The state after the picks; a maximum or a product over them, so their order does not matter."""
     if rule is REACH:

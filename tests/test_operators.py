@@ -104,13 +104,27 @@ def test_lazy_rounds_equal_plain_greedy(spark, rule):
     for width in (1, 4, 64):
         got = g.greedy(g.EdgeKernel(e), rows, 3, rule, per_class=False, width=width).orderBy("rank").collect()
         assert [r.id for r in got] == want
+    for cells in (1, 3 * n):  # one candidate of each round, then a few
+        got = g.greedy(g.EdgeKernel(e), rows, 3, rule, per_class=False, cells=cells).orderBy("rank").collect()
+        assert [r.id for r in got] == want
     within = g.greedy(g.EdgeKernel(e.filter("i % 3 = j % 3")), rows, 3, rule).collect()
+    few = g.greedy(g.EdgeKernel(e.filter("i % 3 = j % 3")), rows, 3, rule, cells=2 * n).collect()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, within))
     for c in range(3):
         own = [i for i in range(n) if label[i] == c]
         alone = plain_greedy(k[np.ix_(own, own)], imp[own], [0] * len(own), 3, rule)
         assert [r.id for r in sorted(within, key=lambda r: r["rank"]) if r.label == c] == [own[i] for i in alone]
 
 
+def test_facility_with_few_cells_on_the_driver(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, i % 2, [float(x) for x in rng.normal(size=4)]) for i in range(40)], "id long, label long, v array<double>")
+    rows = df.select("id", "label", F.lit(1.0).alias("imp"))
+    want = sorted(map(tuple, g.greedy(g.CosineKernel(df, True), rows, 3).collect()))
+    for cells in (1, 130):
+        assert sorted(map(tuple, g.greedy(g.CosineKernel(df, True), rows, 3, cells=cells).collect())) == want
+
+
 def test_classes_smaller_than_the_budget(spark):
     rows = [(0, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0]), (2, 1, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "id long, label long, v array<double>")
