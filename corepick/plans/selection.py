@@ -159,6 +159,12 @@ def _(s, sf):
     return select(v, "graph_coverage", 3, "importance", walk=3)
 
 
+@query("m20_graph_coverage_walk5", x.greedy_sql(x.knn_sql(K, True) + x.reach_sql(5) + _IMPORTANCE_JOIN, B, True, gain="k.w * (1 - s.cov)", kernel="reach", imp=_IMP))
+def _(s, sf):
+    v = x.samples(s, sf).join(x.importance(s, sf).drop("label"), "id")
+    return select(v, "graph_coverage", B, "importance")
+
+
 for _n in range(1, 6):
 
     @query(f"m{20 + _n}_graph_a{_n}" if _n != 2 else "m22_graph_a2_per_class", x.greedy_sql(x.knn_sql(K, True) + x.power_sum_sql(_n), B, True))
@@ -203,6 +209,12 @@ def _(s, sf):
     return select(v, "global_influence", B, "importance", walk=2, mode="max")
 
 
+@query("m27_global_influence_walk5", x.greedy_sql(_INFLUENCE.replace(x.reach_sql(2), x.reach_sql(5)), 1, False, gain="k.w * s.cov", after="st.cov * (1 - coalesce(k.w, 0))", start=1.0, kernel="infl", imp=_IMP))
+def _(s, sf):
+    v = x.samples(s, sf).join(x.importance(s, sf).drop("label"), "id")
+    return select(v, "global_influence", 1, "importance")
+
+
 def _then(base: str, table: str, order: str) -> str:
     head = f"{base}, head AS MATERIALIZED ({_TOP.format(order=order, table=table, b=2)})"
     return x.fps_sql(head, 2, _COSINE, _UNIT_JOIN, pool="SELECT id, label FROM samples WHERE id NOT IN (SELECT id FROM head)", offset=2, head="SELECT * FROM head UNION ALL ")
