@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corepick.functions.vectors import l2_normalize
-from corepick.operators.knn import blocked, matrix, unit_vectors
+from corepick.operators.knn import Block, added, blocked, unit_vectors
 from corepick.operators.runtime import cut
 
 WIDTH = 256
@@ -81,15 +81,13 @@ class CosineKernel:
         self.units, self.by_label = cut(unit_vectors(samples)), by_label
 
     def gains(self, state: DataFrame, rule: Rule) -> DataFrame:
-        def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"id": [], "gain": []})
-            w = matrix(a["u"]) @ matrix(b["u"]).T
-            part = a["imp"].to_numpy()[:, None] * rule.gain(w, a["s"].to_numpy()[:, None])
-            return pd.DataFrame({"id": b["id"], "gain": part.sum(0)})
+        def work(a: Block, b: Block) -> Block:
+            w = a["u"] @ b["u"].T
+            return {"id": a["id"], "gain": (b["imp"][None, :] * rule.gain(w, b["s"][None, :])).sum(1)}
 
         rows = self.units.join(state.select("id", "s", "imp"), "id")
-        return blocked(rows, self.units, work, "id long, gain double", self.by_label).groupBy("id").agg(F.sum("gain").alias("gain"))
+        parts = blocked(self.units, rows, work, "id long, gain double", self.by_label, added("gain"))
+        return parts.groupBy("id").agg(F.sum("gain").alias("gain"))
 
     def lengths(self, some: DataFrame) -> dict[int, int] | None:
         """None: each column has a cell for every row of its scope."""
@@ -98,11 +96,9 @@ class CosineKernel:
     def columns(self, some: DataFrame, state: DataFrame) -> DataFrame:
         picked = self.units.join(F.broadcast(some.select("id")), "id")
 
-        def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"i": [], "j": [], "w": []})
-            w = matrix(a["u"]) @ matrix(b["u"]).T
-            return pd.DataFrame({"i": np.repeat(a["id"].to_numpy(), len(b)), "j": np.tile(b["id"].to_numpy(), len(a)), "w": w.ravel()})
+        def work(a: Block, b: Block) -> Block:
+            w = a["u"] @ b["u"].T
+            return {"i": np.repeat(a["id"], len(b["id"])), "j": np.tile(b["id"], len(a["id"])), "w": w.ravel()}
 
         pairs = blocked(self.units, picked, work, "i long, j long, w double", self.by_label)
         return pairs.join(state.select(F.col("id").alias("i"), "s", "imp"), "i").select("i", "j", "w", "s", "imp")

@@ -1,23 +1,35 @@
 """Exact nearest neighbours and attention, by a blocked similarity join.
 
-Rows are dealt into blocks by a hash of the id; each pair of blocks is one group, in which numpy multiplies two matrices of
-bounded size and keeps a partial result (k neighbours a row). The partial results are merged by Spark. No task or driver
-holds more than two blocks, whatever the size of the table or of a class.
+Rows are dealt into blocks by a hash of the id, each packed into one row, within classes if asked (the number of blocks
+follows the size of the class). The pairs of blocks form a grid, cut into strips of left and slabs of right blocks: a cell of
+it is one key of a join, so a left block is copied once a slab and a right block once a strip, not once for every other
+block. In a task numpy multiplies the two matrices of a pair; what a left block has found (k neighbours a row) is merged with
+what its next pair finds as long as the pairs of one block follow each other, and the rest is merged by Spark. A Python
+worker holds a few blocks, the join at most ``STRIP`` of them, whatever the size of the table or of a class. Rows without a
+vector have no neighbours and are nobody's.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corepick.functions.vectors import l2_normalize
+from corepick.operators.runtime import cut
 
 BLOCK = 4096
+#: Right blocks, which the join holds, in one cell of the grid.
+STRIP = 32
+BROADCAST_CLASSES = 100_000
+
+#: Columns of a block's rows, in the order of their ids.
+Block = dict[str, np.ndarray]
 
 
 def unit_vectors(df: DataFrame) -> DataFrame:
@@ -25,86 +37,156 @@ def unit_vectors(df: DataFrame) -> DataFrame:
     return df.select("id", "label", l2_normalize(F.col("v")).alias("u"))
 
 
-def blocked(left: DataFrame, right: DataFrame, work: Callable, schema: str, by_label: bool = False, block: int = BLOCK) -> DataFrame:
-    """``work(left_rows, right_rows)`` for every pair of blocks of two tables with ``id, label, u`` (and more), within labels if asked."""
-    sizes = [max(1, -(-df.count() // block)) for df in (left, right)]
-    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # new names for columns that both may come from
-    a = left.withColumn("lb", of(sizes[0])).withColumn("rb", every(sizes[1]))
-    b = right.withColumn("rb", of(sizes[1])).withColumn("lb", every(sizes[0]))
-    keys = ["lb", "rb", "label"] if by_label else ["lb", "rb"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(work, schema)
+def _sizes(left: DataFrame, right: DataFrame, block: int, tasks: int) -> DataFrame:
+    """Per scope, the blocks of both sides and into how many strips and slabs they are dealt, for about ``tasks`` cells."""
+    blocks = lambda df, name: df.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    a, b = blocks(left, "lefts"), blocks(right, "rights").withColumnRenamed("scope", "scope_r")
+    both = a.join(b, F.col("scope").eqNullSafe(F.col("scope_r"))).drop("scope_r")
+    both = both.withColumn("strips", F.least("lefts", F.lit(math.ceil(math.sqrt(tasks)))).cast("int"))
+    by_strip = F.ceil(F.lit(tasks) / F.col("strips"))
+    return both.withColumn("slabs", F.least("rights", F.greatest(F.ceil(F.col("rights") / STRIP), by_strip)).cast("int"))
+
+
+def _packed(df: DataFrame, sizes: DataFrame, blocks: str, own: str, copies: str) -> DataFrame:
+    """``scope, at, own, other, rows``: each block ``at`` of a scope in its ``own`` part of the grid, once for each ``other`` one."""
+    rows = F.struct("id", *(c for c in df.columns if c not in ("id", "label", "scope")))
+    of_scope = sizes.select(F.col("scope").alias("scope_s"), blocks, own, copies)
+    dealt = df.join(of_scope, F.col("scope").eqNullSafe(F.col("scope_s"))).withColumn("at", F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int"))
+    packed = dealt.groupBy("scope", "at", own, copies).agg(F.sort_array(F.collect_list(rows)).alias("rows"))
+    return packed.select("scope", "at", F.pmod("at", own).alias("own"), F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias("other"), "rows")
 
 
-def matrix(rows: pd.Series) -> np.ndarray:
-    return np.array(rows.tolist(), dtype=np.float64)
+def _block(rows: pa.ListScalar) -> Block:
+    values, out = rows.values, {}
+    for field, column in zip(values.type, values.flatten()):
+        if pa.types.is_list(field.type):
+            out[field.name] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+        else:
+            out[field.name] = column.to_numpy(zero_copy_only=False)
+    return out
+
+
+def blocked(left: DataFrame, right: DataFrame, work: Callable[[Block, Block], Block], schema: str, by_label: bool = False, merge: Callable[[Block, Block], Block] | None = None, block: int = BLOCK) -> DataFrame:
+    """``work(a, b)`` for every pair of blocks of two tables with ``id, label, u`` (and more numbers), within labels if asked.
+
+    ``merge`` makes one of two results of the same block ``a``; it may not get all of them.
+    """
+    scope = F.col("label") if by_label else F.lit(0)
+    left, right = (df.filter("u IS NOT NULL").withColumn("scope", scope) for df in (left, right))
+    tasks = 2 * left.sparkSession.sparkContext.defaultParallelism
+    sizes = cut(_sizes(left, right, block, tasks))
+    product = lambda x, y: F.coalesce(F.sum(F.col(x).cast("long") * F.col(y)), F.lit(0))
+    scopes, cells, pairs = sizes.agg(F.count("*"), product("strips", "slabs"), product("lefts", "rights")).first()
+    sizes = F.broadcast(sizes) if scopes <= BROADCAST_CLASSES else sizes
+    a = _packed(left, sizes, "lefts", "strips", "slabs").toDF("scope", "lb", "strip", "slab", "l_rows")
+    b = _packed(right, sizes, "rights", "slabs", "strips").toDF("scope_r", "rb", "slab_r", "strip_r", "r_rows")
+    # a number of partitions that is given is not reduced for being small, as there is much to compute for each byte
+    parts = max(1, min(cells, max(tasks, pairs // STRIP)))
+    a, b = a.repartition(parts, "scope", "strip", "slab"), b.repartition(parts, "scope_r", "strip_r", "slab_r")
+    same = F.col("scope").eqNullSafe(F.col("scope_r")) & (F.col("strip") == F.col("strip_r")) & (F.col("slab") == F.col("slab_r"))
+    pairs = a.join(b, same).select("scope", "lb", "l_rows", "r_rows")
+
+    def rows_of(result: Block) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(x) if x.ndim == 2 else x) for x in result.values()], names=list(result))
+
+    def run(batches):
+        last, own, held = None, None, None
+        for batch in batches:
+            for i in range(len(batch)):
+                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                if key != last:
+                    if held is not None:
+                        yield rows_of(held)
+                    last, own, held = key, _block(batch.column(2)[i]), None
+                found = work(own, _block(batch.column(3)[i]))
+                if merge is None:
+                    yield rows_of(found)
+                else:
+                    held = found if held is None else merge(held, found)
+        if held is not None:
+            yield rows_of(held)
+
+    return pairs.mapInArrow(run, schema)
+
+
+def added(name: str) -> Callable[[Block, Block], Block]:
+    """Merges results of the same rows by the sum of a column."""
+    return lambda x, y: {**x, name: x[name] + y[name]}
 
 
 def knn_graph(samples: DataFrame, k: int, by_label: bool = False, block: int = BLOCK) -> DataFrame:
     """``src, dst, rank, dist``: the ``k`` nearest others by squared distance of unit vectors; ties by id. One row alone has none."""
     units = unit_vectors(samples)
 
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": [], "dist": []})
-        b = b.sort_values("id")
-        ids, own = b["id"].to_numpy(), a["id"].to_numpy()
-        d = 2.0 * (1.0 - matrix(a["u"]) @ matrix(b["u"]).T)
+    def best(src: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> Block:
+        order = np.lexsort((dst, dist, src))
+        start = np.flatnonzero(np.diff(src[order], prepend=src[order][:1] - 1))
+        rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+        keep = order[rank < k]
+        return {"src": src[keep], "dst": dst[keep], "dist": dist[keep]}
+
+    def nearest(a: Block, b: Block) -> Block:
+        ids, own = b["id"], a["id"]
+        d = 2.0 * (1.0 - a["u"] @ b["u"].T)
         d[own[:, None] == ids[None, :]] = np.inf
         keep = min(k, len(ids))
         # all that are no further than the k-th nearest, then by distance and id
         limit = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
         row, col = np.nonzero((d <= limit) & np.isfinite(d))
-        return pd.DataFrame({"src": own[row], "dst": ids[col], "dist": d[row, col]})
+        return best(own[row], ids[col], d[row, col])
+
+    def merge(x: Block, y: Block) -> Block:
+        return best(*(np.concatenate([x[c], y[c]]) for c in ("src", "dst", "dist")))
 
-    partial = blocked(units, units, nearest, "src long, dst long, dist double", by_label, block)
+    partial = blocked(units, units, nearest, "src long, dst long, dist double", by_label, merge, block)
     place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
     return partial.withColumn("rank", place).filter(F.col("rank") <= k).select("src", "dst", "rank", "dist")
 
 
-def cross_attention(train: DataFrame, queries: DataFrame, temperature: float = 0.1) -> DataFrame:
+def cross_attention(train: DataFrame, queries: DataFrame, temperature: float = 0.1, block: int = BLOCK) -> DataFrame:
     """``id, importance``: over the queries, the sum of each row's share in the softmax of ``cosine / temperature``.
 
     Two passes over the block pairs: partial log-sum-exps by query, then shares, summed within blocks before they are merged.
     """
     t, q = unit_vectors(train), unit_vectors(queries)
 
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "top": [], "total": []})
-        s = matrix(a["u"]) @ matrix(b["u"]).T / temperature
+    def sums(a: Block, b: Block) -> Block:
+        s = a["u"] @ b["u"].T / temperature
         top = s.max(1)
-        return pd.DataFrame({"id": a["id"], "top": top, "total": np.exp(s - top[:, None]).sum(1)})
+        return {"id": a["id"], "top": top, "total": np.exp(s - top[:, None]).sum(1)}
 
-    parts = blocked(q, t, sums, "id long, top double, total double")
+    def merge(x: Block, y: Block) -> Block:
+        top = np.maximum(x["top"], y["top"])
+        return {"id": x["id"], "top": top, "total": sum(p["total"] * np.exp(p["top"] - top) for p in (x, y))}
+
+    parts = blocked(q, t, sums, "id long, top double, total double", merge=merge, block=block)
     tops = parts.groupBy("id").agg(F.max("top").alias("m"))
     lse = parts.join(tops, "id").groupBy("id", "m").agg(F.sum(F.col("total") * F.exp(F.col("top") - F.col("m"))).alias("s"))
     q = q.join(lse.select("id", (F.col("m") + F.log("s")).alias("lse")), "id")
 
-    def shares(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "part": []})
-        s = matrix(b["u"]) @ matrix(a["u"]).T / temperature - a["lse"].to_numpy()[None, :]
-        return pd.DataFrame({"id": b["id"], "part": np.exp(s).sum(1)})
+    def shares(a: Block, b: Block) -> Block:
+        return {"id": a["id"], "part": np.exp(a["u"] @ b["u"].T / temperature - b["lse"][None, :]).sum(1)}
 
-    return blocked(q, t, shares, "id long, part double").groupBy("id").agg(F.sum("part").alias("importance"))
+    found = blocked(t, q, shares, "id long, part double", merge=added("part"), block=block)
+    return found.groupBy("id").agg(F.sum("part").alias("importance"))
 
 
-def attention_stats(train: DataFrame, queries: DataFrame, temperature: float = 0.1) -> DataFrame:
+def attention_stats(train: DataFrame, queries: DataFrame, temperature: float = 0.1, block: int = BLOCK) -> DataFrame:
     """One row: mean entropy of the queries' attention, and the mean mass of the strongest row and of the ten strongest."""
     t, q = unit_vectors(train), unit_vectors(queries)
 
-    def parts(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "top": [], "total": [], "weighted": [], "best": []})
-        s = matrix(a["u"]) @ matrix(b["u"]).T / temperature
+    def parts(a: Block, b: Block) -> Block:
+        s = a["u"] @ b["u"].T / temperature
         top = s.max(1)
         e = np.exp(s - top[:, None])
-        best = -np.sort(-s, axis=1)[:, :10]
-        return pd.DataFrame({"id": a["id"], "top": top, "total": e.sum(1), "weighted": (e * s).sum(1), "best": list(best)})
+        return {"id": a["id"], "top": top, "total": e.sum(1), "weighted": (e * s).sum(1), "best": -np.sort(-s, axis=1)[:, :10]}
+
+    def merge(x: Block, y: Block) -> Block:
+        top = np.maximum(x["top"], y["top"])
+        total, weighted = (sum(p[c] * np.exp(p["top"] - top) for p in (x, y)) for c in ("total", "weighted"))
+        return {"id": x["id"], "top": top, "total": total, "weighted": weighted, "best": -np.sort(-np.hstack([x["best"], y["best"]]), axis=1)[:, :10]}
 
-    p = blocked(q, t, parts, "id long, top double, total double, weighted double, best array<double>")
+    p = blocked(q, t, parts, "id long, top double, total double, weighted double, best array<double>", merge=merge, block=block)
     m = p.groupBy("id").agg(F.max("top").alias("m"), F.sort_array(F.flatten(F.collect_list("best")), asc=False).alias("best"))
     scale = F.exp(F.col("top") - F.col("m"))
     s = p.drop("best").join(m, "id").groupBy("id", "m").agg(F.sum(F.col("total") * scale).alias("z"), F.sum(F.col("weighted") * scale).alias("w"), F.first("best").alias("best"))

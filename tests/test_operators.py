@@ -215,3 +215,32 @@ def test_selection_round_trip_and_tampering(spark, tmp_path):
         samples.read_samples(spark, f"{tmp_path}/selections", "other")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         samples.read_samples(spark, f"{tmp_path}/nothing")
+
+
+@pytest.mark.parametrize("by_label", [False, True])
+def test_grid_of_blocks(spark, by_label):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (70, 3)).astype(float)  # many ties
+    labels = [None if i % 9 == 0 else i % 2 for i in range(70)]
+    df = spark.createDataFrame([(i, labels[i], v[i].tolist()) for i in range(70)] + [(70, 1, None)], "id long, label long, v array<double>")
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    u = v / np.where(norm == 0, 1, norm)
+    cos = u @ u.T
+    want = set()
+    for i in range(70):
+        others = [j for j in range(70) if j != i and (not by_label or labels[i] == labels[j])]
+        for r, j in enumerate(sorted(others, key=lambda j: (round(2 - 2 * cos[i, j], 9), j))[:4]):
+            want.add((i, r + 1, round(2 - 2 * cos[i, j], 6)))
+    for block in (7, 4096):
+        got = knn.knn_graph(df, 4, by_label, block).collect()
+        assert {(r.src, r["rank"], round(r.dist, 6)) for r in got} == want and len(got) == len(want)
+    if not by_label:
+        e = np.exp(cos[:50, 50:] / 0.1)  # queries are the last twenty
+        share = e / e.sum(0)
+        train, queries = df.filter("id < 50"), df.filter("id >= 50")
+        for block in (7, 4096):
+            got = {r.id: r.importance for r in knn.cross_attention(train, queries, block=block).collect()}
+            assert np.allclose([got[i] for i in range(50)], share.sum(1))
+            stats = knn.attention_stats(train, queries, block=block).first()
+            assert np.allclose([stats.mean_entropy, stats.top1_mass, stats.top10_mass], [-(share * np.log(share)).sum(0).mean(), share.max(0).mean(), np.sort(share, 0)[-10:].sum(0).mean()])
+    assert knn.knn_graph(df.filter("id < 0"), 4, by_label).count() == 0
