@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corepick.llm import bpe, chat, decontaminate, langid, licenses, lines, near, quality, suffix, warc
+from corepick.llm import bpe, chat, decontaminate, langid, licenses, lines, merkle, near, quality, suffix, warc
 
 QUERIES = {
     "op1_order_minhash": near.op1_order_minhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_rank_order_langid": langid.op8_rank_order_langid,
     "op9_warc_derivatives": warc.op9_warc_derivatives,
     "op10_suffix_array_dedup": suffix.op10_suffix_array_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op2_spaced_seeds": decontaminate.OP2_SQL,
     "op5_chat_parts": chat.OP5_SQL,
     "op7_line_frequency": quality.OP7_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
