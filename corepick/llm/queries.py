@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corepick.llm import bpe, chat, decontaminate, langid, licenses, lines, merkle, near, quality, suffix, warc
+from corepick.llm import bpe, chat, classifier, decontaminate, langid, licenses, lines, merkle, near, quality, suffix, warc
 
 QUERIES = {
     "op1_order_minhash": near.op1_order_minhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc_derivatives": warc.op9_warc_derivatives,
     "op10_suffix_array_dedup": suffix.op10_suffix_array_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_neighbour_votes": classifier.op12_neighbour_votes,
 }
 
 SQL = {
