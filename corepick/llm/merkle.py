@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corepick.llm.common import cut, fits, table
+from corepick.llm.common import SQL_CRC32, cut, fits, table
 from corepick.llm.places import placed, same
 
 FANOUT = 8
@@ -126,9 +126,6 @@ def _sql_field(c: str, value: str | None = None) -> str:
     return f"coalesce(strlen({v}) || ':' || {v}, '-')"
 
 
-#: The CRC-32 of a string of ASCII characters, bit by bit.
-SQL_CRC32 = "xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({}, ''), lambda c: ord(c)::UBIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda s, z: xor(s >> 1, (s & 1) * 3988292384::UBIGINT))))"
-
 OP11_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, lang, sha256({" || ".join(_sql_field(c) for c in FIELDS)}) AS leaf,

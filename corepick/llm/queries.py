@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corepick.llm import bpe, chat, classifier, decontaminate, langid, licenses, lines, merkle, near, quality, suffix, warc
+from corepick.llm import bpe, chat, classifier, decontaminate, langid, licenses, lines, merkle, near, quality, repair, suffix, warc
 
 QUERIES = {
     "op1_order_minhash": near.op1_order_minhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_suffix_array_dedup": suffix.op10_suffix_array_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_neighbour_votes": classifier.op12_neighbour_votes,
+    "op13_block_table_repair": repair.op13_block_table_repair,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op5_chat_parts": chat.OP5_SQL,
     "op7_line_frequency": quality.OP7_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op13_block_table_repair": repair.OP13_SQL,
 }
