@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +16,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value computed once however often it is used: inside a lambda Spark computes it per element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def l2_normalize(v: Column) -> Column:
     """Divided by the norm; a zero vector stays zero."""
-    n = norm(v)
-    return F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return _with(norm(v), lambda n: F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n)))
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -43,10 +49,9 @@ def edge_weight(distance: Column, similarity_weights: bool = True) -> Column:
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(logits)
-    raised = F.transform(logits, lambda x: F.exp((x - top) / temperature))
-    total = F.aggregate(raised, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(raised, lambda x: x / total)
+    raised = _with(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp((x - top) / temperature)))
+    shares = lambda r: _with(F.aggregate(r, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(r, lambda x: x / total))
+    return _with(raised, shares)
 
 
 def l2_error(probs: Column, label: Column) -> Column:

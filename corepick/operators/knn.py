@@ -116,7 +116,7 @@ def added(name: str) -> Callable[[Block, Block], Block]:
 
 def knn_graph(samples: DataFrame, k: int, by_label: bool = False, block: int = BLOCK) -> DataFrame:
     """``src, dst, rank, dist``: the ``k`` nearest others by squared distance of unit vectors; ties by id. One row alone has none."""
-    units = unit_vectors(samples)
+    units = cut(unit_vectors(samples))
 
     def best(src: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> Block:
         order = np.lexsort((dst, dist, src))
@@ -148,7 +148,7 @@ def cross_attention(train: DataFrame, queries: DataFrame, temperature: float = 0
 
     Two passes over the block pairs: partial log-sum-exps by query, then shares, summed within blocks before they are merged.
     """
-    t, q = unit_vectors(train), unit_vectors(queries)
+    t, q = cut(unit_vectors(train)), cut(unit_vectors(queries))
 
     def sums(a: Block, b: Block) -> Block:
         s = a["u"] @ b["u"].T / temperature
@@ -173,7 +173,7 @@ def cross_attention(train: DataFrame, queries: DataFrame, temperature: float = 0
 
 def attention_stats(train: DataFrame, queries: DataFrame, temperature: float = 0.1, block: int = BLOCK) -> DataFrame:
     """One row: mean entropy of the queries' attention, and the mean mass of the strongest row and of the ten strongest."""
-    t, q = unit_vectors(train), unit_vectors(queries)
+    t, q = cut(unit_vectors(train)), cut(unit_vectors(queries))
 
     def parts(a: Block, b: Block) -> Block:
         s = a["u"] @ b["u"].T / temperature
