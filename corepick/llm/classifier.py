@@ -102,13 +102,15 @@ class Model:
     def of(cls, counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
         """From the counts and labels of some texts; the singular vectors by subspace iteration from a fixed start."""
         rarity = np.log((1 + len(counts)) / (1 + (counts[:, :TERMS] > 0).sum(0))) + 1
-        x = weights(counts, rarity).astype(np.float32)
+        x = np.empty((len(counts), TERMS + 1), np.float32)
+        for a in range(0, len(x), ROWS):
+            x[a : a + ROWS] = weights(counts[a : a + ROWS], rarity)
         k = min(rank, *x.shape)
         g = np.random.default_rng(0).normal(size=(x.shape[1], min(k + 16, x.shape[1]))).astype(np.float32)
         for _ in range(6):
             g = np.linalg.qr(x.T @ (x @ g))[0]
         basis = (g @ np.linalg.svd(x @ g, full_matrices=False)[2].T[:, :k]).astype(np.float64)
-        return cls(rarity, basis, _unit(x.astype(np.float64) @ basis) if len(x) else np.zeros((0, k)), labels)
+        return cls(rarity, basis, _unit((x @ basis.astype(np.float32)).astype(np.float64)) if len(x) else np.zeros((0, k)), labels)
 
     def embed(self, texts: list[str]) -> np.ndarray:
         return _unit(weights(term_counts(texts), self.rarity) @ self.basis)
@@ -156,10 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     rows = sample_of(docs, labels, key, text, label, size)
     found = rows.mapInArrow(count, f"place long, key {rows.schema['key'].dataType.simpleString()}, label double, terms array<int>, counts array<long>").toArrow().sort_by([("place", "ascending"), ("key", "ascending")])
-    counts = np.zeros((len(found), COLUMNS))
-    for i, (terms, n) in enumerate(zip(found["terms"].to_pylist(), found["counts"].to_pylist())):
-        counts[i, terms] = n
-    return Model.of(counts, found["label"].to_numpy())
+    counts = np.zeros((len(found), COLUMNS), np.float32)
+    terms, n = (found[c].combine_chunks() for c in ("terms", "counts"))
+    at = np.repeat(np.arange(len(found)), np.diff(terms.offsets.to_numpy()))
+    counts[at, terms.flatten().to_numpy()] = n.flatten().to_numpy()
+    labels_found = found["label"].to_numpy()
+    del found, terms, n, at
+    return Model.of(counts, labels_found)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
