@@ -1,42 +1,62 @@
-"""Greedy selection as exact lazy rounds.
-
-The gain of a candidate only falls as others are picked. So a round computes all gains in one Spark job, takes the best
-``width`` candidates (of each class, for per-class scope) with their kernel columns to the driver, and picks among them as
-long as the best of them beats every gain left outside; then the state of the rows is brought up to date and cut. The
-driver takes at most ``cells`` kernel cells in a round, however many rows there are: beyond that it looks into fewer
-candidates, and where not two of a group fit it takes the best of each by Spark's gains alone, a job a pick. Ties go to the least id; where sums of the driver and of Spark could differ in the
-last bits (a lead under ``LEAD``), the round ends and the next job decides. The first pick of a round is always safe.
+"""Greedy selection in exact lazy rounds, and farthest points.
+
+The gain of a candidate only falls as others are picked, so a gain once computed stays an upper bound. A round
+
+1. takes the candidates (of each class, for per-class scope) with the largest bounds and computes gains until the best of
+   them beats every bound that is left, so that candidates whose stale bound cannot reach the top cost nothing;
+2. adds up, over all rows, what the pick of one of the best ``width`` candidates would take from the gain of another. What
+   several picks take lies between the largest and the sum of what each takes, so a candidate is picked as long as its least possible gain beats the largest possible one of every other, inside and outside;
+3. brings the state of the rows up to date.
+
+The first pick of a round is always certain. However many rows there are, the driver takes at most ``FRESH`` gains
+and tables of ``width`` x ``width`` numbers a class, fewer where there are many classes. Ties (gains nearer than ``LEAD``, in proportion) go to the least id.
+
+A kernel says what a candidate does for a row. :class:`EdgeKernel` has it as a table; :class:`WalkKernel` and
+:class:`CosineKernel` never store theirs and compute only columns of candidates that are looked into.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corepick.functions.vectors import l2_normalize
+from corepick.operators.graph import add, matmul, matvec
 from corepick.operators.knn import Block, added, blocked, unit_vectors
 from corepick.operators.runtime import cut
 
 WIDTH = 256
+#: Candidates of all classes in a round's tables, which so have WIDTH times as many numbers at most.
+CANDIDATES = 4096
+#: Candidates whose gains one pass over the rows computes, and gains of a round that the driver holds; beyond that they stay a table.
+PASS, FRESH = 2048, 16_384
+#: Picks that rows take into account as they are read, before their state is written anew.
+PENDING = 1024
+#: Entries of a matrix that every task may hold (some 20 bytes each), and cells of the rows that it computes at once.
+BROADCAST_EDGES, CELLS = 2_000_000, 1 << 21
 LEAD = 1e-12
-#: Kernel cells (40 bytes each) that the driver takes in a round.
-CELLS = 4_000_000
+ROWS = 1024
 
 
 @dataclass(frozen=True)
 class Rule:
-    """How a row with state ``s`` gains from a candidate of kernel value ``w``, and its state afterwards."""
+    """How a row with state ``s`` gains from a candidate of kernel value ``w``, its state afterwards, and ``loss(w, s, imp)``: from
+    rows x candidates, how much of a candidate's gain (first axis) the pick of another one (second axis) takes."""
 
     start: float
     gain: Callable
     after: Callable
+    loss: Callable
+    #: No gain is ever below nothing.
+    positive: bool = True
 
 
 def _at_least_zero(x):
@@ -47,166 +67,534 @@ def _larger(a, b):
     return F.greatest(a, b) if isinstance(a, Column) else np.maximum(a, b)
 
 
+def _shared(w: np.ndarray, s: np.ndarray, imp: np.ndarray) -> np.ndarray:
+    a = np.maximum(w - s[:, None], 0.0)
+    return np.stack([imp @ np.minimum(a[:, j : j + 1], a) for j in range(a.shape[1])])
+
+
 #: Facility location: a row is covered as well as its best pick covers it.
-FACILITY = Rule(0.0, lambda w, s: _at_least_zero(w - s), _larger)
-#: Coverage: what is not yet covered counts in proportion.
-COVERAGE = Rule(0.0, lambda w, s: w * (1 - s), _larger)
+FACILITY = Rule(0.0, lambda w, s: _at_least_zero(w - s), _larger, _shared)
+#: Coverage: what is not yet covered counts in proportion (and against a candidate where walks cover a row more than once).
+COVERAGE = Rule(0.0, lambda w, s: w * (1 - s), _larger, lambda w, s, imp: (w * imp[:, None]).T @ np.maximum(w - s[:, None], 0.0), positive=False)
 #: Probability that no pick reaches the row.
-REACH = Rule(1.0, lambda w, s: w * s, lambda w, s: s * (1 - w))
+REACH = Rule(1.0, lambda w, s: w * s, lambda w, s: s * (1 - w), lambda w, s, imp: (w * (imp * s)[:, None]).T @ w)
+
+
+def _small(spark: SparkSession, **columns) -> DataFrame:
+    """A table of what the driver holds, without a Python task."""
+    return spark.createDataFrame(pa.table({k: pa.array(v, pa.float64() if k == "g_" else pa.int64()) for k, v in columns.items()}))
+
+
+@dataclass
+class Round:
+    """The candidates of a round by group, in order of their bounds; ``outside``: the best ``(gain, id)`` left out of a group."""
+
+    groups: list[list[tuple[int, object]]]
+    outside: list[tuple[float, int] | None]
+    left: dict
+    #: The candidate that is certainly the first of each group; None: the one with the largest gain, once that is known.
+    first: list[int | None]
+
+    @property
+    def ids(self) -> list[int]:
+        return [i for rows in self.groups for i, _ in rows]
+
+
+class Sums:
+    """Gains and losses of a round's candidates over the rows that a task has met."""
+
+    def __init__(self, groups: list[list[tuple[int, object]]], rule: Rule):
+        self.rule, self.gains = rule, [np.zeros(len(x)) for x in groups]
+        self.losses: dict[int, np.ndarray] = {}
+
+    def add(self, g: int, w: np.ndarray, s: np.ndarray, imp: np.ndarray) -> None:
+        for a in range(0, len(w), ROWS):
+            part = slice(a, a + ROWS)
+            self.gains[g] += imp[part] @ self.rule.gain(w[part], s[part, None])
+            self.losses[g] = self.losses.get(g, 0.0) + self.rule.loss(w[part], s[part], imp[part])
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for g, loss in self.losses.items():
+            a, b = np.nonzero(loss)
+            own = np.arange(len(self.gains[g]))
+            columns = [np.full(len(own) + len(a), g, np.int32), np.concatenate([own, a]).astype(np.int32), np.concatenate([np.full(len(own), -1), b]).astype(np.int32), np.concatenate([self.gains[g], loss[a, b]])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["g", "a", "b", "x"])
+
+
+TABLE = "g int, a int, b int, x double"
 
 
 class EdgeKernel:
     """A kernel given as ``edges(i, j, w)``: column j says what candidate j does for row i."""
 
+    #: Whether the bounds are the gains themselves and cheap enough for every round; if not, whether the first ones are the gains.
+    exact, exact_first = True, True
+    #: Candidates of a class in a round's table at most.
+    width = WIDTH
+
     def __init__(self, edges: DataFrame):
         self.edges = edges
 
-    def gains(self, state: DataFrame, rule: Rule) -> DataFrame:
-        joined = self.edges.join(state.select(F.col("id").alias("i"), "s", "imp"), "i")
-        return joined.groupBy(F.col("j").alias("id")).agg(F.sum(F.col("imp") * rule.gain(F.col("w"), F.col("s"))).alias("gain"))
-
-    def lengths(self, some: DataFrame) -> dict[int, int] | None:
-        """Cells of each column; those of candidates without any are left out."""
-        return {r.j: r.n for r in self.edges.join(F.broadcast(some.select(F.col("id").alias("j"))), "j").groupBy("j").agg(F.count("*").alias("n")).collect()}
+    def begin(self, nodes: DataFrame, rule: Rule, per_class: bool) -> DataFrame:
+        """Takes the rows' first state; they come back as ``id, label``."""
+        self.rule = rule
+        self.state = cut(nodes.select("id", "label", F.col("imp").cast("double").alias("imp"), F.lit(rule.start).alias("s")))
+        return self.state.select("id", "label")
+
+    def columns(self, ids: list[int]) -> DataFrame:
+        """``i, j, w`` of some candidates."""
+        return self.edges.join(F.broadcast(self._table(ids)), "j")
+
+    def _table(self, ids: list[int]) -> DataFrame:
+        return _small(self.state.sparkSession, j=ids)
+
+    def _gains(self, edges: DataFrame) -> DataFrame:
+        joined = edges.join(self.state.select(F.col("id").alias("i"), "s", "imp"), "i")
+        return joined.groupBy(F.col("j").alias("id")).agg(F.sum(F.col("imp") * self.rule.gain(F.col("w"), F.col("s"))).alias("gain"))
+
+    def bounds(self) -> DataFrame:
+        """``id, gain``: no candidate gains more, and one that is not listed gains nothing."""
+        return self._gains(self.edges)
+
+    def gains(self, ids: list[int]) -> dict[int, float]:
+        return {i: 0.0 for i in ids} | {r.id: r.gain for r in self._gains(self.columns(ids)).collect()}
+
+    def tables(self, now: Round) -> DataFrame:
+        """``g, a, b, x``: of group g the gain of candidate a (b is -1), or what candidate b takes of it, in parts to be summed."""
+        cells = self.columns(now.ids).join(self.state.select(F.col("id").alias("i"), "s", "imp"), "i")
+        rows = cells.groupBy("i", "s", "imp").agg(F.collect_list("j").alias("js"), F.collect_list("w").alias("ws"))
+        order = sorted((i, g, k) for g, members in enumerate(now.groups) for k, (i, _) in enumerate(members))
+        ids, group, place = (np.array(x, np.int64) for x in zip(*order))
+        groups, rule = now.groups, self.rule
+
+        def run(batches):
+            sums = Sums(groups, rule)
+            for batch in batches:
+                s, imp = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                at = np.repeat(np.arange(len(batch)), np.diff(batch.column(3).offsets.to_numpy()))
+                k, w = np.searchsorted(ids, batch.column(3).flatten().to_numpy()), batch.column(4).flatten().to_numpy()
+                for g in np.unique(group[k]):
+                    own = group[k] == g
+                    for a in range(0, len(batch), ROWS):
+                        part = own & (at >= a) & (at < a + ROWS)
+                        rows, row = np.unique(at[part], return_inverse=True)
+                        dense = np.zeros((len(rows), len(groups[g])))
+                        dense[row, place[k[part]]] = w[part]
+                        sums.add(int(g), dense, s[rows], imp[rows])
+            yield from sums.batches()
+
+        return rows.mapInArrow(run, TABLE)
+
+    def advance(self, ids: list[int]) -> None:
+        """The state after the picks; a maximum or a product over them, so their order does not matter."""
+        columns, s = self.columns(ids), F.col("s")
+        if self.rule is REACH:
+            moved = columns.groupBy("i").agg(F.product(1 - F.col("w")).alias("f"))
+            new = s * F.coalesce("f", F.lit(1.0))
+        else:
+            moved = columns.groupBy("i").agg(F.max("w").alias("f"))
+            new = F.greatest(s, F.coalesce("f", s))
+        self.state = cut(self.state.join(moved, F.col("id") == F.col("i"), "left").select("id", "label", "imp", new.alias("s")))
 
-    def columns(self, some: DataFrame, state: DataFrame) -> DataFrame:
-        own = self.edges.join(F.broadcast(some.select(F.col("id").alias("j"))), "j")
-        return own.join(state.select(F.col("id").alias("i"), "s", "imp"), "i").select("i", "j", "w", "s", "imp")
 
+@dataclass(frozen=True)
+class SmallMatrix:
+    """A sparse matrix of at most ``BROADCAST_EDGES`` entries by column: the entries of column ``dst[k]`` start at ``starts[k]``."""
+
+    ids: np.ndarray
+    src: np.ndarray
+    w: np.ndarray
+    dst: np.ndarray
+    starts: np.ndarray
+    prune: float
+
+    @classmethod
+    def of(cls, src: np.ndarray, dst: np.ndarray, w: np.ndarray, prune: float) -> SmallMatrix:
+        ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        a, b = at[: len(src)], at[len(src) :]
+        order = np.lexsort((a, b))
+        starts = np.flatnonzero(np.diff(b[order], prepend=-1))
+        return cls(ids, a[order].astype(np.int32), w[order], b[order][starts], starts, prune)
+
+    def sums(self, some: np.ndarray, scale: list[float]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``src, dst, w`` of the rows ``some`` of ``sum_t scale[t] P^t``, sorted by src, some rows at a time."""
+        at = np.searchsorted(self.ids, some)
+        here = at < len(self.ids)
+        here[here] = self.ids[at[here]] == some[here]
+        if not here.all():  # without an entry of its own
+            yield some[~here], some[~here], np.full((~here).sum(), scale[0])
+        some, at = some[here], at[here]
+        n = max(1, CELLS // max(1, len(self.ids), len(self.src)))
+        for k in range(0, len(some), n):
+            own = at[k : k + n]
+            row = np.arange(len(own))
+            x = np.zeros((len(own), len(self.ids)))
+            x[row, own] = scale[-1]
+            for c in scale[-2::-1]:
+                y = np.zeros_like(x)
+                y[:, self.dst] = np.add.reduceat(x[:, self.src] * self.w, self.starts, axis=1) if len(self.src) else 0.0
+                y[np.abs(y) <= self.prune] = 0.0
+                y[row, own] += c
+                x = y
+            a, b = np.nonzero(x)
+            yield some[k : k + n][a], self.ids[b], x[a, b]
+
+
+class WalkKernel(EdgeKernel):
+    """``sum_t scale[t] P^t`` of a sparse matrix ``p(src, dst, w)``, its rows divided by their largest entry if ``row_max``:
+    candidate j does for row i what entry (j, i) says, 0 to 1 (or more, for COVERAGE only).
+
+    Neither the sum nor a power is ever stored. Bounds come from products with one vector; the rows of candidates that are
+    looked into from sparse products with those rows alone, both by Horner's rule, so that each step adds its own term and no
+    power is kept. Entries of a partial sum up to ``prune`` are dropped (0: none). Some ``held`` rows are kept from round to round.
+    """
 
-class CosineKernel:
-    """Cosine similarity of all pairs (within labels, if asked), computed block by block and never stored."""
+    exact = False
+
+    def __init__(self, p: DataFrame, scale: list[float], row_max: bool = False, prune: float = 0.0, held: int = 4 * WIDTH):
+        self.p, self.scale, self.row_max, self.prune, self.most = p, scale, row_max, prune, held
+        self.exact_first = not row_max
+        edges = p.select("src", "dst", "w").limit(BROADCAST_EDGES + 1).toArrow() if p.count() <= BROADCAST_EDGES else None
+        self.small = None if edges is None else p.sparkSession.sparkContext.broadcast(SmallMatrix.of(*(edges[c].to_numpy() for c in ("src", "dst", "w")), prune))
+        self.held: set[int] = set()
+        self.parts: list[DataFrame] = []
+
+    def bounds(self) -> DataFrame:
+        # what a candidate gains is at most w (1 - s) or w s of each row, and dividing by the largest entry, which is 1 at least, lowers it
+        free = F.col("s") if self.rule is REACH else 1 - F.col("s")
+        x = cut(self.state.select("id", (F.col("imp") * free).alias("x")))
+        part = lambda c: x.select("id", (F.col("x") * c).alias("x"))
+        total = part(self.scale[-1])
+        for c in self.scale[-2::-1]:
+            total = matvec(self.p, total).union(part(c)).groupBy("id").agg(F.sum("x").alias("x"))
+        return total.select("id", F.col("x").alias("gain"))
+
+    def _rows(self, ids: list[int]) -> DataFrame:
+        own = self._table(ids)
+        if self.small is not None:
+            return self._rows_in_tasks(own)
+        part = lambda c: own.select(F.col("j").alias("src"), F.col("j").alias("dst"), F.lit(c).alias("w"))
+        total = part(self.scale[-1])
+        for c in self.scale[-2::-1]:
+            total = add(matmul(total, self.p, self.prune), part(c))
+        if self.row_max:
+            total = cut(total)
+            top = total.groupBy("src").agg(F.max("w").alias("m"))
+            total = total.join(F.broadcast(top), "src").select("src", "dst", (F.col("w") / F.col("m")).alias("w"))
+        return total.select(F.col("dst").alias("i"), F.col("src").alias("j"), "w")
+
+    def _rows_in_tasks(self, own: DataFrame) -> DataFrame:
+        sent, scale, row_max = self.small, self.scale, self.row_max
+
+        def run(batches):
+            for batch in batches:
+                for src, dst, w in sent.value.sums(batch.column(0).to_numpy(), scale):
+                    if row_max:
+                        starts = np.flatnonzero(np.diff(src, prepend=src[:1] - 1))
+                        w = w / np.repeat(np.maximum.reduceat(w, starts), np.diff(np.append(starts, len(src))))
+                    yield pa.RecordBatch.from_arrays([pa.array(dst), pa.array(src), pa.array(w)], names=["i", "j", "w"])
+
+        return own.repartition(own.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "i long, j long, w double")
+
+    def columns(self, ids: list[int]) -> DataFrame:
+        if missing := [i for i in ids if i not in self.held]:
+            if len(self.held) + len(missing) > max(self.most, len(ids)):
+                keep = [i for i in ids if i in self.held]
+                self.parts, self.held = [cut(self._of(keep))] if keep else [], {*keep}
+            self.parts.append(cut(self._rows(missing)))
+            self.held |= {*missing}
+        return self._of(ids)
+
+    def _of(self, ids: list[int]) -> DataFrame:
+        every = self.parts[0]
+        for part in self.parts[1:]:
+            every = every.unionByName(part)
+        return every.join(F.broadcast(self._table(ids)), "j").select("i", "j", "w")
+
+
+def heat_scale(t: float, terms: int) -> list[float]:
+    return [math.exp(-t) * t**i / math.factorial(i) for i in range(terms + 1)]
 
-    def __init__(self, samples: DataFrame, by_label: bool):
-        self.units, self.by_label = cut(unit_vectors(samples)), by_label
 
-    def gains(self, state: DataFrame, rule: Rule) -> DataFrame:
-        def work(a: Block, b: Block) -> Block:
-            w = a["u"] @ b["u"].T
-            return {"id": a["id"], "gain": (b["imp"][None, :] * rule.gain(w, b["s"][None, :])).sum(1)}
+class CosineKernel:
+    """Cosine similarity of all pairs (within labels, if asked), computed block by block and never stored.
 
-        rows = self.units.join(state.select("id", "s", "imp"), "id")
-        parts = blocked(self.units, rows, work, "id long, gain double", self.by_label, added("gain"))
-        return parts.groupBy("id").agg(F.sum("gain").alias("gain"))
+    A pass over the rows meets the vectors of a few candidates, which are sent to every task. Rows carry their state; picks since
+    it was written are sent along and taken into account as rows are read.
+    """
 
-    def lengths(self, some: DataFrame) -> dict[int, int] | None:
-        """None: each column has a cell for every row of its scope."""
-        return None
+    exact, exact_first = False, True
+    #: All columns overlap, so few picks are certain at a time.
+    width = 32
 
-    def columns(self, some: DataFrame, state: DataFrame) -> DataFrame:
-        picked = self.units.join(F.broadcast(some.select("id")), "id")
+    def __init__(self, samples: DataFrame, by_label: bool):
+        self.units, self.by_label = unit_vectors(samples), by_label
+
+    def begin(self, nodes: DataFrame, rule: Rule, per_class: bool) -> DataFrame:
+        if rule is not FACILITY:
+            raise ValueError("cosines can be negative, which only facility location allows")
+        self.rule, self.pending, self.met = rule, [], {}
+        imp = nodes.select("id", F.col("imp").cast("double").alias("imp"))
+        self.rows = cut(self.units.filter("u IS NOT NULL").join(imp, "id").select("id", "label", "imp", F.lit(rule.start).alias("s"), "u"))
+        return self.rows.select("id", "label").union(nodes.select("id", "label").join(self.rows, "id", "left_anti"))
+
+    def _vectors(self, ids: list[int]) -> dict[object, tuple[np.ndarray, np.ndarray]]:
+        """``ids, vectors`` by label, or all under None."""
+        if missing := [i for i in ids if i not in self.met]:
+            found = self.rows.join(F.broadcast(_small(self.rows.sparkSession, j=missing)), F.col("id") == F.col("j")).select("id", "label", "u").toArrow().combine_chunks()
+            vectors = found["u"].combine_chunks().flatten().to_numpy().reshape(len(found), -1) if len(found) else []
+            if len(self.met) + len(found) > 2 * PASS:
+                self.met = {i: self.met[i] for i in [*self.pending, *ids] if i in self.met}
+            self.met.update({i: (label, v) for i, label, v in zip(found["id"].to_pylist(), found["label"].to_pylist(), vectors)})
+        by: dict = defaultdict(list)
+        for i in ids:
+            if i in self.met:
+                by[self.met[i][0] if self.by_label else None].append(i)
+        return {label: (np.array(own), np.stack([self.met[i][1] for i in own])) for label, own in by.items()}
+
+    def _passed(self, work: Callable, schema: str) -> DataFrame:
+        """``work(parts)`` in each task, where a part is ``label, id, imp, s, u`` of rows of one label, with the state of now."""
+        picks, by_label, after = self._vectors(self.pending) if self.pending else {}, self.by_label, self.rule.after
+
+        def run(batches):
+            def parts():
+                for batch in batches:
+                    for a in range(0, len(batch), ROWS):
+                        b = batch.slice(a, ROWS)
+                        i, imp, s = (b.column(k).to_numpy() for k in (0, 2, 3))
+                        u = b.column(4).flatten().to_numpy().reshape(len(b), -1)
+                        labels = b.column(1).to_pylist() if by_label else [None] * len(b)
+                        for label in {*labels}:
+                            own = np.array([x == label for x in labels])
+                            state = s[own]
+                            if label in picks:
+                                state = after((u[own] @ picks[label][1].T).max(1), state)
+                            yield label, i[own], imp[own], state, u[own]
+
+            yield from work(parts())
+
+        return self.rows.mapInArrow(run, schema)
+
+    def _now(self) -> DataFrame:
+        def work(parts):
+            for _, i, _, s, _ in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(s)], names=["i", "s_now"])
+
+        now = self._passed(work, "i long, s_now double")
+        return self.rows.join(now, F.col("id") == F.col("i")).select("id", "label", "imp", F.col("s_now").alias("s"), "u")
+
+    def bounds(self, among: DataFrame | None = None) -> DataFrame:
+        rule, rows = self.rule, cut(self._now()) if self.pending else self.rows
+        left = rows if among is None else rows.join(among.select("id"), "id", "left_semi")
 
         def work(a: Block, b: Block) -> Block:
-            w = a["u"] @ b["u"].T
-            return {"i": np.repeat(a["id"], len(b["id"])), "j": np.tile(b["id"], len(a["id"])), "w": w.ravel()}
-
-        pairs = blocked(self.units, picked, work, "i long, j long, w double", self.by_label)
-        return pairs.join(state.select(F.col("id").alias("i"), "s", "imp"), "i").select("i", "j", "w", "s", "imp")
+            return {"id": a["id"], "gain": (b["imp"][None, :] * rule.gain(a["u"] @ b["u"].T, b["s"][None, :])).sum(1)}
 
+        parts = blocked(left.select("id", "label", "u"), rows, work, "id long, gain double", self.by_label, added("gain"))
+        return parts.groupBy("id").agg(F.sum("gain").alias("gain"))
 
-def greedy(kernel, nodes: DataFrame, budget: int, rule: Rule = FACILITY, per_class: bool = True, width: int = WIDTH, cells: int = CELLS) -> DataFrame:
+    def gains(self, ids: list[int]) -> dict[int, float]:
+        some, rule = self._vectors(ids), self.rule
+
+        def work(parts):
+            total = {label: np.zeros(len(x[0])) for label, x in some.items()}
+            for label, _, imp, s, u in parts:
+                if label in some:
+                    total[label] += imp @ rule.gain(u @ some[label][1].T, s[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some[x][0] for x in total])), pa.array(np.concatenate(list(total.values())))], names=["id", "gain"])
+
+        if not some:
+            return {i: 0.0 for i in ids}
+        summed = self._passed(work, "id long, gain double").groupBy("id").agg(F.sum("gain").alias("gain"))
+        return {i: 0.0 for i in ids} | {r.id: r.gain for r in summed.collect()}
+
+    def tables(self, now: Round) -> DataFrame:
+        some, groups, rule = self._vectors(now.ids), now.groups, self.rule
+        own: dict = {}
+        for g, members in enumerate(groups):
+            label = members[0][1] if self.by_label else None
+            place = {i: k for k, (i, _) in enumerate(members)}
+            if label in some:
+                u = np.zeros((len(members), some[label][1].shape[1]))
+                for i, v in zip(some[label][0].tolist(), some[label][1]):
+                    u[place[i]] = v
+                own[label] = (g, u)
+
+        def work(parts):
+            sums = Sums(groups, rule)
+            for label, _, imp, s, u in parts:
+                if label in own:
+                    g, v = own[label]
+                    sums.add(g, u @ v.T, s, imp)
+            yield from sums.batches()
+
+        return self._passed(work, TABLE)
+
+    def advance(self, ids: list[int]) -> None:
+        self.pending = self.pending + ids
+        if len(self.pending) > PENDING:
+            self.rows, self.pending = cut(self._now()), []
+
+
+def certain(ids: list[int], labels: list, gains: np.ndarray, losses: np.ndarray, left: dict, outside: tuple[float, int] | None, first: int | None, positive: bool = True) -> list[int]:
+    """Places of the candidates that greedy picks next, as far as the losses by pairs prove it."""
+    lead = lambda x: LEAD * max(1.0, abs(x))
+    left, most, total, picks = dict(left), np.zeros(len(ids)), np.zeros(len(ids)), []
+    live = np.ones(len(ids), bool)
+    number = np.array(ids)
+    while True:
+        open_ = live & np.array([left[c] > 0 for c in labels])
+        if not open_.any():
+            return picks
+        low, high = gains - (np.minimum(total, gains) if positive else total), gains - most
+        if not picks and first is not None:
+            p = first
+        elif not picks:
+            best = gains[open_].max()
+            near = np.flatnonzero(open_ & (gains >= best - lead(best)))
+            p = int(near[number[near].argmin()])
+        else:
+            at = np.flatnonzero(open_)
+            p = int(at[np.lexsort((number[at], -low[at]))[0]])
+            rivals = [(float(high[k]), int(number[k])) for k in at if k != p] + ([outside] if outside else [])
+            if not all(low[p] - gain > lead(low[p]) or low[p] == gain == 0.0 and number[p] < i for gain, i in rivals):
+                return picks
+        picks.append(p)
+        live[p] = False
+        left[labels[p]] -= 1
+        most, total = np.maximum(most, losses[:, p]), total + losses[:, p]
+
+
+def _picked(tables: DataFrame, now: Round, positive: bool) -> tuple[list[list[int]], list[np.ndarray]]:
+    """By group the places of the candidates that are picked, in order, and the gains of all."""
+    found = tables.groupBy("g", "a", "b").agg(F.sum("x").alias("x")).toArrow()
+    group, a, b, x = (found[c].to_numpy() for c in ("g", "a", "b", "x"))
+    picks, gains = [], []
+    for g, members in enumerate(now.groups):
+        gain, loss = np.zeros(len(members)), np.zeros((len(members), len(members)))
+        own, pair = (group == g) & (b < 0), (group == g) & (b >= 0)
+        gain[a[own]], loss[a[pair], b[pair]] = x[own], x[pair]
+        gains.append(gain)
+        picks.append(certain([i for i, _ in members], [c for _, c in members], gain, loss, now.left, now.outside[g], now.first[g], positive))
+    return picks, gains
+
+
+@dataclass
+class Search:
+    """The bounds of all candidates, as a table, and what is known of a round."""
+
+    kernel: object
+    bounds: DataFrame
+    per_class: bool
+    width: int
+    fresh: dict[int, tuple[float, object]] = field(default_factory=dict)
+    looked: int = 0
+
+    def _top(self, gone: list[int], left: dict, n: int) -> dict[object, list[tuple[float, int, object, bool]]]:
+        """By group the ``n`` largest bounds of candidates that are neither picked nor fresh, and the ``width`` + 1 largest that the
+        table has as gains of this round, as ``(-bound, id, label, is a gain)``."""
+        spark = self.bounds.sparkSession
+        free = self.bounds.filter(F.col("label").isin([c for c, k in left.items() if k and c is not None]) | (F.lit(bool(left.get(None))) & F.col("label").isNull()))
+        out = _small(spark, id=[*gone, *self.fresh])
+        own = Window.partitionBy("known", *(["label"] if self.per_class else [])).orderBy(F.desc("gain"), F.asc("id"))
+        best = free.join(out, "id", "left_anti").withColumn("r", F.row_number().over(own)).filter(F.col("r") <= max(n, self.width + 1))
+        found: dict = defaultdict(list)
+        for r in best.select("id", "label", "gain", "known").collect():
+            found[r.label if self.per_class else None].append((-r.gain, r.id, r.label, r.known))
+        return found
+
+    def candidates(self, gone: list[int], left: dict) -> dict[object, list[tuple[float, int, object]]]:
+        """By group the best ``width`` + 1 candidates, so that the best gain is known to be the best of all."""
+        probe, n = self.width, self.width + 1
+        while True:
+            top = self._top(gone, left, n)
+            found: dict = {g: [x[:3] for x in rows if x[3]] for g, rows in top.items()}
+            for i, (gain, label) in self.fresh.items():
+                if left[label]:
+                    found.setdefault(label if self.per_class else None, []).append((-gain, i, label))
+            open_: list[tuple[float, int, object]] = []
+            seen_all = True
+            for g, rows in top.items():
+                best = max((-x[0] for x in found[g]), default=-math.inf)
+                floor = best - LEAD * max(1.0, abs(best))
+                # where no gain is below nothing, a bound of nothing is exact
+                stale = [x[:3] for x in rows if not x[3] and not (self.kernel.exact or self.kernel.rule.positive and x[0] >= 0) and -x[0] >= floor]
+                seen_all &= len(stale) < min(n, sum(not x[3] for x in rows))
+                open_ += stale
+                found[g] += [x[:3] for x in rows if not x[3] and x[:3] not in stale] if len(stale) < n else []
+            if not open_:
+                return {g: sorted(rows) for g, rows in found.items()}
+            if self._look(sorted(open_)[:probe], gone) and seen_all and len(open_) <= probe:
+                looked = {i for _, i, _ in open_}
+                for g, rows in found.items():
+                    rows += [(-gain, i, c) for i, (gain, c) in self.fresh.items() if i in looked and (c if self.per_class else None) == g]
+                return {g: sorted(rows) for g, rows in found.items()}
+            probe = n = PASS
+
+    def _look(self, some: list[tuple[float, int, object]], gone: list[int]) -> bool:
+        """Computes gains; False if they are in the table and not in ``fresh``."""
+        if len(self.fresh) + len(some) > FRESH and hasattr(self.kernel, "units"):
+            # too many for the driver: all that are as good as the worst of them stay a table
+            floor, spark = -max(x[0] for x in some), self.bounds.sparkSession
+            rest = self.bounds.filter(F.col("gain") >= floor).join(_small(spark, id=[*gone, *self.fresh]), "id", "left_anti")
+            new = self.kernel.bounds(rest).select(F.col("id").alias("i_"), F.col("gain").alias("g_"))
+            met = self.bounds.join(new, F.col("id") == F.col("i_"), "left")
+            self.bounds = cut(met.select("id", "label", F.coalesce("g_", "gain").alias("gain"), (F.col("known") | F.col("g_").isNotNull()).alias("known")))
+            return False
+        self.looked += len(some)
+        gains = self.kernel.gains([i for _, i, _ in some])
+        self.fresh.update({i: (gains[i], label) for _, i, label in some})
+        return True
+
+    def keep(self) -> None:
+        """Writes what is known to the bounds; the next round's gains are lower."""
+        new = _small(self.bounds.sparkSession, i_=[*self.fresh], g_=[float(gain) for gain, _ in self.fresh.values()])
+        met = self.bounds.join(F.broadcast(new), F.col("id") == F.col("i_"), "left")
+        self.bounds = cut(met.select("id", "label", F.least("gain", F.coalesce("g_", "gain")).alias("gain"), F.lit(False).alias("known")))
+        self.fresh, self.looked = {}, 0
+
+
+def greedy(kernel, nodes: DataFrame, budget: int, rule: Rule = FACILITY, per_class: bool = True, width: int = WIDTH, report: list | None = None) -> DataFrame:
     """``id, label, rank`` from ``nodes(id, label, imp)``: up to ``budget`` picks a class.
 
     Per class, rank counts within the class, and the kernel must not join classes. Otherwise one ranking runs over all rows;
-    a class leaves when it has its budget.
+    a class leaves when it has its budget. ``report`` gets ``(picks, gains computed one by one)`` of each round.
     """
     spark = nodes.sparkSession
-    state = cut(nodes.select("id", "label", F.col("imp").cast("double").alias("imp"), F.lit(rule.start).alias("s")))
-    sizes = {r.label: r.n for r in state.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = kernel.begin(nodes, rule, per_class)
+    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     left = {c: min(budget, n) for c, n in sizes.items()}
+    width = min(width, kernel.width)
+    width = max(2, min(width, CANDIDATES // max(1, len(sizes)))) if per_class else width
+    with_gain = lambda: rows.join(kernel.bounds(), "id", "left").select("id", "label", F.coalesce("gain", F.lit(0.0)).alias("gain"), F.lit(kernel.exact_first).alias("known"))
     picks: list[tuple[int, object, int]] = []
     ranks: dict = defaultdict(int)
-    schema = "id long, label long, rank int"
+    search = None
     while any(left.values()):
-        open_ = [c for c, n in left.items() if n]
-        gone = spark.createDataFrame([(p[0],) for p in picks], "id long")
-        free = state.filter(F.col("label").isin(open_)).join(gone, "id", "left_anti").select("id", "label")
-        gains = free.join(kernel.gains(state, rule), "id", "left").select("id", "label", F.coalesce("gain", F.lit(0.0)).alias("gain"))
-        order = [F.desc("gain"), F.asc("id")]
-        if per_class:
-            best = gains.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(*order))).filter(F.col("r") <= width + 1)
-        else:
-            best = gains.orderBy(*order).limit(width + 1)
-        groups: dict = defaultdict(list)
-        for r in best.collect():
-            groups[r.label if per_class else None].append((-r.gain, r.id, r.label))
-        for rows in groups.values():
-            rows.sort()
-        full = {g: sizes[g] if per_class else sum(sizes.values()) for g in groups}
-        take = _affordable(kernel, groups, full, width, cells, spark)
-        bound = {g: rows[take] if len(rows) > take else None for g, rows in groups.items()}
-        chosen = [x for rows in groups.values() for x in rows[:take]]
-        some = spark.createDataFrame([(x[1],) for x in chosen], "id long")
-        seen = kernel.columns(some, state).toPandas() if take > 1 else pd.DataFrame({c: [] for c in ("i", "j", "w", "s", "imp")})
-        new = _pick(seen, chosen, bound, left, rule, per_class)
+        gone = [p[0] for p in picks]
+        # no more candidates than picks that are to come may need
+        most = max(left.values()) if per_class else sum(left.values())
+        look = min(width, max(16, 8 * most))
+        if search is None or kernel.exact:
+            search = Search(kernel, with_gain() if kernel.exact else cut(with_gain()), per_class, look)
+        search.width = look
+        found = list(search.candidates(gone, left).values())
+        now = Round([[(i, c) for _, i, c in rows_[:look]] for rows_ in found], [(-rows_[look][0], rows_[look][1]) if len(rows_) > look else None for rows_ in found], left, [0 if kernel.exact else None] * len(found))
+        places, gains = _picked(kernel.tables(now), now, rule.positive)
+        new = [now.groups[g][a] for g, own in enumerate(places) for a in own]
         for i, c in new:
             key = c if per_class else None
             ranks[key] += 1
             left[c] -= 1
             picks.append((i, c, ranks[key]))
+        if report is not None:
+            report.append((len(new), search.looked))
         if any(left.values()):
-            done = spark.createDataFrame([(i,) for i, _ in new], "id long")
-            state = cut(_advance(state, kernel.columns(done, state), [i for i, _ in new], rule))
-    return spark.createDataFrame(picks, schema)
-
-
-def _affordable(kernel, groups: dict, full: dict, width: int, cells: int, spark) -> int:
-    """How many candidates of each group, best first, the driver may look into: their columns have ``cells`` cells at most."""
-    if sum(min(width, len(rows)) * full[g] for g, rows in groups.items()) <= cells:
-        return width
-    lengths = kernel.lengths(spark.createDataFrame([(x[1],) for rows in groups.values() for x in rows[:width]], "id long"))
-    total = 0
-    for n in range(width):
-        total += sum(full[g] if lengths is None else lengths.get(rows[n][1], 0) for g, rows in groups.items() if len(rows) > n)
-        if total > cells:
-            return max(1, n)
-    return width
-
-
-def _advance(state: DataFrame, columns: DataFrame, order: list[int], rule: Rule) -> DataFrame:
-    """The state after the picks; a maximum or a product over them, so their order does not matter."""
-    if rule is REACH:
-        moved = columns.groupBy("i").agg(F.product(1 - F.col("w")).alias("f"))
-        return state.join(moved, state["id"] == moved["i"], "left").select("id", "label", "imp", (F.col("s") * F.coalesce("f", F.lit(1.0))).alias("s"))
-    moved = columns.groupBy("i").agg(F.max("w").alias("f"))
-    return state.join(moved, state["id"] == moved["i"], "left").select("id", "label", "imp", F.greatest("s", F.coalesce("f", "s")).alias("s"))
-
-
-def _clear(best: tuple, rival: tuple) -> bool:
-    """Whether ``best`` comes first whatever the order of summing; gains are negated here. Nothing left to gain is exact."""
-    return rival[0] - best[0] > LEAD * max(1.0, -best[0]) or best[0] == rival[0] == 0.0 and best[1] < rival[1]
-
-
-def _pick(cells: pd.DataFrame, chosen, bound, left, rule: Rule, per_class: bool) -> list[tuple[int, object]]:
-    """Ordinary greedy among ``chosen`` on the driver, while it is sure to be that of the whole table."""
-    rows, place = np.unique(cells["i"].to_numpy(np.int64), return_inverse=True)
-    s, imp = np.zeros(len(rows)), np.zeros(len(rows))
-    s[place], imp[place] = cells["s"].to_numpy(), cells["imp"].to_numpy()
-    columns = {}
-    for j, at in cells.groupby("j").indices.items():
-        columns[int(j)] = (place[at], cells["w"].to_numpy()[at])
-    gain = lambda j: float((imp[columns[j][0]] * rule.gain(columns[j][1], s[columns[j][0]])).sum()) if j in columns else 0.0
-    out, left = [], dict(left)
-    order = {x[1]: n for n, x in enumerate(chosen)}
-    by_group: dict = defaultdict(dict)
-    for g, i, c in chosen:
-        by_group[c if per_class else None][i] = c
-    for group, members in by_group.items():
-        fresh = True
-        while live := sorted((-gain(i), i, c) for i, c in members.items() if left[c]):
-            if fresh:  # by the sums of Spark, as the bound is
-                live = [min(live, key=lambda x: order[x[1]])]
-            elif not all(_clear(live[0], r) for r in [*live[1:2], *([bound[group]] if bound[group] else [])]):
-                break
-            fresh = False
-            _, i, c = live[0]
-            out.append((i, c))
-            left[c] -= 1
-            del members[i]
-            if i in columns:
-                at, w = columns[i]
-                s[at] = rule.after(w, s[at])
-    return out
+            if not kernel.exact:
+                search.fresh.update({i: (float(x), c) for members, own in zip(now.groups, gains) for (i, c), x in zip(members, own)})
+                search.keep()
+            kernel.advance([i for i, _ in new])
+    return spark.createDataFrame(picks, "id long, label long, rank int")
 
 
 # ------------------------------------------------------------------------------------------------- farthest points

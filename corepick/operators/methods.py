@@ -220,17 +220,21 @@ _register_powers()
 
 @register_method("heat_kernel", ("v",), "optional", k=10, t=1.0, terms=12, global_selection=False, prune=0.0)
 def heat_kernel(df, budget, importance, seed, k, t, terms, global_selection, prune):
-    """Facility location on the heat kernel of the graph."""
-    kernel = graph.heat_kernel(normalized_graph(df, k, global_selection), df.select("id"), t, terms, prune)
-    return g.greedy(g.EdgeKernel(_as_columns(kernel)), _nodes(df, importance), budget, per_class=not global_selection)
+    """Facility location on the heat kernel of the graph, whose matrix is never built."""
+    kernel = g.WalkKernel(normalized_graph(df, k, global_selection), g.heat_scale(t, terms), prune=prune)
+    return g.greedy(kernel, _nodes(df, importance), budget, per_class=not global_selection)
+
+
+def _walks(df: DataFrame, k: int, by_label: bool, walk: int, gamma: float, row_max: bool, prune: float) -> g.WalkKernel:
+    p = cut(graph.transition(cut(graph.adjacency(knn_graph(df, k, by_label)))))
+    return g.WalkKernel(p, [gamma**t for t in range(walk + 1)], row_max, prune)
 
 
 @register_method("graph_coverage", ("v",), "required", k=10, walk=5, gamma=0.85, global_selection=False, prune=0.0)
 def graph_coverage(df, budget, importance, seed, k, walk, gamma, global_selection, prune):
     """Largest importance-weighted gain of walks that reach what is not yet covered."""
-    edges = graph.adjacency(knn_graph(df, k, by_label=not global_selection))
-    reach = graph.reachability(edges, df.select("id"), walk, gamma, prune)
-    return g.greedy(g.EdgeKernel(_as_columns(reach)), _nodes(df, importance), budget, g.COVERAGE, not global_selection)
+    kernel = _walks(df, k, not global_selection, walk, gamma, False, prune)
+    return g.greedy(kernel, _nodes(df, importance), budget, g.COVERAGE, not global_selection)
 
 
 @register_method("global_influence", ("v",), "required", k=10, walk=5, gamma=0.85, mode="prob", prune=0.0)
@@ -238,9 +242,8 @@ def global_influence(df, budget, importance, seed, k, walk, gamma, mode, prune):
     """Influence over one graph of all classes, by reach probability or by best cover."""
     if mode not in ("prob", "max"):
         raise ValueError("mode must be 'prob' or 'max'")
-    reach = graph.reachability(graph.adjacency(knn_graph(df, k)), df.select("id"), walk, gamma, prune)
-    kernel = _as_columns(graph.row_max_normalize(reach))
-    return g.greedy(g.EdgeKernel(kernel), _nodes(df, importance), budget, g.REACH if mode == "prob" else g.FACILITY, per_class=False)
+    kernel = _walks(df, k, False, walk, gamma, True, prune)
+    return g.greedy(kernel, _nodes(df, importance), budget, g.REACH if mode == "prob" else g.FACILITY, per_class=False)
 
 
 def _then_diverse(df: DataFrame, head: DataFrame, budget: int, first_n: int, seed: int) -> DataFrame:

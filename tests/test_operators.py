@@ -104,25 +104,79 @@ def test_lazy_rounds_equal_plain_greedy(spark, rule):
     for width in (1, 4, 64):
         got = g.greedy(g.EdgeKernel(e), rows, 3, rule, per_class=False, width=width).orderBy("rank").collect()
         assert [r.id for r in got] == want
-    for cells in (1, 3 * n):  # one candidate of each round, then a few
-        got = g.greedy(g.EdgeKernel(e), rows, 3, rule, per_class=False, cells=cells).orderBy("rank").collect()
-        assert [r.id for r in got] == want
     within = g.greedy(g.EdgeKernel(e.filter("i % 3 = j % 3")), rows, 3, rule).collect()
-    few = g.greedy(g.EdgeKernel(e.filter("i % 3 = j % 3")), rows, 3, rule, cells=2 * n).collect()
-    assert sorted(map(tuple, few)) == sorted(map(tuple, within))
     for c in range(3):
         own = [i for i in range(n) if label[i] == c]
         alone = plain_greedy(k[np.ix_(own, own)], imp[own], [0] * len(own), 3, rule)
         assert [r.id for r in sorted(within, key=lambda r: r["rank"]) if r.label == c] == [own[i] for i in alone]
 
 
-def test_facility_with_few_cells_on_the_driver(spark):
+@pytest.mark.parametrize("by_label", [False, True])
+def test_cosine_kernel_looks_into_few_candidates(spark, monkeypatch, by_label):
     rng = np.random.default_rng(5)
-    df = spark.createDataFrame([(i, i % 2, [float(x) for x in rng.normal(size=4)]) for i in range(40)], "id long, label long, v array<double>")
+    n = 300
+    v = rng.normal(size=(n, 6)) * 0.3 + rng.normal(size=(30, 6))[np.arange(n) % 30]  # 30 clusters
+    v[7] = v[3]  # a tie
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    label = [i % 2 for i in range(n)]
+    df = spark.createDataFrame([(i, label[i], v[i].tolist()) for i in range(n)], "id long, label long, v array<double>")
     rows = df.select("id", "label", F.lit(1.0).alias("imp"))
-    want = sorted(map(tuple, g.greedy(g.CosineKernel(df, True), rows, 3).collect()))
-    for cells in (1, 130):
-        assert sorted(map(tuple, g.greedy(g.CosineKernel(df, True), rows, 3, cells=cells).collect())) == want
+    k = u @ u.T
+    if by_label:
+        alone = {c: [i for i in range(n) if label[i] == c] for c in (0, 1)}
+        want = {c: [own[i] for i in plain_greedy(k[np.ix_(own, own)], np.ones(len(own)), [0] * len(own), 5, g.FACILITY)] for c, own in alone.items()}
+    else:
+        want = {None: plain_greedy(k, np.ones(n), label, 5, g.FACILITY)}
+    monkeypatch.setattr(g, "PENDING", 3)
+    for width, fresh in ((8, g.FRESH), (64, 20)):
+        monkeypatch.setattr(g, "FRESH", fresh)
+        report = []
+        got = g.greedy(g.CosineKernel(df, by_label), rows, 5, per_class=by_label, width=width, report=report).orderBy("rank").collect()
+        for c, ids in want.items():
+            assert [r.id for r in got if c is None or r.label == c] == ids
+        if width == 8 and not by_label:
+            assert sum(looked for _, looked in report[2:]) < 0.8 * n * len(report[2:])
+
+
+@pytest.mark.parametrize("rule", [g.FACILITY, g.COVERAGE, g.REACH])
+def test_walk_kernel_equals_its_matrix(spark, rule):
+    rng = np.random.default_rng(6)
+    n = 40
+    a = np.where(rng.random((n, n)) < 0.08, rng.random((n, n)), 0.0)
+    a[:, 5], a[5, :], a[39] = rng.random(n), 0.0, 0.0  # a hub, a node without ways out
+    p = np.divide(a, a.sum(1, keepdims=True), out=np.zeros_like(a), where=a.sum(1, keepdims=True) > 0)
+    scale = [0.85**t for t in range(5)]
+    r = sum(c * np.linalg.matrix_power(p, t) for t, c in enumerate(scale))
+    row_max = rule is not g.COVERAGE
+    r = r / r.max(1, keepdims=True) if row_max else r
+    imp, label = rng.random(n), [i % 2 for i in range(n)]
+    edges = spark.createDataFrame([(i, j, float(p[i, j])) for i in range(n) for j in range(n) if p[i, j]], "src long, dst long, w double")
+    rows = spark.createDataFrame([(i, label[i], float(imp[i])) for i in range(n)], "id long, label long, imp double")
+    want = plain_greedy(r.T, imp, label, 4, rule)
+    for width, held in ((12, 8), (64, 1024)):
+        kernel = g.WalkKernel(edges, scale, row_max, held=held)
+        got = g.greedy(kernel, rows, 4, rule, per_class=False, width=width).orderBy("rank").collect()
+        assert [x.id for x in got] == want
+        assert len(kernel.held) <= max(held, n)
+
+
+def test_losses_by_pairs_prove_picks():
+    rng = np.random.default_rng(7)
+    for rule in (g.FACILITY, g.COVERAGE, g.REACH):
+        for _ in range(20):
+            n, m = 60, 12
+            w, imp = np.where(rng.random((n, m)) < 0.15, rng.random((n, m)), 0), rng.random(n)
+            s = np.full(n, rule.start) * rng.random(n)
+            now = g.Sums([[(i, 0) for i in range(m)]], rule)
+            now.add(0, w, s, imp)
+            picks = g.certain(list(range(m)), [0] * m, now.gains[0], now.losses[0], {0: m}, None, None, rule.positive)
+            left = [*range(m)]
+            for p in picks:
+                gains = {j: float((imp * rule.gain(w[:, j], s)).sum()) for j in left}
+                assert p == min(left, key=lambda j: (-gains[j], j))
+                s = rule.after(w[:, p], s)
+                left.remove(p)
+            assert len(picks) > 1
 
 
 def test_classes_smaller_than_the_budget(spark):
