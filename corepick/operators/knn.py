@@ -7,6 +7,11 @@ block. In a task numpy multiplies the two matrices of a pair; what a left block
 what its next pair finds as long as the pairs of one block follow each other, and the rest is merged by Spark. A Python
 worker holds a few blocks, the join at most ``STRIP`` of them, whatever the size of the table or of a class. Rows without a
 vector have no neighbours and are nobody's.
+
+The nearest neighbours of more than one block of rows are found by pivots: some rows, which are sent to all tasks. Blocks hold
+rows of one nearest pivot, and the neighbours within its own block give each row a first bound. No row of a block is nearer
+to another one than that one's angle to the pivot less the largest angle in the block, so of a pair of blocks only rows with a
+bound beyond that are multiplied; in the worst case all are, as before.
 """
 
 from __future__ import annotations
@@ -27,6 +32,10 @@ BLOCK = 4096
 #: Right blocks, which the join holds, in one cell of the grid.
 STRIP = 32
 BROADCAST_CLASSES = 100_000
+#: Rows that tasks measure others by at most; bounds what is sent to them.
+PIVOTS = 1024
+#: Angles nearer than this may be equal.
+SLACK = 1e-6
 
 #: Columns of a block's rows, in the order of their ids.
 Block = dict[str, np.ndarray]
@@ -39,7 +48,8 @@ def unit_vectors(df: DataFrame) -> DataFrame:
 
 def _sizes(left: DataFrame, right: DataFrame, block: int, tasks: int) -> DataFrame:
     """Per scope, the blocks of both sides and into how many strips and slabs they are dealt, for about ``tasks`` cells."""
-    blocks = lambda df, name: df.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    count = lambda df: F.max("at") + 1 if "at" in df.columns else F.ceil(F.count("*") / block)
+    blocks = lambda df, name: df.groupBy("scope").agg(count(df).cast("int").alias(name))
     a, b = blocks(left, "lefts"), blocks(right, "rights").withColumnRenamed("scope", "scope_r")
     both = a.join(b, F.col("scope").eqNullSafe(F.col("scope_r"))).drop("scope_r")
     both = both.withColumn("strips", F.least("lefts", F.lit(math.ceil(math.sqrt(tasks)))).cast("int"))
@@ -49,9 +59,10 @@ def _sizes(left: DataFrame, right: DataFrame, block: int, tasks: int) -> DataFra
 
 def _packed(df: DataFrame, sizes: DataFrame, blocks: str, own: str, copies: str) -> DataFrame:
     """``scope, at, own, other, rows``: each block ``at`` of a scope in its ``own`` part of the grid, once for each ``other`` one."""
-    rows = F.struct("id", *(c for c in df.columns if c not in ("id", "label", "scope")))
+    rows = F.struct("id", *(c for c in df.columns if c not in ("id", "label", "scope", "at")))
     of_scope = sizes.select(F.col("scope").alias("scope_s"), blocks, own, copies)
-    dealt = df.join(of_scope, F.col("scope").eqNullSafe(F.col("scope_s"))).withColumn("at", F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int"))
+    dealt = df.join(of_scope, F.col("scope").eqNullSafe(F.col("scope_s")))
+    dealt = dealt if "at" in df.columns else dealt.withColumn("at", F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int"))
     packed = dealt.groupBy("scope", "at", own, copies).agg(F.sort_array(F.collect_list(rows)).alias("rows"))
     return packed.select("scope", "at", F.pmod("at", own).alias("own"), F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias("other"), "rows")
 
@@ -69,7 +80,8 @@ def _block(rows: pa.ListScalar) -> Block:
 def blocked(left: DataFrame, right: DataFrame, work: Callable[[Block, Block], Block], schema: str, by_label: bool = False, merge: Callable[[Block, Block], Block] | None = None, block: int = BLOCK) -> DataFrame:
     """``work(a, b)`` for every pair of blocks of two tables with ``id, label, u`` (and more numbers), within labels if asked.
 
-    ``merge`` makes one of two results of the same block ``a``; it may not get all of them.
+    ``merge`` makes one of two results of the same block ``a``; it may not get all of them. Tables with a column ``at`` are dealt
+    into blocks by it, from 0 within each scope.
     """
     scope = F.col("label") if by_label else F.lit(0)
     left, right = (df.filter("u IS NOT NULL").withColumn("scope", scope) for df in (left, right))
@@ -114,9 +126,62 @@ def added(name: str) -> Callable[[Block, Block], Block]:
     return lambda x, y: {**x, name: x[name] + y[name]}
 
 
-def knn_graph(samples: DataFrame, k: int, by_label: bool = False, block: int = BLOCK) -> DataFrame:
-    """``src, dst, rank, dist``: the ``k`` nearest others by squared distance of unit vectors; ties by id. One row alone has none."""
-    units = cut(unit_vectors(samples))
+def _angles(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(u @ v.T, -1.0, 1.0))
+
+
+def _by_pivot(units: DataFrame, pivots: np.ndarray, k: int, by_label: bool, block: int) -> DataFrame:
+    """``units`` with their block ``at``, its ``pivot``, their angle ``off`` to it, and the angle ``reach`` to the k-th nearest in the block."""
+    sent = units.sparkSession.sparkContext.broadcast(pivots)
+
+    def measured(batches):
+        for batch in batches:
+            for a in range(0, len(batch), BLOCK):
+                part = batch.slice(a, BLOCK)
+                angle = _angles(part.column(2).flatten().to_numpy().reshape(len(part), -1), sent.value)
+                nearest = angle.argmin(1)
+                columns = [*part.columns, pa.array(nearest, pa.int32()), pa.array(angle[np.arange(len(part)), nearest])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "u", "pivot", "off"])
+
+    kind = units.schema["label"].dataType.simpleString()
+    near = cut(units.mapInArrow(measured, f"id long, label {kind}, u array<double>, pivot int, off double")).withColumn("scope", F.col("label") if by_label else F.lit(0))
+    parts = near.groupBy("scope", "pivot").agg(F.ceil(F.count("*") / block).alias("parts"))
+    parts = parts.withColumn("first", F.sum("parts").over(Window.partitionBy("scope").orderBy("pivot")) - F.col("parts"))
+    parts = cut(parts.select(F.col("scope").alias("scope_p"), F.col("pivot").alias("pivot_p"), "parts", "first"))
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST_CLASSES else parts
+    near = near.join(parts, F.col("scope").eqNullSafe(F.col("scope_p")) & (F.col("pivot") == F.col("pivot_p")))
+    near = near.withColumn("at", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+    packed = near.groupBy("scope", "at").agg(F.first("label").alias("label"), F.first("pivot").alias("pivot"), F.sort_array(F.collect_list(F.struct("id", "u", "off"))).alias("rows"))
+
+    def reached(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                rows = _block(batch.column(4)[i])
+                n = len(rows["id"])
+                angle = _angles(rows["u"], rows["u"])
+                np.fill_diagonal(angle, np.inf)
+                reach = np.partition(angle, k - 1, axis=1)[:, k - 1] if n > k else np.full(n, np.inf)
+                same = lambda c: pa.array([batch.column(c)[i].as_py()] * n, batch.schema.field(c).type)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["id"]), same(2), pa.array(list(rows["u"])), same(1), same(3), pa.array(rows["off"]), pa.array(reach)], names=["id", "label", "u", "at", "pivot", "off", "reach"])
+
+    return cut(packed.mapInArrow(reached, f"id long, label {kind}, u array<double>, at int, pivot int, off double, reach double"))
+
+
+def knn_graph(samples: DataFrame, k: int, by_label: bool = False, block: int = BLOCK, report: list | None = None) -> DataFrame:
+    """``src, dst, rank, dist``: the ``k`` nearest others by squared distance of unit vectors; ties by id. One row alone has none.
+
+    ``report`` gets two accumulators, of the cells of all pairs of blocks and of those computed.
+    """
+    units = cut(unit_vectors(samples).filter("u IS NOT NULL"))
+    context = units.sparkSession.sparkContext
+    every, computed = context.accumulator(0), context.accumulator(0)
+    if report is not None:
+        report += [every, computed]
+    size, sent = units.count(), None
+    if size > block:
+        some = units.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-size // block))).select("u").toArrow()["u"].combine_chunks()
+        pivots = some.flatten().to_numpy().reshape(len(some), -1)
+        sent, units = context.broadcast(pivots), _by_pivot(units, pivots, k, by_label, block)
 
     def best(src: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> Block:
         order = np.lexsort((dst, dist, src))
@@ -126,6 +191,12 @@ def knn_graph(samples: DataFrame, k: int, by_label: bool = False, block: int = B
         return {"src": src[keep], "dst": dst[keep], "dist": dist[keep]}
 
     def nearest(a: Block, b: Block) -> Block:
+        if sent is not None:
+            every.add(len(a["id"]) * len(b["id"]))
+            pivot = sent.value[b["pivot"][0]]
+            may = _angles(a["u"], pivot[None, :])[:, 0] - b["off"].max() <= a["reach"] + SLACK
+            a = {"id": a["id"][may], "u": a["u"][may]}
+            computed.add(len(a["id"]) * len(b["id"]))
         ids, own = b["id"], a["id"]
         d = 2.0 * (1.0 - a["u"] @ b["u"].T)
         d[own[:, None] == ids[None, :]] = np.inf

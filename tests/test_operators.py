@@ -298,3 +298,20 @@ def test_grid_of_blocks(spark, by_label):
             stats = knn.attention_stats(train, queries, block=block).first()
             assert np.allclose([stats.mean_entropy, stats.top1_mass, stats.top10_mass], [-(share * np.log(share)).sum(0).mean(), share.max(0).mean(), np.sort(share, 0)[-10:].sum(0).mean()])
     assert knn.knn_graph(df.filter("id < 0"), 4, by_label).count() == 0
+
+
+@pytest.mark.parametrize("by_label", [False, True])
+def test_pivots_skip_what_cannot_be_near(spark, by_label):
+    rng = np.random.default_rng(8)
+    n = 600
+    centres = rng.normal(size=(12, 8))
+    v = centres[np.arange(n) % 12] + 0.05 * rng.normal(size=(n, 8))
+    v[5], v[6], v[77] = 0.0, 0.0, v[65]  # no direction, and a tie
+    labels = [i % 2 if i % 50 else None for i in range(n)]
+    df = spark.createDataFrame([(i, labels[i], v[i].tolist()) for i in range(n)], "id long, label long, v array<double>")
+    tuples = lambda x: sorted((r.src, r.dst, r["rank"]) for r in x.collect())
+    report: list = []
+    got = tuples(knn.knn_graph(df, 5, by_label, 40, report))
+    assert got == tuples(knn.knn_graph(df, 5, by_label))
+    every, computed = (x.value for x in report)
+    assert 0 < computed < (0.8 if by_label else 0.5) * every, (computed, every)
