@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corepick.operators.ranks import percentiles, placed
+
 FLAT = 1e-8
 
 
@@ -52,7 +54,7 @@ def raw_importance(df: DataFrame, method: str) -> DataFrame:
     """``id, label, importance`` by one of the column formulas, from ``el2n`` or ``conf_var, conf_mean``."""
     keep = [c for c in ("id", "label") if c in df.columns]
     if method == "el2n_mid":
-        middle = df.agg(F.percentile("el2n", 0.5).alias("m_"))
+        middle = percentiles(df, "el2n", [0.5]).select(F.get("p", F.lit(0)).alias("m_"))
         return df.crossJoin(F.broadcast(middle)).select(*keep, (-F.abs(F.col("el2n") - F.col("m_"))).alias("importance"))
     formulas = {
         "uniform": F.lit(1.0),
@@ -75,11 +77,10 @@ def top_k_per_class(df: DataFrame, score: str, budget: int, descending: bool = T
 
 def mid_k_per_class(df: DataFrame, score: str, budget: int, label: str = "label", key: str = "id") -> DataFrame:
     """The ``budget`` rows from place ``(n - budget) // 2`` of each class in ascending order."""
-    sizes = df.groupBy(F.col(label).alias("c_")).agg(F.count("*").alias("n_"))
-    ranked = df.withColumn("r_", F.row_number().over(Window.partitionBy(label).orderBy(score, key)))
-    ranked = ranked.join(sizes, F.col(label).eqNullSafe(F.col("c_")))
-    start = F.greatest(F.lit(0), F.floor((F.col("n_") - budget) / 2))
-    return ranked.filter((F.col("r_") > start) & (F.col("r_") <= start + budget)).select(F.col(key).alias("id"), F.col(label).alias("label"), (F.col("r_") - start).cast("int").alias("rank"))
+    ranked = placed(df.select(key, label, score), [label], [score, key])
+    start = F.greatest(F.lit(0), F.floor((F.col("size_") - budget) / 2))
+    middle = ranked.filter((F.col("place_") >= start) & (F.col("place_") < start + budget))
+    return middle.select(F.col(key).alias("id"), F.col(label).alias("label"), (F.col("place_") - start + 1).cast("int").alias("rank"))
 
 
 def hash_order(seed: int, key: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corepick.functions.scores import hash_order
+from corepick.operators.ranks import placed
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -66,9 +67,9 @@ def proportional_subsample(df: DataFrame, most: int, seed: int = 42) -> DataFram
 
 
 def _hash_sample(df: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("label").orderBy("h_", "id"))
-    ranked = df.select("id", "label", hash_order(seed, F.col("id")).alias("h_")).withColumn("rank", place)
-    return ranked.join(quota, F.col("label") == F.col("c_")).filter(F.col("rank") <= F.col("q")).select("id", "label", "rank")
+    ranked = placed(df.select("id", "label", hash_order(seed, F.col("id")).alias("h_")), ["label"], ["h_", "id"])
+    kept = ranked.join(quota, F.col("label") == F.col("c_")).filter(F.col("place_") < F.col("q"))
+    return kept.select("id", "label", (F.col("place_") + 1).cast("int").alias("rank"))
 
 
 def uniform_subsample(df: DataFrame, most: int, seed: int = 42) -> DataFrame:

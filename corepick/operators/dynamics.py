@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corepick.functions import vectors as v
+from corepick.operators.ranks import percentiles
 
 
 def epoch_metrics(predictions: DataFrame) -> DataFrame:
@@ -56,7 +57,8 @@ def confidence_stats(metrics: DataFrame, first: int = 11, last: int = 20) -> Dat
 def describe_scores(scores: DataFrame, column: str = "score") -> DataFrame:
     """One row: range, moments, percentiles (linear), and how many lie beyond the 10th and 90th."""
     x = F.col(column)
-    base = scores.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, F.array(*(F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)))).alias("p"))
+    base = scores.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    base = base.crossJoin(F.broadcast(percentiles(scores, column, [0.1, 0.25, 0.5, 0.75, 0.9, 0.99])))
     joined = scores.select(x.alias("x_")).crossJoin(F.broadcast(base))
     off = F.col("x_") - F.col("mean")
     more = joined.agg(F.avg(off**3).alias("m3"), F.avg(off**4).alias("m4"), F.count_if(F.col("x_") > F.col("p")[4]).alias("above_p90"), F.count_if(F.col("x_") < F.col("p")[0]).alias("below_p10"))

@@ -14,6 +14,10 @@ from pyspark.sql.window import Window
 from corepick.functions.vectors import edge_weight
 from corepick.operators.runtime import cut
 
+#: Edges of a source from which on its rows are dealt into parts, and how many such sources there may be (the largest; all others
+#: have fewer edges than any of them).
+HUB, HUBS = 10_000, 10_000
+
 
 def symmetrize_max(edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
@@ -25,10 +29,28 @@ def adjacency(knn: DataFrame, symmetric: bool = True, similarity_weights: bool =
     return symmetrize_max(edges) if symmetric else edges.filter("w > 0")
 
 
-def matmul(a: DataFrame, b: DataFrame, prune: float = 0.0) -> DataFrame:
+def hubs(edges: DataFrame, degree: int = HUB) -> DataFrame | None:
+    """``hub, parts``: the sources of more than ``degree`` edges (the ``HUBS`` largest) and into how many parts theirs are dealt."""
+    n = edges.groupBy(F.col("src").alias("hub")).agg(F.count("*").alias("n")).filter(F.col("n") > degree)
+    found = n.orderBy(F.desc("n"), "hub").limit(HUBS).select("hub", F.ceil(F.col("n") / degree).cast("int").alias("parts")).toArrow()
+    return edges.sparkSession.createDataFrame(found) if len(found) else None
+
+
+def through(left: DataFrame, right: DataFrame, split: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right`` on ``via``. The right rows of a hub in ``split`` are dealt into its parts, and the left ones go to each."""
+    if split is None:
+        return left.join(right, "via")
+    of_hub = F.broadcast(split)
+    right = right.join(of_hub, F.col("via") == F.col("hub"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")).drop("hub", "parts")
+    left = left.join(of_hub, F.col("via") == F.col("hub"), "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("hub", "parts")
+    return left.join(right, ["via", "part"]).drop("part")
+
+
+def matmul(a: DataFrame, b: DataFrame, prune: float = 0.0, split: DataFrame | None = None) -> DataFrame:
+    """The product; ``split``: the :func:`hubs` of ``b``."""
     left = a.select("src", F.col("dst").alias("via"), F.col("w").alias("wa"))
     right = b.select(F.col("src").alias("via"), "dst", F.col("w").alias("wb"))
-    out = left.join(right, "via").groupBy("src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
+    out = through(left, right, split).groupBy("src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
     return out.filter(F.abs("w") > prune) if prune else out
 
 
@@ -46,9 +68,10 @@ def k_hop_neighbors(edges: DataFrame, hops: int, include_self: bool | None = Non
     """``src, dst`` that a walk of 1 to ``hops`` edges of the undirected graph joins; by default self pairs from 2 hops on."""
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
     both = cut(both)
+    split = hubs(both) if hops > 1 else None
     reach = step = both
     for _ in range(hops - 1):
-        step = step.select("src", F.col("dst").alias("via")).join(both.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
+        step = through(step.select("src", F.col("dst").alias("via")), both.select(F.col("src").alias("via"), "dst"), split).select("src", "dst").distinct()
         reach = cut(reach.union(step).distinct())
     return reach if (hops >= 2 if include_self is None else include_self) else reach.filter("src <> dst")
 
@@ -82,9 +105,9 @@ def identity(nodes: DataFrame) -> DataFrame:
 def power_sum_kernel(normalized: DataFrame, hops: int, prune: float = 0.0) -> DataFrame:
     """Sum of the powers 1 to ``hops``; entries up to ``prune`` are dropped from each power (0: none)."""
     base = power = cut(normalized)
-    powers = [base]
+    powers, split = [base], hubs(base) if hops > 1 else None
     for _ in range(hops - 1):
-        power = cut(matmul(power, base, prune))
+        power = cut(matmul(power, base, prune, split))
         powers.append(power)
     return add(*powers) if hops > 1 else base
 
@@ -93,9 +116,9 @@ def heat_kernel(normalized: DataFrame, nodes: DataFrame, t: float = 1.0, terms:
     """``exp(-t (I - A))`` as ``e^-t sum t^i/i! A^i``; the spectrum of A lies in [-1, 1], so the rest is at most the tail of the series."""
     base = power = cut(normalized)
     scaled = lambda df, i: df.select("src", "dst", (F.col("w") * (math.exp(-t) * t**i / math.factorial(i))).alias("w"))
-    total = add(scaled(identity(nodes), 0), scaled(base, 1))
+    total, split = add(scaled(identity(nodes), 0), scaled(base, 1)), hubs(base)
     for i in range(2, terms + 1):
-        power = cut(matmul(power, base, prune))
+        power = cut(matmul(power, base, prune, split))
         total = cut(add(total, scaled(power, i)))
     return total
 
@@ -104,9 +127,9 @@ def reachability(edges: DataFrame, nodes: DataFrame, walk: int = 5, gamma: float
     """``sum_t gamma^t P^t`` for t from 0 to ``walk``. Fills in quickly: ``prune`` bounds it at scale, and scores that are
     linear in it need :func:`reach_sum` only."""
     p = cut(transition(edges))
-    total, power = identity(nodes), None
+    total, power, split = identity(nodes), None, hubs(p)
     for t in range(1, walk + 1):
-        power = p if power is None else cut(matmul(power, p, prune))
+        power = p if power is None else cut(matmul(power, p, prune, split))
         total = cut(add(total, power.select("src", "dst", (F.col("w") * gamma**t).alias("w"))))
     return total
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corepick.functions.vectors import l2_normalize
-from corepick.operators.graph import add, matmul, matvec
+from corepick.operators.graph import add, hubs, matmul, matvec
 from corepick.operators.knn import Block, added, blocked, unit_vectors
 from corepick.operators.runtime import cut
 
@@ -254,6 +254,7 @@ class WalkKernel(EdgeKernel):
     def __init__(self, p: DataFrame, scale: list[float], row_max: bool = False, prune: float = 0.0, held: int = 4 * WIDTH):
         self.p, self.scale, self.row_max, self.prune, self.most = p, scale, row_max, prune, held
         self.exact_first = not row_max
+        self.split = hubs(p)
         edges = p.select("src", "dst", "w").limit(BROADCAST_EDGES + 1).toArrow() if p.count() <= BROADCAST_EDGES else None
         self.small = None if edges is None else p.sparkSession.sparkContext.broadcast(SmallMatrix.of(*(edges[c].to_numpy() for c in ("src", "dst", "w")), prune))
         self.held: set[int] = set()
@@ -276,7 +277,7 @@ class WalkKernel(EdgeKernel):
         part = lambda c: own.select(F.col("j").alias("src"), F.col("j").alias("dst"), F.lit(c).alias("w"))
         total = part(self.scale[-1])
         for c in self.scale[-2::-1]:
-            total = add(matmul(total, self.p, self.prune), part(c))
+            total = add(matmul(total, self.p, self.prune, self.split), part(c))
         if self.row_max:
             total = cut(total)
             top = total.groupBy("src").agg(F.max("w").alias("m"))

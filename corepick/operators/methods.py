@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -67,6 +68,19 @@ def select(df: DataFrame, method: str, budget_per_class: int, importance_col: st
     return spec.fn(df, budget_per_class, importance, seed, **kwargs)
 
 
+#: Neighbour graphs that several selections from the same rows share, while it is set: the tables by ``(k, by label)``.
+SHARED: ContextVar[dict | None] = ContextVar("shared", default=None)
+
+
+def neighbours(df: DataFrame, k: int, by_label: bool = False) -> DataFrame:
+    shared = SHARED.get()
+    if shared is None:
+        return knn_graph(df, k, by_label)
+    if (k, by_label) not in shared:
+        shared[k, by_label] = cut(knn_graph(df, k, by_label))
+    return shared[k, by_label]
+
+
 def _hash_first(df: DataFrame, seed: int) -> DataFrame:
     best = df.groupBy("label").agg(F.min(F.struct(scores.hash_order(seed, F.col("id")).alias("h"), F.col("id"))).alias("m"))
     return best.select(F.col("m.id").alias("id"), "label")
@@ -141,7 +155,7 @@ def anti_prototype(df, budget, importance, seed):
 @register_method("graph_density", ("v",), k=10)
 def graph_density(df, budget, importance, seed, k):
     """Densest within the class's own graph."""
-    density = density_of(knn_graph(df, k, by_label=True))
+    density = density_of(neighbours(df, k, by_label=True))
     rows = df.select("id", "label").join(density, "id", "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
     return scores.top_k_per_class(rows, "density", budget)
 
@@ -174,7 +188,7 @@ def herding(df, budget, importance, seed):
 
 def hop_cosines(df: DataFrame, k: int, hops: int) -> DataFrame:
     """``src, dst, cos`` of pairs within some hops of the class graphs."""
-    pairs = graph.k_hop_neighbors(knn_graph(df, k, by_label=True), hops)
+    pairs = graph.k_hop_neighbors(neighbours(df, k, by_label=True), hops)
     u = unit_vectors(df)
     both = pairs.join(u.select(F.col("id").alias("src"), F.col("u").alias("a")), "src").join(u.select(F.col("id").alias("dst"), F.col("u").alias("b")), "dst")
     return cut(both.select("src", "dst", F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("cos")))
@@ -200,7 +214,7 @@ def graph_facility(df, budget, importance, seed, k, hops):
 
 
 def normalized_graph(df: DataFrame, k: int, global_selection: bool) -> DataFrame:
-    return cut(graph.sym_normalize(cut(graph.adjacency(knn_graph(df, k, by_label=not global_selection)))))
+    return cut(graph.sym_normalize(cut(graph.adjacency(neighbours(df, k, by_label=not global_selection)))))
 
 
 def _as_columns(kernel: DataFrame) -> DataFrame:
@@ -226,7 +240,7 @@ def heat_kernel(df, budget, importance, seed, k, t, terms, global_selection, pru
 
 
 def _walks(df: DataFrame, k: int, by_label: bool, walk: int, gamma: float, row_max: bool, prune: float) -> g.WalkKernel:
-    p = cut(graph.transition(cut(graph.adjacency(knn_graph(df, k, by_label)))))
+    p = cut(graph.transition(cut(graph.adjacency(neighbours(df, k, by_label)))))
     return g.WalkKernel(p, [gamma**t for t in range(walk + 1)], row_max, prune)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from corepick.operators import compare, graph
 from corepick.operators import greedy as g
 from corepick.operators.importance import NEEDS, compute_importance
 from corepick.operators.knn import knn_graph
-from corepick.operators.methods import METHODS, _as_columns, _nodes, select
+from corepick.operators.methods import METHODS, SHARED, _as_columns, _nodes, select
 from corepick.operators.runtime import cut
 
 #: Columns that only a trained source has.
@@ -20,6 +21,9 @@ TRAINED = {"eva", "aum", "forgetting", "el2n", "conf_var", "conf_mean"}
 #: Methods whose picks depend on the seed; all others are computed once for all trials.
 SEEDED = {"random", "random_proportional", "fps", "graph_fps", "easy_then_diverse", "proto_then_diverse"}
 
+#: Methods of which a smaller budget does not pick the first of what a larger one picks; all others run once, at the largest budget.
+NOT_NESTED = {"el2n_mid", "random_proportional", "easy_then_diverse", "proto_then_diverse", "global_influence"}
+
 
 def resolve_dependencies(methods: list[str], sources: list[str], importances: tuple[str, ...] | list[str] = ()) -> list[str]:
     """The sources, with ``trained`` where a method or an importance metric needs its scores."""
@@ -68,31 +72,40 @@ def selection_sweep(
 
     Every method is crossed with every importance metric (``none`` without any); ``propagate`` spreads importance over the
     source's neighbour graph first, with the options of :func:`graph.propagate_importance`. What does not depend on the seed
-    or on importance is selected once. A configuration that fails is recorded and the others go on.
+    or on importance is selected once, smaller budgets are the first ranks of the largest where a method allows it, and
+    selections from the same rows share their neighbour graphs. Each selection is run and checkpointed here, so that what
+    fails, tasks included, is recorded and the others go on.
     """
     parts, failures = [], []
     made: dict[tuple, DataFrame] = {}
     scored: dict[tuple, DataFrame] = {}
+    graphs: dict[tuple, dict] = defaultdict(dict)
     for method, source in valid_configs(methods, sources):
         fit = [df for df in sources.values() if {"id", "label", *METHODS[method].needs} <= {*df.columns}]
         df = sources[source] if source != "none" else fit[0]
         uses = METHODS[method].importance != "ignore"
-        for ratio in ratios:
-            budget = budget_per_class(df, ratio).first().budget
+        name = next(n for n, x in sources.items() if x is df)
+        budgets = {r: budget_per_class(df, r).first().budget for r in ratios}
+        for ratio, budget in budgets.items():
+            most = budget if method in NOT_NESTED else max(budgets.values())
             for metric in importances or ("none",):
                 for trial in range(trials):
-                    key = (method, source, ratio, metric if uses else None, trial if method in SEEDED else None)
+                    key = (method, source, most, metric if uses else None, trial if method in SEEDED else None)
                     try:
                         if key not in made:
                             pool, column = df, None
                             if uses and metric != "none":
-                                which = (next(n for n, x in sources.items() if x is df), metric)
+                                which = (name, metric)
                                 if which not in scored:
                                     scored[which] = _importance(sources, df, metric, propagate, k, queries, propagation)
                                 pool, column = df.join(scored[which], "id"), "importance_"
-                            made[key] = select(pool, method, budget, column, seed=seed + trial)
+                            token = SHARED.set(graphs[name, column and metric])
+                            try:
+                                made[key] = cut(select(pool, method, most, column, seed=seed + trial))
+                            finally:
+                                SHARED.reset(token)
                         config = {"method": method, "embedding": source, "importance": metric, "ratio": ratio, "trial": trial}
-                        parts.append(made[key].select(*(F.lit(v).alias(n) for n, v in config.items()), "id", "label", "rank"))
+                        parts.append(made[key].filter(F.col("rank") <= budget).select(*(F.lit(v).alias(n) for n, v in config.items()), "id", "label", "rank"))
                     except Exception as e:  # a sweep reports what failed and goes on
                         failures.append({"method": method, "embedding": source, "importance": metric, "ratio": ratio, "trial": trial, "error": str(e)})
     if not parts:

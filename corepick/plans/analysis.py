@@ -267,6 +267,11 @@ def _(s, sf):
     return graph.heat_kernel(_sym(s, sf), x.samples(s, sf), 1.0, 6)
 
 
+@query("g5_heat_kernel_terms12", f"WITH {_KNN}{x.heat_sql(1.0, 12)} SELECT * FROM kern", "w")
+def _(s, sf):
+    return graph.heat_kernel(_sym(s, sf), x.samples(s, sf))
+
+
 @query("g6_reachability", f"WITH {_KNN}{x.reach_sql(3)} SELECT * FROM reach", "w")
 def _(s, sf):
     return graph.reachability(_adj(s, sf), x.samples(s, sf), 3)
@@ -277,6 +282,16 @@ def _(s, sf):
     return graph.row_max_normalize(graph.reachability(_adj(s, sf), x.samples(s, sf), 2))
 
 
+@query("g6_reachability_walk5", f"WITH {_KNN}{x.reach_sql(5)} SELECT * FROM reach", "w")
+def _(s, sf):
+    return graph.reachability(_adj(s, sf), x.samples(s, sf))
+
+
+@query("g7_row_max_normalize_walk5", f"WITH {_KNN}{x.reach_sql(5)} SELECT src, dst, w / max(w) OVER (PARTITION BY src) AS w FROM reach", "w")
+def _(s, sf):
+    return graph.row_max_normalize(graph.reachability(_adj(s, sf), x.samples(s, sf)))
+
+
 _GEO = (1 - 0.85**3) / 0.15
 _STEP = "SELECT i.id, 0.5 * i.importance + 0.5 * coalesce(sum(r.w * x.importance), 0) / {geo} AS importance FROM importance i LEFT JOIN reach r ON r.dst = i.id LEFT JOIN {prev} x ON x.id = r.src GROUP BY i.id, i.importance"
 
@@ -286,6 +301,16 @@ def _(s, sf):
     return graph.propagate_importance(x.importance(s, sf), _adj(s, sf), iterations=3, walk=2, tol=0.0)
 
 
+_GEO_5 = (1 - 0.85**6) / 0.15
+#: Ten steps move values by more than the tolerance, so all of them are taken.
+_STEPS = ", ".join(f"x{i} AS MATERIALIZED ({_STEP.format(geo=_GEO_5, prev=f'x{i - 1}' if i > 1 else 'importance')})" for i in range(1, 10))
+
+
+@query("g8_propagate_importance_default", f"WITH {_KNN}{x.reach_sql(5)}, {x.IMPORTANCE}, {_STEPS} {_STEP.format(geo=_GEO_5, prev='x9')}", "importance")
+def _(s, sf):
+    return graph.propagate_importance(x.importance(s, sf), _adj(s, sf))
+
+
 _PR = "WITH RECURSIVE {base}, pr(it, id, x) AS (SELECT 0, id, 1.0::DOUBLE / (SELECT count(*) FROM samples) FROM samples UNION ALL (WITH c AS (SELECT * FROM pr), m AS (SELECT tr.dst AS id, sum(tr.w * c.x) AS y FROM tr JOIN c ON c.id = tr.src GROUP BY tr.dst) SELECT c.it + 1, c.id, 0.15::DOUBLE / (SELECT count(*) FROM samples) + 0.85::DOUBLE * coalesce(y, 0) FROM c LEFT JOIN m USING (id) WHERE c.it < 50)), gap AS (SELECT a.it, max(abs(a.x - b.x)) AS g FROM pr a JOIN pr b ON a.id = b.id AND b.it = a.it - 1 GROUP BY a.it) SELECT id, x AS importance FROM pr WHERE it = coalesce((SELECT min(it) - 1 FROM gap WHERE g < 1e-6), 50)"
 
 

@@ -1,5 +1,7 @@
 """Hand-made cases: known answers, quotas, ties, and independence of how rows are dealt out."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -208,6 +210,27 @@ def test_sweep_goes_on_after_a_failure(spark):
     assert failures == [] and out.groupBy("method", "trial").count().count() == 4
 
 
+def test_sweep_shares_graphs_and_runs_and_records_failures_of_tasks(spark, monkeypatch):
+    rows = [(i, i % 2, [float(i % 5) + 0.1, float(i * i % 7), 1.0], float(i % 4)) for i in range(24)]
+    df = spark.createDataFrame(rows, "id long, label long, v array<double>, el2n double")
+    graphs, runs, real_graph, real_select = [], [], methods.knn_graph, sweep.select
+    monkeypatch.setattr(methods, "knn_graph", lambda df, k, by_label=False: graphs.append((k, by_label)) or real_graph(df, k, by_label))
+    monkeypatch.setattr(sweep, "select", lambda df, method, *a, **b: runs.append(method) or real_select(df, method, *a, **b))
+    names, ratios = ["graph_density", "graph_a1", "graph_a2", "el2n_mid", "fps"], [0.25, 0.5]
+    out, failures = sweep.selection_sweep({"a": df}, names, ratios, trials=2)
+    assert failures == [] and graphs == [(10, True)]  # one for three methods and two ratios
+    assert sorted(runs) == ["el2n_mid", "el2n_mid", "fps", "fps", "graph_a1", "graph_a2", "graph_density"]
+    for name in names:
+        for ratio, budget in ((0.25, 3), (0.5, 6)):
+            for trial in (0, 1):
+                got = sorted((r.id, r["rank"]) for r in out.filter((F.col("method") == name) & (F.col("ratio") == ratio) & (F.col("trial") == trial)).collect())
+                assert got == sorted((r.id, r["rank"]) for r in real_select(df, name, budget, seed=42 + trial).collect()), (name, ratio, trial)
+    assert methods.SHARED.get() is None
+    bad = df.withColumn("el2n", F.when(F.col("id") == 3, F.raise_error(F.lit("broken row")).cast("double")).otherwise(F.col("el2n")))
+    out, failures = sweep.selection_sweep({"a": bad}, ["el2n_top", "prototype"], [0.25])
+    assert [f["method"] for f in failures] == ["el2n_top"] and "broken row" in failures[0]["error"] and {r.method for r in out.collect()} == {"prototype"}
+
+
 def test_sweep_with_importance(spark):
     from corepick.operators.importance import compute_importance
     from corepick.operators.knn import knn_graph
@@ -315,3 +338,78 @@ def test_pivots_skip_what_cannot_be_near(spark, by_label):
     assert got == tuples(knn.knn_graph(df, 5, by_label))
     every, computed = (x.value for x in report)
     assert 0 < computed < (0.8 if by_label else 0.5) * every, (computed, every)
+
+
+def test_ranks_without_a_task_that_sorts_a_class(spark):
+    from corepick.operators import ranks
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 40, 900).astype(float)
+    labels = [None if i % 100 == 0 else 0 if i % 10 else 1 for i in range(900)]  # a class of nine tenths
+    df = spark.createDataFrame([(i, labels[i], float(x[i])) for i in range(900)], "id long, label long, x double")
+    got = {r.id: (r.place_, r.size_) for r in ranks.placed(df, ["label"], ["x", "id"]).collect()}
+    for c in (None, 0, 1):
+        own = sorted((x[i], i) for i in range(900) if labels[i] == c)
+        assert [got[i] for _, i in own] == [(k, len(own)) for k in range(len(own))]
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
+    assert np.allclose(ranks.percentiles(df, "x", shares).first().p, np.percentile(x, [100 * p for p in shares]))
+    assert ranks.percentiles(df.filter("id < 0"), "x", [0.5]).first().p == [None]
+    plan = compare.stratified_subsample(df.filter("label IS NOT NULL"), 50)._jdf.queryExecution().toString()
+    assert not re.search(r"windowspecdefinition\(label#\d+L?, h_", plan) and "h_" in plan
+
+
+def test_hubs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 50)
+    n = 400  # a star; its centre is 0
+    pairs = [(0, i, 0.5 + i / n) for i in range(1, n)] + [(i, 0, 1.0) for i in range(1, n)] + [(7, 8, 1.0)]
+    e = spark.createDataFrame(pairs, "src long, dst long, w double")
+    split = graph.hubs(e, 50)
+    assert [(r.hub, r.parts) for r in split.collect()] == [(0, 8)]
+    a = np.zeros((n, n))
+    for i, j, w in pairs:
+        a[i, j] = w
+    got = graph.matmul(e, e, split=split).collect()
+    out = np.zeros((n, n))
+    for r in got:
+        out[r.src, r.dst] = r.w
+    assert np.allclose(out, a @ a) and len(got) == np.count_nonzero(a @ a)
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        left, right = e.selectExpr("src", "dst AS via", "w AS wa"), e.selectExpr("src AS via", "dst", "w AS wb")
+        tasks = lambda s: sorted(r["count"] for r in graph.through(left, right, s).groupBy(F.spark_partition_id().alias("p")).count().collect())
+        whole, parts = tasks(None), tasks(split)
+        assert sum(whole) == sum(parts) and max(whole) > 0.95 * sum(whole) and max(parts) < 0.7 * sum(parts)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert graph.k_hop_neighbors(e, 2).count() == n * n
+
+
+def test_writes_of_selections_count_once_and_whole(spark, tmp_path, monkeypatch):
+    config = {"dataset": "d", "ratio_bp": "r0500bp", "method": "m", "embedding": "e", "seed": 1, "trial": 1}
+    rows = lambda *ids: spark.createDataFrame([(i, 0, k + 1) for k, i in enumerate(ids)], "id long, label long, rank int")
+    base, ids = str(tmp_path), lambda c: [r.id for r in artifacts.read_selection(spark, str(tmp_path), c).orderBy("rank").collect()]
+    first = artifacts.write_selection(rows(3, 1), base, config).first()
+    assert artifacts.write_selection(rows(3, 1), base, config).first() == first  # the same again
+    other = {**config, "trial": 2}
+    artifacts.write_selection(rows(9), base, other)
+
+    def broken(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:  # between the rows and their manifest
+        real, calls = artifacts.digest_of, []
+        m.setattr(artifacts, "digest_of", lambda *a: broken() if calls.append(1) or len(calls) > 1 else real(*a))
+        with pytest.raises(RuntimeError):
+            artifacts.write_selection(rows(5, 6, 7), base, config)
+    assert ids(config) == [3, 1] and ids(other) == [9]
+    artifacts.write_selection(rows(5, 6, 7), base, config)
+    assert ids(config) == [5, 6, 7] and ids(other) == [9]
+    assert artifacts.read_selections(spark, base).count() == 4
+    status = artifacts.verify_selections(artifacts.read_selections(spark, base), artifacts.read_manifests(spark, base)).collect()
+    assert [r.status for r in status] == ["ok", "ok"]
+    with pytest.raises(ValueError, match="no selection"):
+        artifacts.read_selection(spark, base, {**config, "trial": 3})
