@@ -675,9 +675,69 @@ def farthest_points(distance, nodes: DataFrame, budget: int, first: DataFrame, w
     return spark.createDataFrame(rows, "id long, label long, rank int")
 
 
+#: Numbers of a class's vectors (8 bytes each) that one task may hold.
+HELD = 1 << 23
+
+
+def _by_size(samples: DataFrame, budget: int, steps: Callable, extra: str = "") -> tuple[DataFrame | None, DataFrame | None]:
+    """Picks ``id, label, rank`` of the classes whose vectors fit ``HELD``, by ``steps(vectors, *extra)`` (places in the order of ids)
+    in one task a class, and the rows of all larger classes; None where there are none."""
+    extras = extra.split()
+    rows = samples.filter("label IS NOT NULL AND v IS NOT NULL")
+    numbers = rows.groupBy("label").agg(F.sum(F.size("v").cast("long")).alias("n"))
+    large = [r.label for r in numbers.filter(F.col("n") > HELD).collect()]
+    kind = rows.schema["label"].dataType.simpleString()
+
+    def run(table):
+        table = table.sort_by("id").combine_chunks()
+        u = table["u"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        picks = steps(u, *(table[c].to_numpy() for c in extras))[:budget]
+        return pa.table({"id": table["id"].take(pa.array(picks, pa.int64())), "label": table["label"].slice(0, len(picks)), "rank": pa.array(np.arange(1, len(picks) + 1), pa.int32())})
+
+    small = rows.filter(~F.col("label").isin(large)) if large else rows
+    small = small.select("id", "label", l2_normalize(F.col("v")).alias("u"), *extras)
+    return small.groupBy("label").applyInArrow(run, f"id long, label {kind}, rank int"), rows.filter(F.col("label").isin(large)) if large else None
+
+
+def _weighted_steps(budget: int) -> Callable:
+    def steps(u: np.ndarray, importance: np.ndarray, scaled: np.ndarray) -> list[int]:
+        d, scale, picks, score = np.full(len(u), np.inf), 1.0, [], importance.copy()
+        while len(picks) < min(budget, len(u)):
+            score[picks] = -np.inf
+            picks.append(int(score.argmax()))
+            d = np.minimum(d, 1 - u @ u[picks[-1]])
+            scale = d.max() if d.max() > 1e-8 else scale
+            score = 0.5 * d / scale + 0.5 * scaled
+        return picks
+
+    return steps
+
+
+def _herding_steps(budget: int) -> Callable:
+    def steps(u: np.ndarray) -> list[int]:
+        mean, total, picks = u.mean(0), np.zeros(u.shape[1]), []
+        while len(picks) < min(budget, len(u)):
+            score = u @ ((len(picks) + 1) * mean - total)
+            score[picks] = -np.inf
+            picks.append(int(score.argmax()))
+            total = total + u[picks[-1]]
+        return picks
+
+    return steps
+
+
 def weighted_farthest_points(samples: DataFrame, budget: int, importance: DataFrame) -> DataFrame:
     """Farthest points where half the score is importance, scaled within the class. The scale of distances changes with every
-    pick, so nothing bounds a later score: one job a step picks for all classes at once."""
+    pick, so nothing bounds a later score: a class that fits ``HELD`` is seen to in a task, all larger ones by one job a step."""
+    from corepick.functions.scores import min_max_normalize_by_class
+
+    rows = samples.select("id", "label", "v").join(importance.select("id", "importance"), "id")
+    scaled = cut(min_max_normalize_by_class(rows.withColumn("scaled", F.col("importance")), "scaled"))
+    small, large = _by_size(scaled, budget, _weighted_steps(budget), "importance scaled")
+    return small if large is None else small.union(_weighted_by_jobs(large, budget, importance))
+
+
+def _weighted_by_jobs(samples: DataFrame, budget: int, importance: DataFrame) -> DataFrame:
     from corepick.functions.scores import min_max_normalize_by_class
 
     spark, metric = samples.sparkSession, CosineDistance(samples)
@@ -712,7 +772,13 @@ def weighted_farthest_points(samples: DataFrame, budget: int, importance: DataFr
 
 def herding(samples: DataFrame, budget: int) -> DataFrame:
     """Step i of each class picks the largest ``x . ((i + 1) mean - sum of picks)`` over unit vectors. Scores move both ways, so
-    each step is one job for all classes; the driver holds one direction a class."""
+    nothing bounds a later one: a class that fits ``HELD`` is seen to in a task, all larger ones by one job a step, for which the
+    driver holds one direction a class."""
+    small, large = _by_size(samples.select("id", "label", "v"), budget, _herding_steps(budget))
+    return small if large is None else small.union(_herding_by_jobs(large, budget))
+
+
+def _herding_by_jobs(samples: DataFrame, budget: int) -> DataFrame:
     spark = samples.sparkSession
     units = cut(unit_vectors(samples))
     mean = units.select("label", F.posexplode("u").alias("p", "x")).groupBy("label", "p").agg(F.avg("x").alias("x"))

@@ -413,3 +413,15 @@ def test_writes_of_selections_count_once_and_whole(spark, tmp_path, monkeypatch)
     assert [r.status for r in status] == ["ok", "ok"]
     with pytest.raises(ValueError, match="no selection"):
         artifacts.read_selection(spark, base, {**config, "trial": 3})
+
+
+def test_steps_in_a_task_equal_steps_by_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(i, 0 if i < 40 else 1 if i < 50 else 2, rng.normal(size=4).tolist(), float(rng.random())) for i in range(53)]
+    rows += [(60, 0, rows[3][2], 0.5), (61, 0, rows[3][2], 0.5)]  # ties
+    df = spark.createDataFrame(rows, "id long, label long, v array<double>, importance double")
+    found = {}
+    for held in (1 << 23, 100, 0):  # all classes in tasks, the largest by jobs, all by jobs
+        monkeypatch.setattr(g, "HELD", held)
+        found[held] = [sorted((r.id, r.label, r["rank"]) for r in out.collect()) for out in (g.herding(df, 5), g.weighted_farthest_points(df, 5, df))]
+    assert found[1 << 23] == found[100] == found[0] and len(found[0][0]) == len(found[0][1]) == 13
