@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,10 +20,26 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def overlap_matrix(selections: DataFrame) -> DataFrame:
-    """``a, b, overlap_pct`` for every ordered pair of configurations of ``(config, id)``; joined by id, a pair without common ids is 0."""
-    s = selections.select("config", "id").distinct()
-    sizes = s.groupBy("config").agg(F.count("*").alias("n"))
-    common = s.withColumnRenamed("config", "a").join(s.withColumnRenamed("config", "b"), "id").groupBy("a", "b").agg(F.count("*").alias("c"))
+    """``a, b, overlap_pct`` for every ordered pair of configurations of ``(config, id)``; a pair without common ids is 0.
+
+    The ids of a configuration are bitmaps, 65,536 ids to a block; a task has the bitmaps of one block for all configurations and
+    counts the bits that each two have in common.
+    """
+    s = selections.select("config", "id")
+    word = F.shiftright("id", 6)
+    words = s.filter("id IS NOT NULL").groupBy("config", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(id & 63 AS INT))")).alias("bits"))
+    words = words.select("config", F.shiftright("word", 10).alias("block"), F.col("word").bitwiseAND(1023).cast("int").alias("word"), "bits")
+
+    def common_bits(table):
+        names = table["config"].combine_chunks().dictionary_encode()
+        maps = np.zeros((len(names.dictionary), 1024), np.uint64)
+        maps[names.indices.to_numpy(), table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+        counts = np.stack([np.bitwise_count(maps & own).sum(1, dtype=np.int64) for own in maps])
+        a, b = np.nonzero(counts)
+        return pa.table({"a": names.dictionary.take(pa.array(a)), "b": names.dictionary.take(pa.array(b)), "c": pa.array(counts[a, b])})
+
+    sizes = words.groupBy("config").agg(F.sum(F.bit_count("bits")).alias("n"))
+    common = words.groupBy("block").applyInArrow(common_bits, "a string, b string, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
     pairs = sizes.withColumnRenamed("config", "a").crossJoin(sizes.select(F.col("config").alias("b")))
     return pairs.join(common, ["a", "b"], "left").select("a", "b", (F.coalesce("c", F.lit(0)) / F.col("n") * 100).alias("overlap_pct"))
 

@@ -425,3 +425,70 @@ def test_steps_in_a_task_equal_steps_by_jobs(spark, monkeypatch):
         monkeypatch.setattr(g, "HELD", held)
         found[held] = [sorted((r.id, r.label, r["rank"]) for r in out.collect()) for out in (g.herding(df, 5), g.weighted_farthest_points(df, 5, df))]
     assert found[1 << 23] == found[100] == found[0] and len(found[0][0]) == len(found[0][1]) == 13
+
+
+def test_overlaps_from_bitmaps(spark):
+    rng = np.random.default_rng(11)
+    sets = {f"c{k:02d}": {*rng.choice([*range(-70, 300), 10**12, 65_535, 65_536, 2**63 - 1, -(2**63)], 150, replace=False).tolist()} for k in range(20)}
+    sets["other"] = {10**15}
+    rows = [(c, int(i)) for c, ids in sets.items() for i in [*ids, *list(ids)[:3]]]  # some twice
+    got = {(r.a, r.b): r.overlap_pct for r in compare.overlap_matrix(spark.createDataFrame(rows, "config string, id long")).collect()}
+    assert got == pytest.approx({(a, b): len(sets[a] & sets[b]) / len(sets[a]) * 100 for a in sets for b in sets})
+
+
+def test_kernel_validation_equals_numpy(spark):
+    rng = np.random.default_rng(12)
+    n, k, t = 60, 4, 0.7
+    v = rng.normal(size=(n, 5))
+    df = spark.createDataFrame([(i, i % 2, v[i].tolist()) for i in range(n)], "id long, label long, v array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    dist = 2 * (1 - u @ u.T)
+    np.fill_diagonal(dist, np.inf)
+    a = np.zeros((n, n))
+    for i in range(n):
+        for j in np.argsort(dist[i])[:k]:
+            a[i, j] = min(1.0, max(0.0, 1 - dist[i, j] / 2))
+    a = np.maximum(a, a.T)
+    d = 1 / np.sqrt(a.sum(1))
+    a = d[:, None] * a * d[None, :]
+    heat, term = np.zeros((n, n)), np.eye(n)
+    for i in range(13):
+        heat, term = heat + np.exp(-t) * term, term @ a * t / (i + 1)
+    a2 = a + a @ a
+    rank = lambda x: np.array([(np.sum(x < y) + np.sum(x <= y) + 1) / 2 for y in x])
+    picks = [plain_greedy(m, np.ones(n), [i % 2 for i in range(n)], 5, g.FACILITY) for m in (heat, a2)]
+    both = sorted({*picks[0]} & {*picks[1]})
+    order = [rank(np.array([p.index(i) for i in both], float)) for p in picks]
+    got = sweep.validate_kernel(df, 5, k, t).first()
+    assert got.row_sum_rho == pytest.approx(np.corrcoef(rank(heat.sum(1)), rank(a2.sum(1)))[0, 1])
+    assert got.order_rho == pytest.approx(np.corrcoef(*order)[0, 1]) and got.overlap_pct == pytest.approx(len(both) / 10 * 100)
+    assert got.jaccard == pytest.approx(len(both) / (20 - len(both)))
+
+
+def test_probe_and_projection_equal_numpy(spark):
+    from corepick.operators import probe
+
+    rng = np.random.default_rng(13)
+    n = 120
+    label = rng.integers(0, 3, n)
+    v = rng.normal(size=(n, 4)) + 1.2 * np.eye(4)[label]
+    rows = [(i, int(label[i]), v[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, label long, v array<double>")
+    train, test = df.filter("id < 80"), df.filter("id >= 80")
+    x, y, w, b = v[:80], np.eye(3)[label[:80]], np.zeros((4, 3)), np.zeros(3)
+    for _ in range(20_000):  # sum of losses and half the squared weights
+        z = x @ w + b
+        p = np.exp(z - z.max(1, keepdims=True))
+        off = p / p.sum(1, keepdims=True) - y
+        w, b = w - 0.01 * (x.T @ off + w), b - 0.01 * off.sum(0)
+    pred = (v[80:] @ w + b).argmax(1)
+    got = probe.linear_probe(train, test).first()
+    assert got.accuracy == pytest.approx((pred == label[80:]).mean())
+    centred = v - v.mean(0)
+    axes = np.linalg.svd(centred, full_matrices=False)[2][:2]
+    axes = axes * np.sign(axes[np.arange(2), np.abs(axes).argmax(1)])[:, None]
+    plane = centred @ axes.T
+    chosen = spark.createDataFrame([("b", 3), ("a", 3), ("a", 5)], "config string, id long")
+    out = {r.id: r for r in probe.project_2d(df, chosen).collect()}
+    assert np.allclose([[out[i].x, out[i].y] for i in range(n)], plane)
+    assert out[3].picked_by == ["a", "b"] and out[5].picked_by == ["a"] and out[4].picked_by is None
