@@ -10,7 +10,8 @@ second step meets few rows of even a conversation with a third of all turns; wha
 
 Nulls: a null text, role or content is empty; a null part type is text, an unknown one a document; null turns come first;
 a null conversation id is a conversation of its own. Turns with equal numbers are all kept, ordered by role and body.
-Columns other than those named are ignored. An empty table gives no rows.
+Very long texts are rendered whole,
+in one cell. Columns other than those named are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ the limits are few as a rule: they are broadcast if at most ``BROADCAST_LINES``,
 3-word windows are compared by 64-bit hashes within one text, lines by 64-bit hashes within one host.
 
 Nulls: a null text has no words and no lines, a null source is a host of its own. Empty texts fail the base rules. Repeated
-rows each get their own verdict. Columns other than those named are ignored. An empty table gives no rows.
+rows each get their own verdict; nothing here depends on an order, so there are no ties. Texts are worked on whole, and one
+text's words and lines are held by its task. Columns other than those named are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -108,8 +109,9 @@ def remove_frequent_lines(docs: DataFrame, text: str = "text", host: str = "sour
     A host's list holds at most one line per ``max_docs`` documents and ``1 / max_share`` per line position, so it stays small.
     """
     own, hashes = fresh(docs, "host_of"), fresh(docs, "hashes_of")
-    common = frequent_lines(docs, text, host, **limits).groupBy(F.col("host").alias(own)).agg(F.collect_list("h").alias(hashes))
-    joined = docs.join(F.broadcast(common) if fits(common, 10_000) else common, F.col(host).eqNullSafe(F.col(own)), "left")
+    lines = cut(frequent_lines(docs, text, host, **limits))
+    common = lines.groupBy(F.col("host").alias(own)).agg(F.collect_list("h").alias(hashes))
+    joined = docs.join(F.broadcast(common) if fits(lines, BROADCAST_LINES) else common, F.col(host).eqNullSafe(F.col(own)), "left")
     normal = lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, SPACE, " "))))
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains(F.col(hashes), normal(x)), F.lit(False)))
     return joined.withColumn(text, F.array_join(kept, "\n")).select(*docs.columns)
