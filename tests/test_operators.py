@@ -141,7 +141,7 @@ def test_cosine_kernel_looks_into_few_candidates(spark, monkeypatch, by_label):
 
 
 @pytest.mark.parametrize("rule", [g.FACILITY, g.COVERAGE, g.REACH])
-def test_walk_kernel_equals_its_matrix(spark, rule):
+def test_walk_kernel_equals_its_matrix(spark, monkeypatch, rule):
     rng = np.random.default_rng(6)
     n = 40
     a = np.where(rng.random((n, n)) < 0.08, rng.random((n, n)), 0.0)
@@ -155,7 +155,8 @@ def test_walk_kernel_equals_its_matrix(spark, rule):
     edges = spark.createDataFrame([(i, j, float(p[i, j])) for i in range(n) for j in range(n) if p[i, j]], "src long, dst long, w double")
     rows = spark.createDataFrame([(i, label[i], float(imp[i])) for i in range(n)], "id long, label long, imp double")
     want = plain_greedy(r.T, imp, label, 4, rule)
-    for width, held in ((12, 8), (64, 1024)):
+    for width, held, most in ((20, 8, 0), (64, 1024, g.BROADCAST_EDGES)):  # by joins, in tasks
+        monkeypatch.setattr(g, "BROADCAST_EDGES", most)
         kernel = g.WalkKernel(edges, scale, row_max, held=held)
         got = g.greedy(kernel, rows, 4, rule, per_class=False, width=width).orderBy("rank").collect()
         assert [x.id for x in got] == want
