@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 
@@ -21,7 +22,7 @@ def plain(docs, items):
             for shift in range(-len(y) + 1, len(x)):
                 lo, hi = max(0, shift), min(len(x), len(y) + shift)
                 same = [x[i] == y[i - shift] for i in range(lo, hi)]
-                if len(y) < min(map(len, dc.MASKS)) and not (same and all(same) and len(same) == len(y)):
+                if len(y) < dc.MASKED_FROM and not (same and all(same) and len(same) == len(y)):
                     continue
                 for end in range(1, len(same) + 1):
                     # the longest run that ends here and agrees
@@ -56,6 +57,30 @@ def test_substitutions_are_tolerated(spark, tmp_path):
     assert kept.count() == docs_df.count() - len(got) - 1 and kept.columns == docs_df.columns
 
 
+def test_short_runs_leave_a_mask_whole():
+    """Of all ways to change as many tokens of a run as may differ, the share that leaves a mask whole somewhere."""
+    for length in range(dc.MIN_TOKENS, 21):
+        laid = [{at + i for i, c in enumerate(m) if c == "1"} for m in dc.MASKS for at in range(length - len(m) + 1)]
+        ways = list(combinations(range(length), round((1 - dc.SIMILARITY) * 1000) * length // 1000))
+        found = sum(any(m.isdisjoint(w) for m in laid) for w in ways)
+        assert found >= 0.97 * len(ways), (length, found / len(ways))
+
+
+def test_short_runs_with_every_change_allowed_are_found(spark):
+    rnd = random.Random(11)
+    vocab = [f"w{i}" for i in range(900)]
+    items, docs = [], []
+    for i in range(240):
+        item = rnd.choices(vocab, k=13 + i % 8)
+        part = item[:]
+        for j in rnd.sample(range(len(part)), len(part) // 5):
+            part[j] = "changed"
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(rnd.choices(vocab, k=30) + part + rnd.choices(vocab, k=30))))
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r.doc_id == r.item_id for r in got) and len(got) >= 0.95 * len(docs), len(got)
+
+
 def test_blocks_give_the_same_rows(spark, monkeypatch):
     whole = dc.op2_spaced_seeds(spark, SF).toPandas()
     monkeypatch.setattr(dc, "TOKENS_AT_ONCE", 300)
