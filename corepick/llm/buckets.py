@@ -280,17 +280,26 @@ def in_chunks(rows: DataFrame, key: str, size: int) -> DataFrame:
     return dealt.select(key, F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), *others)
 
 
+def repeated(items: DataFrame, twice: DataFrame) -> DataFrame:
+    """``key, v, w, fp, n`` for the keys of ``items(v, w, fp, keys)`` that are in ``twice(key, n)``."""
+    if fits(twice, BROADCAST_KEYS):
+        return items.select("v", "w", "fp", F.explode("keys").alias("key")).join(F.broadcast(twice), "key")
+    # keys meet their counts without prints; an item, which has few keys, then gets back those that repeat, and its print moves once
+    known = items.select("v", F.explode("keys").alias("key")).join(twice, "key")
+    known = known.groupBy("v").agg(F.collect_list(F.struct("key", "n")).alias("found"))
+    return items.select("v", "w", "fp").join(known, "v").select("v", "w", "fp", F.inline("found"))
+
+
 def like_groups(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """``v, root`` of the items that have links; ``items(v, w, fp, keys)`` has each item once.
 
     ``texts_of`` gives ``v, s`` once for each ``v`` of the frame that it gets: the texts whose words the items are.
     """
-    members = items.select("v", "w", "fp", F.explode("keys").alias("key"))
     # hardly any key repeats, so none are summed before the shuffle
-    twice = cut(members.select("key").repartition("key").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    side = F.broadcast(twice) if fits(twice, BROADCAST_KEYS) else twice
+    twice = items.select(F.explode("keys").alias("key")).repartition("key").groupBy("key").agg(F.count("*").alias("n"))
+    members = repeated(items, cut(twice.filter("n > 1")))
     group = ["key", "lo", "hi"]
-    dealt = in_chunks(members.join(side, "key"), "key", CHUNK)
+    dealt = in_chunks(members, "key", CHUNK)
     parts = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_parts(similarity), "g binary, v binary")
     parts = cut(parts.dropDuplicates(["g", "v"]))
     sized = parts.join(parts.groupBy("g").agg(F.count("*").alias("n")), "g")

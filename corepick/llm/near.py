@@ -3,14 +3,16 @@
 A text is the sequence of its words; its k-mers are windows of ``K`` words, each labelled with how many times it occurred
 before. The labelled k-mers are dealt by hash into ``KEYS`` samples, of each of which the ``PICKS`` of least hash are taken and
 kept in text order; their sequence is one key, so two texts share a key if they hold the same k-mers in the same order. A
-sample without a k-mer has no key. A link needs at most ``1 - similarity`` edits (words put in, taken out or changed) per word
-of the longer text; the tests measure how many pairs at that limit share a key, by length.
+sample without a k-mer has no key. Few 5-word k-mers of a short text outlive its edits, so texts of up to ``SHORT`` words have
+keys of single labelled words: for each of ``SHORT_KEYS`` hash functions the ``SHORT_PICKS`` words of least hash, in text order.
+Texts of ``LONG`` to ``SHORT`` words have keys of both kinds, so that two texts that may be alike have one kind in common. A link
+needs at most ``1 - similarity`` edits (words put in, taken out or changed) per word of the longer text; the tests measure how
+many pairs at that limit share a key, by length.
 
 Equal texts are one vertex, and groups are the connected parts of the links. Items of a bucket are compared by their prints,
 and aligned within a band, in :mod:`corepick.llm.buckets`.
 
-Nulls: a null text counts as an empty one, and empty texts are equal texts. A text of fewer than K words is one k-mer. A
-null id is allowed; the class id is the least id of the group, null if all are null. Repeated rows are documents of their
+Nulls: a null text counts as an empty one, and empty texts are equal texts. A null id is allowed; the class id is the least id of the group, null if all are null. Repeated rows are documents of their
 own in :func:`near_classes`; :func:`keep_one` keeps one. Extra columns stay in ``keep_one``, whatever their names, and are
 ignored otherwise. An empty table gives no rows. Very long texts are worked on whole, in slices that end with a text.
 """
@@ -32,6 +34,10 @@ K = 5
 PICKS = 2
 KEYS = 96
 SIMILARITY = 0.8
+#: Texts of up to SHORT words have keys of single words, those of LONG words and more keys of k-mers.
+SHORT, LONG = 25, 20
+SHORT_PICKS = 4
+SHORT_KEYS = 48
 BROADCAST_IDS = 500_000
 
 words_of = re.compile(r"\w+").findall
@@ -76,6 +82,40 @@ def sketch(flat: np.ndarray, lengths: np.ndarray, k: int = K, picks: int = PICKS
     return key, np.bincount(of[start] // keys, minlength=len(lengths))
 
 
+def short_sketch(flat: np.ndarray, lengths: np.ndarray, picks: int = SHORT_PICKS, keys: int = SHORT_KEYS) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of single words of texts, given as for :func:`sketch`; texts of fewer words than a key holds have one of all."""
+    gram, owner = labelled_kmers(flat, lengths, 1)
+    start = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = np.arange(len(gram)) - start
+    made = []
+    for number in range(keys):
+        order = np.lexsort((mix(gram ^ mix(np.full(len(gram), number + 1, np.uint64))), owner))
+        chosen = np.sort(order[place < picks])  # the order has each text where it stood
+        of, rank = owner[chosen], np.arange(len(chosen))
+        rank -= np.maximum.accumulate(np.where(np.concatenate([[True], of[1:] != of[:-1]]), rank, 0))
+        key = np.full(len(lengths), ~np.uint64(0))  # not where the keys of k-mers begin
+        for p in range(picks):
+            at = rank == p
+            key[of[at]] = mix(key[of[at]] * np.uint64(31) + gram[chosen[at]])
+        made.append(key)
+    each = np.sort(np.stack(made, axis=1), axis=1)
+    new = np.ones(each.shape, bool)
+    new[:, 1:] = each[:, 1:] != each[:, :-1]
+    return each[new], new.sum(axis=1)
+
+
+def keys_of(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of texts of both kinds, given by the hashes of all words and how many each text has, at least one; and how many each has."""
+    parts, owners = [], []
+    for some, make in ((lengths >= LONG, sketch), (lengths <= SHORT, short_sketch)):
+        if some.any():
+            key, counts = make(flat[np.repeat(some, lengths)], lengths[some])
+            parts.append(key)
+            owners.append(np.repeat(np.flatnonzero(some), counts))
+    owner = np.concatenate(owners)
+    return np.concatenate(parts)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(lengths))
+
+
 def _sketch_batch(texts: pa.Array) -> pa.Array:
     strings = [t or "" for t in texts.to_pylist()]
     sizes, prints, keys, counts = [np.empty(0, np.int64)], [], [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
@@ -86,7 +126,7 @@ def _sketch_batch(texts: pa.Array) -> pa.Array:
         prints += prints_of(words.hashes, lengths)
         each, has = np.zeros(b - a, np.int64), lengths > 0
         if has.any():
-            flat, each[has] = sketch(words.hashes, lengths[has])
+            flat, each[has] = keys_of(words.hashes, lengths[has])
             keys.append(flat)
         counts.append(each)
     listed = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from corepick.llm import near
+from corepick.llm import buckets, near
 from corepick.llm.groups import connected_groups
 from corepick.llm.words import Words
 
@@ -99,6 +99,71 @@ def test_recall_of_candidates_by_edits():
             assert found >= 0.95 * pairs, (size, share, found)
 
 
+@pytest.mark.parametrize("kind", ["changed", "mixed"])
+def test_recall_of_candidates_by_length(kind):
+    """Share of pairs with as many edits as are allowed that have a key in common, from 5 words on."""
+    rnd = random.Random(12)
+    vocab = [f"w{i}" for i in range(5000)]
+    for size in (5, 7, 10, 15, 19, 20, 21, 24, 25, 26, 30, 40, 5000):
+        found, pairs = 0, 20 if size == 5000 else 200
+        for _ in range(pairs):
+            a = rnd.choices(vocab, k=size)
+            b = a[:]
+            for i in sorted(rnd.sample(range(size), size // 5), reverse=True):
+                new = [rnd.choice(vocab)]
+                b[i : i + 1] = new if kind == "changed" else rnd.choice([new, [], [b[i], *new]])
+            keys = [set(near.keys_of(w.hashes, w.per_text())[0].tolist()) for w in (Words([" ".join(x)]) for x in (a, b))]
+            found += bool(keys[0] & keys[1])
+        print(kind, size, found / pairs)
+        assert found >= 0.95 * pairs, (size, found / pairs)
+
+
+def test_short_keys_equal_plain():
+    rnd = random.Random(13)
+    texts = [rnd.choices("abcdefg", k=rnd.randrange(1, 26)) for _ in range(60)]
+    words = Words([" ".join(t) for t in texts])
+    lengths = words.per_text()
+    keys, counts = near.short_sketch(words.hashes, lengths)
+    gram, owner = near.labelled_kmers(words.hashes, lengths, 1)
+    ends, seen = counts.cumsum(), {}
+    for n in range(len(texts)):
+        own, want = gram[owner == n], set()
+        for number in range(near.SHORT_KEYS):
+            least = sorted(range(len(own)), key=lambda i: int(near.mix(own[i : i + 1] ^ near.mix(np.array([number + 1], np.uint64)))[0]))[: near.SHORT_PICKS]
+            want.add(tuple(own[sorted(least)].tolist()))
+        got = keys[ends[n] - counts[n] : ends[n]].tolist()
+        assert len(got) == len(set(got)) == len(want)
+        for text in want:
+            seen.setdefault(text, set()).update(got)
+    # what has the same words in order has a key in common
+    assert all(seen.values())
+    both, each = near.keys_of(words.hashes, lengths)
+    assert each.tolist() == [int(counts[n]) + (len(near.sketch(words.hashes[owner == n], lengths[n : n + 1])[0]) if lengths[n] >= near.LONG else 0) for n in range(len(texts))]
+
+
+def test_short_texts_are_grouped(spark):
+    rnd = random.Random(14)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(0, 400, 2):
+        a = rnd.choices(vocab, k=5 + i % 26)
+        b = a[:]
+        for j in rnd.sample(range(len(b)), len(b) // 5):
+            b[j] = "other"
+        rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+    got = {r.doc_id: r.class_id for r in near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i and got[i + 1] in (i, i + 1) for i in range(0, 400, 2))
+    assert sum(got[i + 1] == i for i in range(0, 400, 2)) >= 190
+
+
+def test_keys_beyond_the_broadcast_give_the_same_classes(spark, corpus, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
+    want = sorted(map(tuple, near.near_classes(df).collect()))
+    monkeypatch.setattr(buckets, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(near, "BROADCAST_IDS", 0)
+    assert sorted(map(tuple, near.near_classes(df).collect())) == want
+
+
 def test_sketch_equals_plain():
     rnd = random.Random(6)
     texts = [rnd.choices("abc", k=rnd.randrange(1, 60)) for _ in range(40)]
