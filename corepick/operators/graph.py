@@ -59,9 +59,32 @@ def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(x.select(F.col("id").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 
-def vecmat(x: DataFrame, a: DataFrame) -> DataFrame:
-    """``id, x``: the row vector times the matrix."""
-    return a.join(x.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+def laid_out(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The edges dealt by source once, for loops in which :func:`vecmat` then moves vectors alone; and their hubs, whose edges are
+    dealt into parts (column ``part``, only where there are hubs)."""
+    spark, edges = edges.sparkSession, cut(edges)
+    split, key = hubs(edges), ["src"]
+    if split is not None:
+        part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")
+        edges = edges.join(F.broadcast(split), F.col("src") == F.col("hub"), "left").select("src", "dst", "w", part.alias("part"))
+        key = ["src", "part"]
+    # an adaptive plan does not say how its rows are dealt, so the checkpoint would not either
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(edges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)), split
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def vecmat(x: DataFrame, a: DataFrame, split: DataFrame | None = None) -> DataFrame:
+    """``id, x``: the row vector times the matrix; ``split``: the hubs of a matrix that is :func:`laid_out`."""
+    left, key = x.select(F.col("id").alias("src"), "x"), ["src"]
+    if split is not None:
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))
+        left = left.join(F.broadcast(split), F.col("src") == F.col("hub"), "left").select("src", "x", parts.alias("part"))
+        key = ["src", "part"]
+    return a.join(left, key).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 
 def k_hop_neighbors(edges: DataFrame, hops: int, include_self: bool | None = None) -> DataFrame:
@@ -134,11 +157,12 @@ def reachability(edges: DataFrame, nodes: DataFrame, walk: int = 5, gamma: float
     return total
 
 
-def reach_sum(p: DataFrame, x: DataFrame, walk: int, gamma: float, transposed: bool = False) -> DataFrame:
-    """``id, x``: reachability (or its transpose) times the vector ``x``, by ``walk`` sparse products and never the matrix."""
+def reach_sum(p: DataFrame, x: DataFrame, walk: int, gamma: float, transposed: bool = False, split: DataFrame | None = None) -> DataFrame:
+    """``id, x``: reachability (or its transpose) times the vector ``x``, by ``walk`` sparse products and never the matrix.
+    ``split``: the hubs of a :func:`laid_out` matrix, for the transpose."""
     total = step = x.select("id", "x")
     for t in range(1, walk + 1):
-        step = vecmat(step, p) if transposed else matvec(p, step)
+        step = vecmat(step, p, split) if transposed else matvec(p, step)
         total = total.union(step.select("id", (F.col("x") * gamma**t).alias("x")))
     return total.groupBy("id").agg(F.sum("x").alias("x"))
 
@@ -150,12 +174,12 @@ def row_max_normalize(edges: DataFrame) -> DataFrame:
 
 def propagate_importance(importance: DataFrame, edges: DataFrame, gamma: float = 0.85, iterations: int = 10, walk: int = 5, damping: float = 0.5, tol: float = 1e-6) -> DataFrame:
     """``id, importance``: ``x <- d * importance + (1 - d) * (R / geo)' x`` until no value moves by ``tol``."""
-    p = cut(transition(edges))
+    p, split = laid_out(transition(edges))
     geo = (1 - gamma ** (walk + 1)) / (1 - gamma) if gamma < 1 else walk + 1.0
     start = cut(importance.select("id", F.col("importance").alias("x")))
     x = start
     for _ in range(iterations):
-        moved = reach_sum(p, x, walk, gamma, transposed=True).withColumnRenamed("x", "y")
+        moved = reach_sum(p, x, walk, gamma, transposed=True, split=split).withColumnRenamed("x", "y")
         new = start.select("id", F.col("x").alias("x0")).join(moved, "id", "left").select("id", (damping * F.col("x0") + (1 - damping) * F.coalesce("y", F.lit(0.0)) / geo).alias("x"))
         new = cut(new)
         change = new.join(x.withColumnRenamed("x", "old"), "id").agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0]
@@ -168,11 +192,11 @@ def propagate_importance(importance: DataFrame, edges: DataFrame, gamma: float =
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iterations: int = 50, tol: float = 1e-6) -> DataFrame:
     """``id, importance`` by power iteration without redistribution of dangling mass; what converged is the iterate before
     the last step."""
-    p = cut(transition(edges))
+    p, split = laid_out(transition(edges))
     n = nodes.count()
     x = cut(nodes.select("id", F.lit(1.0 / max(1, n)).alias("x")))
     for _ in range(iterations):
-        moved = vecmat(x, p).withColumnRenamed("x", "y")
+        moved = vecmat(x, p, split).withColumnRenamed("x", "y")
         new = cut(nodes.select("id").join(moved, "id", "left").select("id", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("y", F.lit(0.0))).alias("x")))
         change = new.join(x.withColumnRenamed("x", "old"), "id").agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0]
         if change is None or change < tol:

@@ -64,18 +64,19 @@ def _(s, sf):
     return artifacts.verify_selections(v, manifests, ("config",))
 
 
-@query("s7_append_results", f"WITH {x.RESULTS} SELECT method, accuracy, CAST(NULL AS DOUBLE) AS seconds FROM results WHERE trial = 0 UNION ALL SELECT method, accuracy, seconds FROM results WHERE trial = 1", "accuracy seconds")
+@query("s7_append_results", f"WITH {x.RESULTS} SELECT method, accuracy, CAST(NULL AS DOUBLE) AS seconds FROM results WHERE trial = 0 UNION ALL SELECT method, accuracy, seconds FROM results WHERE trial > 0", "accuracy seconds")
 def _(s, sf):
     path, r = f"{scratch(s)}/results", x.results(s, sf)
     results.append_results(r.filter("trial = 0").select("method", "accuracy"), path)
-    results.append_results(r.filter("trial = 1").select("method", "accuracy", "seconds"), path)
+    results.append_results(r.filter("trial > 0").select("method", "accuracy", "seconds"), path)
     return results.read_results(s, path).select("method", "accuracy", "seconds")
 
 
-@query("s8_write_history", f"WITH {x.RESULTS} SELECT method, step, accuracy, CAST(NULL AS DOUBLE) AS seconds FROM results WHERE trial = 0 UNION ALL SELECT method, step, NULL, seconds FROM results WHERE trial = 1", "accuracy seconds")
+@query("s8_write_history", f"WITH {x.RESULTS} SELECT method, step, accuracy, CAST(NULL AS DOUBLE) AS seconds FROM results WHERE trial = 0 UNION ALL SELECT method, step, NULL, seconds FROM results WHERE trial = 1 UNION ALL SELECT method, step, accuracy, seconds FROM results WHERE trial = 2", "accuracy seconds")
 def _(s, sf):
     path, r = f"{scratch(s)}/history", x.results(s, sf)
-    results.write_history([r.filter("trial = 0").select("method", "step", "accuracy"), r.filter("trial = 1").select("method", "step", "seconds")], path)
+    columns = (("method", "step", "accuracy"), ("method", "step", "seconds"), ("method", "step", "accuracy", "seconds"))
+    results.write_history([r.filter(f"trial = {n}").select(*c) for n, c in enumerate(columns)], path)
     return s.read.csv(path, header=True, schema="method string, step long, accuracy double, seconds double")
 
 

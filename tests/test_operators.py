@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corepick.functions import scores, vectors
 from corepick.operators import compare, dynamics, graph, knn, metrics, methods, sweep
 from corepick.operators import greedy as g
+from corepick.operators.runtime import cut
 from corepick.sources import artifacts, samples
 
 PATH = [(0, 1), (1, 2), (2, 3), (3, 4)]
@@ -256,6 +257,44 @@ def test_sweep_with_importance(spark):
         methods.select(df, "greedy_importance", 1)
 
 
+def test_loops_move_vectors_and_not_edges(spark, monkeypatch):
+    rows = [(0, i, 1.0) for i in range(1, 400)] + [(i, 0, 1.0) for i in range(1, 400)] + [(i, i % 7, 2.0) for i in range(10, 90)]
+    edges = spark.createDataFrame(rows, "src long, dst long, w double").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    nodes = spark.range(400)
+    start = nodes.select("id", (F.col("id") / 400).alias("importance"))
+    whole = [{r.id: r.importance for r in f.collect()} for f in (graph.pagerank(edges, nodes, iterations=5), graph.propagate_importance(start, edges, iterations=3))]
+    a = np.zeros((400, 400))
+    for s, d, w in ((r.src, r.dst, r.w) for r in edges.collect()):
+        a[s, d] = w
+    p = a / a.sum(axis=1, keepdims=True)
+    x = np.full(400, 1 / 400)
+    for _ in range(5):
+        x = 0.15 / 400 + 0.85 * x @ p
+    assert np.allclose([whole[0][i] for i in range(400)], x)
+    reach, y0 = sum(0.85**t * np.linalg.matrix_power(p, t) for t in range(6)), np.arange(400) / 400
+    y = y0
+    for _ in range(3):
+        y = 0.5 * y0 + 0.5 * y @ reach / sum(0.85**t for t in range(6))
+    assert np.allclose([whole[1][i] for i in range(400)], y)
+    monkeypatch.setattr(graph, "hubs", lambda e, degree=50, hubs=graph.hubs: hubs(e, degree))
+    split = [{r.id: r.importance for r in f.collect()} for f in (graph.pagerank(edges, nodes, iterations=5), graph.propagate_importance(start, edges, iterations=3))]
+    assert all(np.allclose([w[i] for i in range(400)], [s[i] for i in range(400)]) for w, s in zip(whole, split))
+    laid, hubs = graph.laid_out(edges)
+    sizes = [r.n for r in laid.groupBy("src", "part").agg(F.count("*").alias("n")).collect()]
+    assert hubs is not None and max(sizes) < 120
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.undo()
+        laid, hubs = graph.laid_out(edges)
+        x = cut(nodes.select("id", F.lit(1.0).alias("x")))
+        plan = graph.vecmat(x, laid, hubs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # the vector moves to the edges, and sums move to their rows
+    assert plan.count("Exchange hashpartitioning(") == 2, plan
+
+
 def test_dynamics(spark):
     rows = [(1, e, 0, [0.9, 0.1] if e % 2 else [0.2, 0.8], [0.9, 0.1] if e % 2 else [0.2, 0.8]) for e in range(1, 7)]
     m = dynamics.epoch_metrics(spark.createDataFrame(rows, "id long, epoch int, label long, logits array<double>, probs array<double>"))
