@@ -31,17 +31,50 @@ def character_values() -> np.ndarray:
     return mix(np.arange(1, 0x110001, dtype=np.uint64))
 
 
-@lru_cache(2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``BASE`` and its inverse to the powers 0 to n - 1, modulo 2^64."""
+@lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """``BASE`` and its inverse to the powers 0 to CHARS_AT_ONCE, modulo 2^64."""
     out = []
     for base in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.full(n, base, np.uint64)
+        p = np.full(CHARS_AT_ONCE + 1, base, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
 
+def power_at(place: np.ndarray) -> np.ndarray:
+    """``BASE`` to the powers ``place``, however large."""
+    up, high = powers()[0], place // CHARS_AT_ONCE
+    steps = np.full(int(high.max(initial=0)) + 1, up[-1], np.uint64)
+    steps[0] = 1
+    return up[place % CHARS_AT_ONCE] * np.multiply.accumulate(steps)[high]
+
+
+def hash_words(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word ``points[start:end]``: words of about CHARS_AT_ONCE characters at once, and a longer one in parts, so
+    that what is held beside the points and the words does not grow with a text."""
+    (up, down), values = powers(), character_values()
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        first = start[i]
+        j = int(np.searchsorted(end, first + CHARS_AT_ONCE, side="right"))
+        if j > i:
+            part = points[first : end[j - 1]]
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(values[part] * up[: len(part)], out=total[1:])
+            a, b = start[i:j] - first, end[i:j] - first
+            out[i:j] = (total[b] - total[a]) * down[a]
+        else:
+            j, scale, total = i + 1, up[:1], np.zeros(1, np.uint64)
+            for at in range(int(first), int(end[i]), CHARS_AT_ONCE):
+                part = points[at : min(at + CHARS_AT_ONCE, int(end[i]))]
+                total = total + scale * (values[part] * up[: len(part)]).sum(dtype=np.uint64)
+                scale = scale * up[CHARS_AT_ONCE:]
+            out[i] = total[0]
+        i = j
+    return mix(out + (end - start).astype(np.uint64))
+
+
 class Words:
     """Words of some texts: ``hashes`` of all, ``start`` and ``end`` in ``points``, and the line and text that each is in.
 
@@ -55,11 +88,7 @@ class Words:
         edge = np.diff(inside.view(np.int8), prepend=np.int8(0))  # the last point is in no word
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.text_end = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1)
-        n = len(self.points)
-        up, down = powers(1 << max(CHARS_AT_ONCE.bit_length(), n.bit_length()))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(character_values()[self.points] * up[:n], out=total[1:])
-        self.hashes = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hashes = hash_words(self.points, self.start, self.end)
 
     def per_text(self) -> np.ndarray:
         """How many words each text has."""
