@@ -59,31 +59,41 @@ def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(x.select(F.col("id").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 
+def dealt(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` cut and, given a ``key``, dealt by it first; plans know from it how the rows lie."""
+    spark = df.sparkSession
+    # an adaptive plan does not say how its rows are dealt, so the checkpoint would not either
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key) if key else df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def laid_out(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The edges dealt by source once, for loops in which :func:`vecmat` then moves vectors alone; and their hubs, whose edges are
     dealt into parts (column ``part``, only where there are hubs)."""
-    spark, edges = edges.sparkSession, cut(edges)
+    edges = cut(edges)
     split, key = hubs(edges), ["src"]
     if split is not None:
         part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")
         edges = edges.join(F.broadcast(split), F.col("src") == F.col("hub"), "left").select("src", "dst", "w", part.alias("part"))
         key = ["src", "part"]
-    # an adaptive plan does not say how its rows are dealt, so the checkpoint would not either
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return cut(edges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)), split
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return dealt(edges, *key), split
+
+
+def to_parts(rows: DataFrame, split: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """``rows(src, ..)`` as they meet :func:`laid_out` edges, those of a hub once for each part, and the key to join by."""
+    if split is None:
+        return rows, ["src"]
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))
+    return rows.join(F.broadcast(split), F.col("src") == F.col("hub"), "left").select(*rows.columns, parts.alias("part")), ["src", "part"]
 
 
 def vecmat(x: DataFrame, a: DataFrame, split: DataFrame | None = None) -> DataFrame:
     """``id, x``: the row vector times the matrix; ``split``: the hubs of a matrix that is :func:`laid_out`."""
-    left, key = x.select(F.col("id").alias("src"), "x"), ["src"]
-    if split is not None:
-        parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))
-        left = left.join(F.broadcast(split), F.col("src") == F.col("hub"), "left").select("src", "x", parts.alias("part"))
-        key = ["src", "part"]
+    left, key = to_parts(x.select(F.col("id").alias("src"), "x"), split)
     return a.join(left, key).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 

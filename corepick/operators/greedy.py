@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corepick.functions.vectors import l2_normalize
-from corepick.operators.graph import add, hubs, matmul, matvec
+from corepick.operators.graph import add, dealt, hubs, laid_out, matmul, matvec, to_parts
 from corepick.operators.knn import Block, added, blocked, unit_vectors
 from corepick.operators.runtime import cut
 
@@ -85,6 +85,11 @@ def _small(spark: SparkSession, **columns) -> DataFrame:
     return spark.createDataFrame(pa.table({k: pa.array(v, pa.float64() if k == "g_" else pa.int64()) for k, v in columns.items()}))
 
 
+def _ranked(spark: SparkSession, picks: list[tuple[int, object, int]]) -> DataFrame:
+    ids, labels, ranks = zip(*picks) if picks else ((), (), ())
+    return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.int64()), "rank": pa.array(ranks, pa.int32())}))
+
+
 @dataclass
 class Round:
     """The candidates of a round by group, in order of their bounds; ``outside``: the best ``(gain, id)`` left out of a group."""
@@ -125,7 +130,8 @@ TABLE = "g int, a int, b int, x double"
 
 
 class EdgeKernel:
-    """A kernel given as ``edges(i, j, w)``: column j says what candidate j does for row i."""
+    """A kernel given as ``edges(i, j, w)``: column j says what candidate j does for row i. Edges and the state of rows are dealt by
+    row once, so that rounds move sums by candidate alone; rows of very many candidates are dealt into parts."""
 
     #: Whether the bounds are the gains themselves and cheap enough for every round; if not, whether the first ones are the gains.
     exact, exact_first = True, True
@@ -133,12 +139,13 @@ class EdgeKernel:
     width = WIDTH
 
     def __init__(self, edges: DataFrame):
-        self.edges = edges
+        laid, self.large_rows = laid_out(edges.select(F.col("i").alias("src"), F.col("j").alias("dst"), "w"))
+        self.edges = laid.withColumnsRenamed({"src": "i", "dst": "j"})
 
     def begin(self, nodes: DataFrame, rule: Rule, per_class: bool) -> DataFrame:
         """Takes the rows' first state; they come back as ``id, label``."""
         self.rule = rule
-        self.state = cut(nodes.select("id", "label", F.col("imp").cast("double").alias("imp"), F.lit(rule.start).alias("s")))
+        self.state = dealt(nodes.select("id", "label", F.col("imp").cast("double").alias("imp"), F.lit(rule.start).alias("s")), "id")
         return self.state.select("id", "label")
 
     def columns(self, ids: list[int]) -> DataFrame:
@@ -148,8 +155,12 @@ class EdgeKernel:
     def _table(self, ids: list[int]) -> DataFrame:
         return _small(self.state.sparkSession, j=ids)
 
+    def _with_state(self, edges: DataFrame) -> DataFrame:
+        rows, key = to_parts(self.state.select(F.col("id").alias("src"), "s", "imp"), self.large_rows)
+        return edges.withColumnRenamed("i", "src").join(rows, key).withColumnRenamed("src", "i")
+
     def _gains(self, edges: DataFrame) -> DataFrame:
-        joined = edges.join(self.state.select(F.col("id").alias("i"), "s", "imp"), "i")
+        joined = self._with_state(edges)
         return joined.groupBy(F.col("j").alias("id")).agg(F.sum(F.col("imp") * self.rule.gain(F.col("w"), F.col("s"))).alias("gain"))
 
     def bounds(self) -> DataFrame:
@@ -161,8 +172,7 @@ class EdgeKernel:
 
     def tables(self, now: Round) -> DataFrame:
         """``g, a, b, x``: of group g the gain of candidate a (b is -1), or what candidate b takes of it, in parts to be summed."""
-        cells = self.columns(now.ids).join(self.state.select(F.col("id").alias("i"), "s", "imp"), "i")
-        rows = cells.groupBy("i", "s", "imp").agg(F.collect_list("j").alias("js"), F.collect_list("w").alias("ws"))
+        rows = self._with_state(self.columns(now.ids)).groupBy("i", "s", "imp").agg(F.collect_list("j").alias("js"), F.collect_list("w").alias("ws"))
         order = sorted((i, g, k) for g, members in enumerate(now.groups) for k, (i, _) in enumerate(members))
         ids, group, place = (np.array(x, np.int64) for x in zip(*order))
         groups, rule = now.groups, self.rule
@@ -194,7 +204,7 @@ class EdgeKernel:
         else:
             moved = columns.groupBy("i").agg(F.max("w").alias("f"))
             new = F.greatest(s, F.coalesce("f", s))
-        self.state = cut(self.state.join(moved, F.col("id") == F.col("i"), "left").select("id", "label", "imp", new.alias("s")))
+        self.state = dealt(self.state.join(moved, F.col("id") == F.col("i"), "left").select("id", "label", "imp", new.alias("s")))
 
 
 @dataclass(frozen=True)
@@ -254,7 +264,7 @@ class WalkKernel(EdgeKernel):
     def __init__(self, p: DataFrame, scale: list[float], row_max: bool = False, prune: float = 0.0, held: int = 4 * WIDTH):
         self.p, self.scale, self.row_max, self.prune, self.most = p, scale, row_max, prune, held
         self.exact_first = not row_max
-        self.split = hubs(p)
+        self.split, self.large_rows = hubs(p), None
         edges = p.select("src", "dst", "w").limit(BROADCAST_EDGES + 1).toArrow() if p.count() <= BROADCAST_EDGES else None
         self.small = None if edges is None else p.sparkSession.sparkContext.broadcast(SmallMatrix.of(*(edges[c].to_numpy() for c in ("src", "dst", "w")), prune))
         self.held: set[int] = set()
@@ -595,7 +605,7 @@ def greedy(kernel, nodes: DataFrame, budget: int, rule: Rule = FACILITY, per_cla
                 search.fresh.update({i: (float(x), c) for members, own in zip(now.groups, gains) for (i, c), x in zip(members, own)})
                 search.keep()
             kernel.advance([i for i, _ in new])
-    return spark.createDataFrame(picks, "id long, label long, rank int")
+    return _ranked(spark, picks)
 
 
 # ------------------------------------------------------------------------------------------------- farthest points
@@ -650,7 +660,7 @@ def farthest_points(distance, nodes: DataFrame, budget: int, first: DataFrame, w
     while any(len(picks[c]) < need[c] for c in picks):
         moved = distance.nearest_of(state, new).withColumnRenamed("d", "e")
         state = cut(state.join(moved, "id", "left").select("id", "label", F.least("d", F.coalesce("e", "d")).alias("d")))
-        done = spark.createDataFrame([(i,) for ids in picks.values() for i in ids], "id long")
+        done = _small(spark, id=[i for ids in picks.values() for i in ids])
         open_ = [c for c in picks if len(picks[c]) < need[c]]
         free = state.filter(F.col("label").isin(open_)).join(done, "id", "left_anti")
         place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("d"), "id"))
@@ -672,7 +682,7 @@ def farthest_points(distance, nodes: DataFrame, budget: int, first: DataFrame, w
                 for x in live:
                     live[x] = min(live[x], measure(i, x))
     rows = [(i, c, n + 1) for c, ids in picks.items() for n, i in enumerate(ids[: need[c]])]
-    return spark.createDataFrame(rows, "id long, label long, rank int")
+    return _ranked(spark, rows)
 
 
 #: Numbers of a class's vectors (8 bytes each) that one task may hold.
@@ -747,7 +757,7 @@ def _weighted_by_jobs(samples: DataFrame, budget: int, importance: DataFrame) ->
     norms: dict = {}
     picks: dict = defaultdict(list)
     for step in range(budget):
-        done = spark.createDataFrame([(i,) for ids in picks.values() for i in ids], "id long")
+        done = _small(spark, id=[i for ids in picks.values() for i in ids])
         free = state.join(done, "id", "left_anti")
         if step == 0:
             score = F.col("importance")
@@ -767,7 +777,7 @@ def _weighted_by_jobs(samples: DataFrame, budget: int, importance: DataFrame) ->
             moved = metric.nearest_of(state, [i for i, _ in new]).withColumnRenamed("d", "e")
             state = cut(state.join(moved, "id", "left").select("id", "label", "importance", "scaled", F.least("d", F.coalesce("e", "d")).alias("d")))
     out = [(i, c, n + 1) for c, ids in picks.items() for n, i in enumerate(ids)]
-    return spark.createDataFrame(out, "id long, label long, rank int")
+    return _ranked(spark, out)
 
 
 def herding(samples: DataFrame, budget: int) -> DataFrame:
@@ -790,7 +800,7 @@ def _herding_by_jobs(samples: DataFrame, budget: int) -> DataFrame:
     picks: dict = defaultdict(list)
     for step in range(budget):
         aims = spark.createDataFrame([(c, [float(x) for x in (step + 1) * means[c] - total[c]]) for c in means], "c_ long, aim_ array<double>")
-        done = spark.createDataFrame([(i,) for ids in picks.values() for i in ids], "id long")
+        done = _small(spark, id=[i for ids in picks.values() for i in ids])
         free = units.join(done, "id", "left_anti").join(F.broadcast(aims), F.col("label") == F.col("c_"))
         score = F.aggregate(F.zip_with("u", "aim_", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
         best = free.groupBy("label").agg(F.max(F.struct(score.alias("score"), (-F.col("id")).alias("minus"), F.col("u"))).alias("b")).collect()
@@ -798,4 +808,4 @@ def _herding_by_jobs(samples: DataFrame, budget: int) -> DataFrame:
             picks[r.label].append(-r.b.minus)
             total[r.label] = total[r.label] + np.array(r.b.u)
     out = [(i, c, n + 1) for c, ids in picks.items() for n, i in enumerate(ids)]
-    return spark.createDataFrame(out, "id long, label long, rank int")
+    return _ranked(spark, out)

@@ -218,7 +218,7 @@ def normalized_graph(df: DataFrame, k: int, global_selection: bool) -> DataFrame
 
 
 def _as_columns(kernel: DataFrame) -> DataFrame:
-    return cut(kernel.select(F.col("dst").alias("i"), F.col("src").alias("j"), "w"))
+    return kernel.select(F.col("dst").alias("i"), F.col("src").alias("j"), "w")
 
 
 def _register_powers() -> None:
