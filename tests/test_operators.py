@@ -532,3 +532,19 @@ def test_probe_and_projection_equal_numpy(spark):
     out = {r.id: r for r in probe.project_2d(df, chosen).collect()}
     assert np.allclose([[out[i].x, out[i].y] for i in range(n)], plane)
     assert out[3].picked_by == ["a", "b"] and out[5].picked_by == ["a"] and out[4].picked_by is None
+
+
+def test_greedy_rounds_move_no_edges_and_deal_large_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    cells = [(int(i), int(j), float(rng.random())) for i in range(12) for j in range(12) if i < 2 or rng.random() < 0.3]
+    edges = spark.createDataFrame(cells, "i long, j long, w double")
+    nodes = spark.range(12).selectExpr("id", "0L AS label", "1.0D AS imp")
+    kernel = g.EdgeKernel(edges)
+    want = sorted(tuple(r) for r in g.greedy(kernel, nodes, 3, per_class=False).collect())
+    plan = kernel._with_state(kernel.edges)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    own = graph.hubs
+    monkeypatch.setattr(graph, "hubs", lambda edges: own(edges, 6))
+    split = g.EdgeKernel(edges)
+    assert {r.hub for r in split.large_rows.collect()} >= {0, 1}
+    assert sorted(tuple(r) for r in g.greedy(split, nodes, 3, per_class=False).collect()) == want
