@@ -302,13 +302,13 @@ def _(s, sf):
 
 
 _GEO_5 = (1 - 0.85**6) / 0.15
-#: Ten steps move values by more than the tolerance, so all of them are taken.
+#: All ten steps are taken: the ninth may move values by less than the tolerance, and the tenth still shows in six digits.
 _STEPS = ", ".join(f"x{i} AS MATERIALIZED ({_STEP.format(geo=_GEO_5, prev=f'x{i - 1}' if i > 1 else 'importance')})" for i in range(1, 10))
 
 
 @query("g8_propagate_importance_default", f"WITH {_KNN}{x.reach_sql(5)}, {x.IMPORTANCE}, {_STEPS} {_STEP.format(geo=_GEO_5, prev='x9')}", "importance")
 def _(s, sf):
-    return graph.propagate_importance(x.importance(s, sf), _adj(s, sf))
+    return graph.propagate_importance(x.importance(s, sf), _adj(s, sf), tol=0.0)
 
 
 _PR = "WITH RECURSIVE {base}, pr(it, id, x) AS (SELECT 0, id, 1.0::DOUBLE / (SELECT count(*) FROM samples) FROM samples UNION ALL (WITH c AS (SELECT * FROM pr), m AS (SELECT tr.dst AS id, sum(tr.w * c.x) AS y FROM tr JOIN c ON c.id = tr.src GROUP BY tr.dst) SELECT c.it + 1, c.id, 0.15::DOUBLE / (SELECT count(*) FROM samples) + 0.85::DOUBLE * coalesce(y, 0) FROM c LEFT JOIN m USING (id) WHERE c.it < 50)), gap AS (SELECT a.it, max(abs(a.x - b.x)) AS g FROM pr a JOIN pr b ON a.id = b.id AND b.it = a.it - 1 GROUP BY a.it) SELECT id, x AS importance FROM pr WHERE it = coalesce((SELECT min(it) - 1 FROM gap WHERE g < 1e-6), 50)"

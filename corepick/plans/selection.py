@@ -343,7 +343,7 @@ def _(s, sf):
     return sweep.selection_sweep(sources, ["greedy_importance"], [0.05], importances=[n for n, _ in _BY_IMPORTANCE])[0]
 
 
-#: Ten steps move values by more than the tolerance, so all of them are taken.
+#: All ten steps are taken, however little the last ones move.
 _SPREAD = ", ".join(f"x{i} AS MATERIALIZED (SELECT i.id, i.label, 0.5 * i.importance + 0.5 * coalesce(sum(r.w * x.importance), 0) / {(1 - 0.85**6) / 0.15} AS importance FROM x0 i LEFT JOIN reach r ON r.dst = i.id LEFT JOIN x{i - 1} x ON x.id = r.src GROUP BY i.id, i.label, i.importance)" for i in range(1, 11))
 
 
@@ -353,7 +353,7 @@ _SPREAD = ", ".join(f"x{i} AS MATERIALIZED (SELECT i.id, i.label, 0.5 * i.import
     "SELECT 'greedy_importance' AS method, 'none' AS embedding, 'local_density' AS importance, ratio, CAST(0 AS INTEGER) AS trial, id, label, rank FROM (" + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS ratio, * FROM ({_TOP.format(order='importance DESC', table='scored', b=f'(SELECT CAST(floor(floor(count(*) * {q}::DOUBLE) / count(DISTINCT label)) AS BIGINT) FROM scored)')})" for q in (0.05, 0.1)) + ")",
 )
 def _(s, sf):
-    return sweep.selection_sweep({"base": x.samples(s, sf)}, ["greedy_importance"], [0.05, 0.1], importances=["local_density"], propagate=True)[0]
+    return sweep.selection_sweep({"base": x.samples(s, sf)}, ["greedy_importance"], [0.05, 0.1], importances=["local_density"], propagate=True, tol=0.0)[0]
 
 
 @query("o2_resolve_dependencies", f"WITH {_SCORES}, {x.SAMPLES} SELECT 'base' AS source, count(*) AS n FROM samples UNION ALL SELECT 'trained', count(*) FROM scored")
