@@ -66,7 +66,8 @@ def dealt(df: DataFrame, *key: str) -> DataFrame:
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key) if key else df)
+        # sorted too, so that a merge join by the key sorts the other side only
+        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key) if key else df)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
@@ -170,11 +171,17 @@ def reachability(edges: DataFrame, nodes: DataFrame, walk: int = 5, gamma: float
 def reach_sum(p: DataFrame, x: DataFrame, walk: int, gamma: float, transposed: bool = False, split: DataFrame | None = None) -> DataFrame:
     """``id, x``: reachability (or its transpose) times the vector ``x``, by ``walk`` sparse products and never the matrix.
     ``split``: the hubs of a :func:`laid_out` matrix, for the transpose."""
-    total = step = x.select("id", "x")
-    for t in range(1, walk + 1):
-        step = vecmat(step, p, split) if transposed else matvec(p, step)
-        total = total.union(step.select("id", (F.col("x") * gamma**t).alias("x")))
-    return total.groupBy("id").agg(F.sum("x").alias("x"))
+    return walk_sum(p, x, [gamma**t for t in range(walk + 1)], transposed, split)
+
+
+def walk_sum(p: DataFrame, x: DataFrame, scale: list[float], transposed: bool = False, split: DataFrame | None = None) -> DataFrame:
+    """``id, x``: ``sum_t scale[t] P^t`` (or its transpose) times the vector ``x``, by Horner's rule: each product is planned once."""
+    part = lambda c: x.select("id", (F.col("x") * c).alias("x"))
+    total = part(scale[-1])
+    for c in scale[-2::-1]:
+        moved = vecmat(total, p, split) if transposed else matvec(p, total)
+        total = (moved.union(part(c)) if c else moved).groupBy("id").agg(F.sum("x").alias("x"))
+    return total
 
 
 def row_max_normalize(edges: DataFrame) -> DataFrame:
@@ -183,7 +190,7 @@ def row_max_normalize(edges: DataFrame) -> DataFrame:
 
 
 def propagate_importance(importance: DataFrame, edges: DataFrame, gamma: float = 0.85, iterations: int = 10, walk: int = 5, damping: float = 0.5, tol: float = 1e-6) -> DataFrame:
-    """``id, importance``: ``x <- d * importance + (1 - d) * (R / geo)' x`` until no value moves by ``tol``."""
+    """``id, importance``: ``x <- d * importance + (1 - d) * (R / geo)' x`` until no value moves by ``tol`` (0: all ``iterations``)."""
     p, split = laid_out(transition(edges))
     geo = (1 - gamma ** (walk + 1)) / (1 - gamma) if gamma < 1 else walk + 1.0
     start = cut(importance.select("id", F.col("importance").alias("x")))
@@ -192,7 +199,7 @@ def propagate_importance(importance: DataFrame, edges: DataFrame, gamma: float =
         moved = reach_sum(p, x, walk, gamma, transposed=True, split=split).withColumnRenamed("x", "y")
         new = start.select("id", F.col("x").alias("x0")).join(moved, "id", "left").select("id", (damping * F.col("x0") + (1 - damping) * F.coalesce("y", F.lit(0.0)) / geo).alias("x"))
         new = cut(new)
-        change = new.join(x.withColumnRenamed("x", "old"), "id").agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0]
+        change = new.join(x.withColumnRenamed("x", "old"), "id").agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0] if tol > 0 else math.inf
         x = new
         if change is None or change < tol:
             break

@@ -24,3 +24,40 @@ def test_blocks_are_multiplied_by_tiles():
     out = knn.by_tiles(work)(a, b)
     assert seen == [knn.TILE, knn.TILE, 3]
     assert out["id"].tolist() == list(range(n)) and np.allclose(out["sum"], (a["u"] @ b["u"].T).sum(1))
+
+
+def path(spark, n):
+    pairs = [(i, i + 1) for i in range(n - 1)]
+    return spark.createDataFrame([(a, b, 1.0) for i, j in pairs for a, b in ((i, j), (j, i))], "src long, dst long, w double")
+
+
+def test_spreading_takes_all_steps_without_a_tolerance(spark):
+    start = spark.createDataFrame([(0, 1.0), (1, 0.0), (2, 0.0)], "id long, importance double")
+    ten, nine, tenth = ({r.id: r.importance for r in graph.propagate_importance(start, path(spark, 3), iterations=n, tol=tol).collect()} for n, tol in ((10, 0.0), (9, 0.0), (10, 1.0)))
+    assert ten != nine and tenth != ten
+
+
+def test_a_walk_is_planned_once(spark):
+    p, _ = graph.laid_out(path(spark, 4))
+    x = spark.range(4).select("id", F.lit(1.0).alias("x"))
+    plan = graph.reach_sum(p, x, 5, 0.85, transposed=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 5
+
+
+def test_dealt_rows_are_sorted_for_merge_joins(spark):
+    p, _ = graph.laid_out(path(spark, 50))
+    assert "src" in p._jdf.queryExecution().executedPlan().outputOrdering().toString()
+
+
+def test_default_spreading_query_takes_ten_steps(spark):
+    from tests.test_queries import rows, run_sql
+
+    from corepick.plans import registry
+    import tests.test_queries as q
+
+    q.SF, before = "/root/testdata/sf0.01", q.SF
+    try:
+        name = "g8_propagate_importance_default"
+        assert rows(registry.queries()[name](spark, q.SF).toPandas()) == rows(run_sql(registry.oracle_sql()[name]))
+    finally:
+        q.SF = before
