@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corepick.operators import graph, greedy, knn, methods, sweep
+from corepick.operators import graph, greedy, knn, methods
 
 
 def vectors(spark, n, classes=2, width=8):
@@ -61,3 +61,28 @@ def test_default_spreading_query_takes_ten_steps(spark):
         assert rows(registry.queries()[name](spark, q.SF).toPandas()) == rows(run_sql(registry.oracle_sql()[name]))
     finally:
         q.SF = before
+
+
+def as_map(edges):
+    return {(r.src, r.dst): r.w for r in edges.collect()}
+
+
+def test_matrix_rows_in_tasks_equal_joins(spark, monkeypatch):
+    e = path(spark, 7).union(spark.createDataFrame([(0, 3, 0.5), (3, 0, 0.5), (9, 9, 1.0)], "src long, dst long, w double"))
+    nodes, sym = spark.range(9), graph.sym_normalize(e)
+    make = lambda: [as_map(x) for x in (graph.power_sum_kernel(sym, 3), graph.heat_kernel(sym, nodes), graph.reachability(e, nodes, 4), graph.reachability(e, nodes, 4, row_max=True))]
+    in_tasks = make()
+    plan = graph.reachability(e, nodes, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 0)
+    for a, b in zip(in_tasks, make()):
+        assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-12
+
+
+@pytest.mark.parametrize("hops", [3, 5])
+def test_power_sums_are_picked_from_without_their_matrix(spark, monkeypatch, hops):
+    df = vectors(spark, 40)
+    sym = methods.normalized_graph(df, 4, False)
+    want = greedy.greedy(greedy.EdgeKernel(methods._as_columns(graph.power_sum_kernel(sym, hops))), methods._nodes(df, None), 4).collect()
+    monkeypatch.setattr(graph, "power_sum_kernel", lambda *a: pytest.fail("the matrix was built"))
+    assert sorted(methods.select(df, f"graph_a{hops}", 4, k=4).collect()) == sorted(want)
