@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corepick.functions.vectors import l2_normalize
+from corepick.functions.vectors import dot, l2_normalize
 from corepick.operators.graph import BROADCAST_EDGES, SmallMatrix, add, by_row_max, dealt, heat_scale, hubs, laid_out, matmul, to_parts, walk_sum
 from corepick.operators.knn import Block, added, blocked, by_tiles, unit_vectors
 from corepick.operators.runtime import cut
@@ -575,18 +575,25 @@ class CosineDistance:
 
 
 class HopDistance:
-    """``1 - cosine`` of pairs within some hops of a graph, ``far`` of all others. ``edges(src, dst, d)``"""
+    """``1 - cosine`` of pairs within some hops of a graph, ``far`` of all others. ``pairs(src, dst)``, ``units(id, u)``: cosines are
+    computed for pairs of picks alone, so that no vector moves for each of all pairs."""
 
-    def __init__(self, edges: DataFrame, far: float = 2.0):
-        self.edges, self.far = cut(edges), far
+    def __init__(self, pairs: DataFrame, units: DataFrame, far: float = 2.0):
+        self.pairs, self.units, self.far = cut(pairs.select("src", "dst")), cut(units.select("id", "u")), far
 
     def among(self, ids: list[int]) -> Callable[[int, int], float]:
-        d = {(r.src, r.dst): r.d for r in self.edges.filter(F.col("src").isin(ids) & F.col("dst").isin(ids)).collect()}
-        return lambda a, b: d.get((a, b), self.far)
+        some = _small(self.pairs.sparkSession, j=ids)
+        of_ids = self.pairs.join(F.broadcast(some), F.col("src") == F.col("j"), "left_semi").join(F.broadcast(some), F.col("dst") == F.col("j"), "left_semi")
+        near = {(r.src, r.dst) for r in of_ids.collect()}
+        u = {r.id: np.array(r.u) for r in self.units.join(F.broadcast(some), F.col("id") == F.col("j"), "left_semi").collect()}
+        return lambda a, b: float(1 - u[a] @ u[b]) if (a, b) in near else self.far
 
     def nearest_of(self, state: DataFrame, picked: list[int]) -> DataFrame:
-        near = self.edges.filter(F.col("src").isin(picked)).groupBy(F.col("dst").alias("id")).agg(F.min("d").alias("d"))
-        classes = state.filter(F.col("id").isin(picked)).select(F.col("label").alias("pl")).distinct()
+        some = F.broadcast(_small(self.pairs.sparkSession, j=picked))
+        of_picks = F.broadcast(self.units.join(some, F.col("id") == F.col("j"), "left_semi").select(F.col("id").alias("src"), F.col("u").alias("pu")))
+        near = self.pairs.join(of_picks, "src").join(self.units, F.col("dst") == F.col("id"))
+        near = near.select("id", (1 - dot(F.col("pu"), F.col("u"))).alias("d")).groupBy("id").agg(F.min("d").alias("d"))
+        classes = state.join(some, F.col("id") == F.col("j"), "left_semi").select(F.col("label").alias("pl")).distinct()
         reached = state.join(F.broadcast(classes), F.col("label") == F.col("pl"), "left_semi").select("id")
         return reached.join(near, "id", "left").select("id", F.least(F.coalesce("d", F.lit(self.far)), F.lit(self.far)).alias("d"))
 

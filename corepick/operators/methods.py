@@ -202,8 +202,8 @@ def graph_fps(df, budget, importance, seed, k, hops):
     else:
         best = importance.groupBy("label").agg(F.max(F.struct("importance", (-F.col("id")).alias("m"))).alias("b"))
         first = best.select((-F.col("b.m")).alias("id"), "label")
-    edges = hop_cosines(df, k, hops).select("src", "dst", (1 - F.col("cos")).alias("d"))
-    return g.farthest_points(g.HopDistance(edges), df.select("id", "label"), budget, first)
+    pairs = graph.k_hop_neighbors(neighbours(df, k, by_label=True), hops)
+    return g.farthest_points(g.HopDistance(pairs, unit_vectors(df)), df.select("id", "label"), budget, first)
 
 
 @register_method("graph_facility", ("v",), "optional", k=10, hops=2)

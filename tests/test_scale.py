@@ -86,3 +86,17 @@ def test_power_sums_are_picked_from_without_their_matrix(spark, monkeypatch, hop
     want = greedy.greedy(greedy.EdgeKernel(methods._as_columns(graph.power_sum_kernel(sym, hops))), methods._nodes(df, None), 4).collect()
     monkeypatch.setattr(graph, "power_sum_kernel", lambda *a: pytest.fail("the matrix was built"))
     assert sorted(methods.select(df, f"graph_a{hops}", 4, k=4).collect()) == sorted(want)
+
+
+def test_graph_fps_moves_no_vectors_for_all_pairs(spark, monkeypatch):
+    df = vectors(spark, 30)
+    edges = {(r.src, r.dst): 1 - r.cos for r in methods.hop_cosines(df, 3, 2).collect()}
+    monkeypatch.setattr(methods, "hop_cosines", lambda *a: pytest.fail("all pairs were measured"))
+    got = {}
+    for r in sorted(methods.select(df, "graph_fps", 5, k=3).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.label, []).append(r.id)
+    for c, picks in got.items():
+        d = {i: 2.0 for i in range(30) if i % 2 == c and i != picks[0]}
+        for last, then in zip(picks, picks[1:]):
+            d = {i: min(x, edges.get((last, i), 2.0)) for i, x in d.items() if i != last}
+            assert then == min(d, key=lambda i: (-round(d[i], 12), i))
