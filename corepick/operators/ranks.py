@@ -44,5 +44,6 @@ def percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     between = []
     for i, share in enumerate(shares):
         at, low, high = F.lit(share) * (F.col("n_") - 1), F.col(f"v{2 * i}_"), F.col(f"v{2 * i + 1}_")
-        between.append(F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
+        # equal neighbours are the percentile itself; their weighted sum may be off in the last digit, so that they would lie beyond it
+        between.append(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
     return found.select(F.array(*between).alias("p"))

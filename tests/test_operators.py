@@ -398,6 +398,14 @@ def test_ranks_without_a_task_that_sorts_a_class(spark):
     assert not re.search(r"windowspecdefinition\(label#\d+L?, h_", plan) and "h_" in plan
 
 
+def test_no_value_lies_beyond_a_percentile_that_equals_it(spark):
+    # 0.2 * 6.44 + 0.8 * 6.44 is more than 6.44, and 0.7 * 114.3 + 0.3 * 114.3 less
+    for n, x in ((3, 6.44), (8, 114.3)):
+        row = dynamics.describe_scores(spark.createDataFrame([(x,)] * n, "score double")).first()
+        assert [row.p10, row.p25, row.p50, row.p75, row.p90, row.p99] == [x] * 6
+        assert (row.above_p90, row.below_p10) == (0, 0)
+
+
 def test_hubs_are_split(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUB", 50)
     n = 400  # a star; its centre is 0
