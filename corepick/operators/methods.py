@@ -7,6 +7,8 @@ from collections.abc import Callable
 from contextvars import ContextVar
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +17,7 @@ from corepick.functions import scores
 from corepick.functions.vectors import sq_l2
 from corepick.operators import graph
 from corepick.operators import greedy as g
-from corepick.operators.knn import density_of, knn_graph, unit_vectors
+from corepick.operators.knn import BLOCK, PAIRS, density_of, knn_graph, unit_vectors
 from corepick.operators.metrics import class_centroids
 from corepick.operators.runtime import cut
 
@@ -186,12 +188,34 @@ def herding(df, budget, importance, seed):
     return g.herding(df, budget)
 
 
-def hop_cosines(df: DataFrame, k: int, hops: int) -> DataFrame:
-    """``src, dst, cos`` of pairs within some hops of the class graphs."""
+def hop_cosines(df: DataFrame, k: int, hops: int, block: int = BLOCK) -> DataFrame:
+    """``src, dst, cos`` of pairs within some hops of the class graphs.
+
+    Rows of a class are dealt into blocks, and a vector moves once for each block of its class, not for each pair. A task holds
+    the vectors of two blocks; of two pairs that differ in direction one moves.
+    """
     pairs = graph.k_hop_neighbors(neighbours(df, k, by_label=True), hops)
-    u = unit_vectors(df)
-    both = pairs.join(u.select(F.col("id").alias("src"), F.col("u").alias("a")), "src").join(u.select(F.col("id").alias("dst"), F.col("u").alias("b")), "dst")
-    return cut(both.select("src", "dst", F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("cos")))
+    u = cut(unit_vectors(df).filter("u IS NOT NULL"))
+    sizes = u.groupBy(F.col("label").alias("label_s")).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    u = u.join(sizes, F.col("label").eqNullSafe(F.col("label_s"))).drop("label_s")
+    at = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    pairs = pairs.filter("src <= dst").join(u.select(F.col("id").alias("src"), "label", "blocks"), "src")
+    pairs = pairs.select(F.col("label").alias("scope"), F.least(at("src"), at("dst")).alias("lo"), F.greatest(at("src"), at("dst")).alias("hi"), "src", "dst")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    u = u.select("label", "id", "u", at("id").alias("at"), other.alias("other"))
+    u = u.select(F.col("label").alias("scope"), F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "id", "u")
+
+    def measured(some: pa.Table, vectors: pa.Table) -> pa.Table:
+        vectors = vectors.sort_by("id").combine_chunks()
+        ids, v = vectors["id"].to_numpy(), vectors["u"].combine_chunks().flatten().to_numpy().reshape(len(vectors), -1)
+        src, dst = some["src"].to_numpy(), some["dst"].to_numpy()
+        a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+        cos = np.concatenate([np.empty(0), *((v[a[i : i + PAIRS]] * v[b[i : i + PAIRS]]).sum(1) for i in range(0, len(a), PAIRS))])
+        back = src != dst
+        return pa.table({"src": np.concatenate([src, dst[back]]), "dst": np.concatenate([dst, src[back]]), "cos": np.concatenate([cos, cos[back]])})
+
+    key = ("scope", "lo", "hi")
+    return cut(pairs.groupBy(*key).cogroup(u.groupBy(*key)).applyInArrow(measured, "src long, dst long, cos double"))
 
 
 @register_method("graph_fps", ("v",), "optional", k=10, hops=2)

@@ -587,3 +587,15 @@ def test_greedy_rounds_move_no_edges_and_deal_large_rows(spark, monkeypatch):
     split = g.EdgeKernel(edges)
     assert {r.hub for r in split.large_rows.collect()} >= {0, 1}
     assert sorted(tuple(r) for r in g.greedy(split, nodes, 3, per_class=False).collect()) == want
+
+
+def test_hop_cosines_over_several_blocks(spark):
+    rng = np.random.default_rng(10)
+    n = 60
+    v = rng.normal(size=(n, 5))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    label = [None if i % 3 == 0 else i % 2 for i in range(n)]
+    df = spark.createDataFrame([(i, label[i], v[i].tolist()) for i in range(n)] + [(n, 1, None)], "id long, label long, v array<double>")
+    want = {tuple(r) for r in graph.k_hop_neighbors(knn.knn_graph(df, 3, by_label=True), 2).collect()}
+    got = {(r.src, r.dst): r.cos for r in methods.hop_cosines(df, 3, 2, block=8).collect()}
+    assert set(got) == want and all(abs(c - u[i] @ u[j]) < 1e-12 for (i, j), c in got.items())
