@@ -26,6 +26,29 @@ def test_blocks_are_multiplied_by_tiles():
     assert out["id"].tolist() == list(range(n)) and np.allclose(out["sum"], (a["u"] @ b["u"].T).sum(1))
 
 
+def test_cells_of_the_grid_of_blocks_are_dealt_evenly(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else partitions without rows are left out
+    try:
+        for by_label in (False, True):
+            u = vectors(spark, 600, 3).withColumnRenamed("v", "u")
+            work = lambda a, b: {"id": a["id"][:1], "pairs": np.array([len(a["id"]) * len(b["id"])])}
+            out = knn.blocked(u, u, work, "id long, pairs long", by_label, block=10)
+            dealt = [r.n for r in out.groupBy(F.spark_partition_id().alias("to")).agg(F.sum("pairs").alias("n")).collect()]
+            assert sum(dealt) == (3 * 200**2 if by_label else 600**2)
+            if not by_label:
+                parts = out.rdd.getNumPartitions()
+                assert len(dealt) == parts and max(dealt) < 2.5 * 600**2 / parts
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_classes_share_the_cells_of_the_grid(spark):
+    many = vectors(spark, 400, 20).select("id", F.col("label").alias("scope"), F.col("v").alias("u"))
+    sizes, tasks = knn._sizes(many, many, 4, 32).collect(), 32
+    assert len(sizes) == 20 and sum(r.strips * r.slabs for r in sizes) <= 4 * tasks
+    assert all(1 <= r.strips <= r.lefts and 1 <= r.slabs <= r.rights for r in sizes)
+
+
 def path(spark, n):
     pairs = [(i, i + 1) for i in range(n - 1)]
     return spark.createDataFrame([(a, b, 1.0) for i, j in pairs for a, b in ((i, j), (j, i))], "src long, dst long, w double")
