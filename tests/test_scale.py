@@ -35,8 +35,9 @@ def test_cells_of_the_grid_of_blocks_are_dealt_evenly(spark):
             out = knn.blocked(u, u, work, "id long, pairs long", by_label, block=10)
             dealt = [r.n for r in out.groupBy(F.spark_partition_id().alias("to")).agg(F.sum("pairs").alias("n")).collect()]
             assert sum(dealt) == (3 * 200**2 if by_label else 600**2)
+            parts = out.rdd.getNumPartitions()
+            assert len(dealt) > 2 * spark.sparkContext.defaultParallelism  # not dealt anew for the join, into fewer
             if not by_label:
-                parts = out.rdd.getNumPartitions()
                 assert len(dealt) == parts and max(dealt) < 2.5 * 600**2 / parts
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
