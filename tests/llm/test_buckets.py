@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from corepick.llm import buckets
 from tests.llm.test_near import plain_distance
@@ -34,3 +35,33 @@ def test_alike_equals_plain_distance():
 def test_in_common_counts_repeats():
     got = buckets.in_common(np.array([1, 1, 2, 5], np.uint64), np.array([1, 1, 1, 5, 7], np.uint64))
     assert got == 3 and buckets.in_common(np.empty(0, np.uint64), np.array([1], np.uint64)) == 0
+
+
+def test_unlike_items_of_a_bucket_meet_many_pairs_at_once_and_each_pair_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    hashes, n = rng.integers(0, 1 << 63, (300, 40)).astype(np.uint64), 300
+    fp = pa.array(buckets.prints_of(hashes.ravel(), np.full(n, 40)), pa.binary())
+    met = []
+    real = buckets.Prints.may_be_like
+    monkeypatch.setattr(buckets.Prints, "may_be_like", lambda self, a, b: met.append(list(zip(a.tolist(), b.tolist()))) or real(self, a, b))
+    root = buckets.bucket_parts(buckets.Prints(fp, np.full(n, 40), 0.8), np.array([200, 300]))
+    assert root.tolist() == list(range(n))
+    pairs = [x for some in met[1:] for x in some]
+    within = {(i, j) for a, b in ((0, 200), (200, 300)) for i in range(a, b) for j in range(i + 1, b)}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == within
+    assert len(met) < 20  # one call for each distance before: 200
+
+
+def test_the_bound_by_words_in_common_changes_no_answer(monkeypatch):
+    rnd, seen = random.Random(3), Counter()
+    for _ in range(200):
+        a = rnd.choices(range(60), k=rnd.randrange(30, 90))
+        b = [x for x in a if rnd.random() > 0.1] + rnd.choices(range(60), k=rnd.randrange(12))
+        x, y = (buckets.mix(np.array(v, np.uint64) + np.uint64(5)) for v in (a, b))
+        got = []
+        for few in (0, 1000):
+            monkeypatch.setattr(buckets, "FEW", few)
+            got.append(buckets.alike(x, y, 0.8))
+        seen[got[0]] += 1
+        assert got[0] == got[1]
+    assert min(seen.values()) > 20

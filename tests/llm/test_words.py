@@ -35,3 +35,12 @@ def test_a_very_long_text_needs_no_table_of_its_length():
 
 def test_no_texts():
     assert len(Words([]).hashes) == 0 and len(Words(["", " "]).hashes) == 0
+
+
+def test_code_points_below_256_take_a_byte_each_and_have_the_same_words():
+    texts = ["".join(map(chr, range(256))), "Straße À la CARTE\n× ½_µª", "", "end\n"]
+    got, wide = Words(texts), Words([*texts, "Ж"])
+    assert got.points.itemsize == 1 and wide.points.itemsize == 4
+    assert got.points.tolist() == wide.points[: len(got.points)].tolist() and got.hashes.tolist() == wide.hashes[:-1].tolist()
+    assert got.per_text().tolist() == wide.per_text()[:-1].tolist()
+    assert [x.tolist() for x in got.lines()] == [x[:-1].tolist() for x in wide.lines()]
