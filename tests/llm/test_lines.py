@@ -121,3 +121,15 @@ def test_short_lines_repeat_too(spark):
     df = spark.createDataFrame([(1, "Read more\n{\nHome"), (2, "read more!\n{\nother"), (3, "Home\nread less")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in fl.dedup_lines(df).collect()}
     assert got == {1: "Read more\n{\nHome", 2: "{\nother", 3: "read less"}
+
+
+def test_words_of_every_document_are_counted(spark):
+    """Words beyond a sample of documents or a number of words are ranked too, and the common ones of all documents are told."""
+    docs = [(i, " ".join([f"w{i}"] * (1 + i % 7) + ["the"] * 3)) for i in range(60_000)] + [(60_000, None), (60_001, "")]
+    ranks = fl.word_ranks(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
+    places = lambda words: np.array([Words([w]).hashes[0] for w in words]) >> np.uint64(64 - fl.RANK_BITS)
+    words = [f"w{i}" for i in range(60_000)]
+    want = np.zeros(1 << fl.RANK_BITS, np.int64)
+    np.add.at(want, places([*words, "the"]), [*(1 + i % 7 for i in range(60_000)), 180_000])
+    assert (np.diff(ranks[np.argsort(want, kind="stable")].astype(int)) >= 0).all()
+    assert (ranks[want > 1] > 0).all() and np.flatnonzero(ranks >> 15).tolist() == places(["the"]).tolist()
