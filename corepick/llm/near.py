@@ -54,10 +54,13 @@ def labelled_kmers(flat: np.ndarray, lengths: np.ndarray, k: int = K) -> tuple[n
     for j in range(k):
         at = first + j
         gram = mix(gram + np.where(at < end, flat[np.minimum(at, len(flat) - 1)], np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j))
-    # the label is the number of the occurrence within its text; a stable sort keeps text order
+    # the label is the number of the occurrence within its text, in text order; few occur again, so only those are put in it
     own = mix(gram ^ mix(owner.astype(np.uint64)))
-    order = np.argsort(own, kind="stable")
+    order = np.argsort(own)
     new = np.concatenate([[True], own[order][1:] != own[order][:-1]])
+    if len(again := np.flatnonzero(~(new & np.append(new[1:], True)))):
+        some = order[again]
+        order[again] = some[np.lexsort((some, own[some]))]
     label = np.empty(len(order), np.uint64)
     label[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     return mix(gram + label * np.uint64(0xD6E8FEB86659FD93)), owner
@@ -67,7 +70,12 @@ def sketch(flat: np.ndarray, lengths: np.ndarray, k: int = K, picks: int = PICKS
     """The keys of texts, given by the hashes of all words and how many each text has, at least one; and how many each has."""
     gram, owner = labelled_kmers(flat, lengths, k)
     sample = owner * keys + (mix(gram + np.uint64(1)) % np.uint64(keys)).astype(np.int64)
-    order = np.lexsort((gram, sample))
+    # by sample, then by hash, as far as both go into one number
+    high = np.uint64(int(sample.max()).bit_length())
+    both = (sample.astype(np.uint64) << (np.uint64(64) - high) if high else np.zeros(len(gram), np.uint64)) | gram >> high
+    order = np.argsort(both)
+    if (both[order][1:] == both[order][:-1]).any():
+        order = np.lexsort((gram, sample))
     start = np.flatnonzero(np.concatenate([[True], sample[order][1:] != sample[order][:-1]]))
     rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
     chosen = np.sort(order[rank < picks])  # in text order

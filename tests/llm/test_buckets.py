@@ -65,3 +65,22 @@ def test_the_bound_by_words_in_common_changes_no_answer(monkeypatch):
         seen[got[0]] += 1
         assert got[0] == got[1]
     assert min(seen.values()) > 20
+
+
+def test_what_an_item_says_twice_does_not_cancel_out_and_no_link_is_dropped():
+    rng, rnd = np.random.default_rng(8), random.Random(8)
+    hashes = rng.integers(0, 1 << 63, (2, 200)).astype(np.uint64)
+    twice = np.concatenate([hashes[0], hashes[0], hashes[1], hashes[1]])
+    prints = buckets.Prints(pa.array(buckets.prints_of(twice, np.array([400, 400])), pa.binary()), np.array([400, 400]), 0.8)
+    assert not prints.may_be_like(np.array([0]), np.array([1]))[0]
+    for _ in range(300):
+        a = rnd.choices(range(rnd.choice([1, 2, 8, 60])), k=rnd.randrange(2, 150))
+        b, most = a[:], buckets.edits_allowed(len(a), 0.8)
+        for _ in range(rnd.randrange(most + 1)):
+            i = rnd.randrange(len(b) + 1)
+            b[i : i + rnd.randrange(2)] = rnd.choices(range(70), k=rnd.randrange(2))
+        if not b or plain_distance(a, b) > buckets.edits_allowed(max(len(a), len(b)), 0.8):
+            continue
+        both, sizes = [buckets.mix(np.array(v, np.uint64) + np.uint64(5)) for v in (a, b)], np.array([len(a), len(b)])
+        prints = buckets.Prints(pa.array(buckets.prints_of(np.concatenate(both), sizes), pa.binary()), sizes, 0.8)
+        assert prints.may_be_like(np.array([0]), np.array([1]))[0]
