@@ -3,7 +3,7 @@
 A word is held as two contiguous rows: the ids of its parts (their boundaries lie between neighbours) and the merge rank of
 each adjacent pair. One step scans the ranks for the leftmost minimum, deletes that boundary and refreshes the ranks left
 and right of it. The new words of some texts take these steps side by side as the rows of numpy matrices; words once met
-are kept, up to ``CACHED`` of them. Words of more than ``LONG_WORD`` bytes keep the same state in linked lists and find the
+are kept, ``CACHED`` of them and those met again since (:class:`Kept`). Words of more than ``LONG_WORD`` bytes keep the same state in linked lists and find the
 minimum through a heap, which gives the same merges without a quadratic scan.
 
 Nulls: a null text is encoded as the empty one, null ids decode to the empty text. Repeated rows and empty tables need no
@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,11 @@ from corepick.llm.common import fresh, small_batches, table
 
 #: White space in the sense of the tokenizer's patterns: Unicode's White_Space property.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The same for the patterns of Arrow.
+WHITE_RUN = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 LONG_WORD = 256
-CACHED = 1 << 16
-CHARS_AT_ONCE = 1 << 18
+CACHED = 1 << 15
+BYTES_AT_ONCE = 1 << 20
 NO_MERGE = np.int32(np.iinfo(np.int32).max)
 #: Characters that are neither letters, digits nor white space, without the apostrophe.
 PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -64,6 +67,26 @@ def unicode_class(major: str) -> str:
     return "".join(out)
 
 
+class Kept(dict):
+    """Up to ``most`` entries of late (and what one call adds), and the ``most`` before them as long as they are asked for again: rare
+    words come and go, and the common ones stay."""
+
+    def __init__(self, most: int):
+        self.most, self.before = most, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.before[key]
+        return value
+
+    def unknown(self, keys: set) -> set:
+        return keys.difference(self).difference(self.before)
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.before = dict(self)
+            self.clear()
+
+
 class WordBpe:
     """A tokenizer file of the word BPE kind: NFC, lower case, white space dropped, byte alphabet, word-end suffix."""
 
@@ -90,8 +113,10 @@ class WordBpe:
         self.word = re.compile(pattern).findall
         self.chunks = re.compile(f"[^{WHITE}]+").findall
         self.specials = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        #: The ids of chunks and of words, as the bytes of 32-bit numbers.
+        self.cache, self.words = Kept(CACHED), {}
+        named = [self.tokens.get(i) for i in range(max(self.tokens) + 1)]
+        self.names = pa.array(named, pa.string())
 
     def encode(self, text: str) -> array:
         return self.encode_many([text])[0]
@@ -99,21 +124,48 @@ class WordBpe:
     def encode_many(self, texts: list[str]) -> list[array]:
         """ids of each text; the words that are new in any of them are merged together."""
         pieces = [self.specials.split(t) if self.specials and any(a in t for a in self.added) else [t] for t in texts]
-        chunks = [[self.chunks(p) for p in ps[::2]] for ps in pieces]
-        self._learn({c for cs in chunks for x in cs for c in x}.difference(self.cache))
-        out = []
+        chunks = [[self._chunks(p) for p in ps[::2]] for ps in pieces]
+        self._learn(self.cache.unknown(set().union(*chain.from_iterable(chunks))))
+        out, ids_of = [], self.cache.__getitem__
         for ps, cs in zip(pieces, chunks):
             ids = array("i")
             for k, x in enumerate(cs):
                 if k:
                     ids.append(self.added[ps[2 * k - 1]])
-                ids.extend(chain.from_iterable(map(self.cache.__getitem__, x)))
+                ids.frombytes(b"".join(map(ids_of, x)))
             out.append(ids)
-        for kept in (self.cache, self.words):
-            if len(kept) > CACHED:
-                kept.clear()
+        self._forget()
         return out
 
+    def encode_column(self, texts: pa.Array) -> pa.ListArray:
+        """ids of each text of an array without nulls; what is between white space is looked up once however often it occurs."""
+        if any(pc.any(pc.match_substring(texts, a)).as_py() for a in self.added):
+            ids = self.encode_many(texts.to_pylist())
+            flat = pa.array(np.frombuffer(b"".join(i.tobytes() for i in ids), np.int32))
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), flat)
+        chunks = pc.split_pattern_regex(texts, WHITE_RUN)
+        flat = chunks.flatten().dictionary_encode()
+        known = flat.dictionary.to_pylist()
+        self._learn(self.cache.unknown({*known}))
+        known = [self.cache[c] for c in known]
+        self._forget()
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at = flat.indices.to_numpy()
+        start, many = (np.cumsum(size) - size)[at], size[at]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        place = np.arange(ends[-1]) + np.repeat(start - ends[:-1], many)
+        first = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+        return pa.ListArray.from_arrays(pa.array(ends[first], pa.int32()), pa.array(np.frombuffer(b"".join(known), np.int32)[place]))
+
+    def _forget(self) -> None:
+        self.cache.age()
+        if len(self.words) > CACHED:
+            self.words.clear()
+
+    def _chunks(self, text: str) -> list[str]:
+        """The parts of a text between white space; Python splits at four control characters more."""
+        return self.chunks(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space, as the library does for a file without a decoder; unknown ids give nothing."""
         try:
@@ -121,35 +173,36 @@ class WordBpe:
         except KeyError:
             return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
-    def _split(self, chunk: str) -> list[str]:
-        """The words of a text without white space: most often letters with punctuation behind, which needs no pattern."""
-        chunk = unicodedata.normalize("NFC", chunk)
-        chunk = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
-        body = chunk.rstrip(PUNCTUATION)
-        if body.isalpha():
-            return [body, chunk[len(body) :]] if len(body) < len(chunk) else [body]
-        return self.word(chunk)
+    def _plain(self, chunks: list[str]) -> list[str]:
+        """The chunks normalised, in lower case; all at once, as a line break joins with no character."""
+        text = unicodedata.normalize("NFC", "\n".join(chunks))
+        return ("".join(c.lower() for c in text) if "Σ" in text else text.lower()).split("\n")
 
     def _learn(self, chunks: set[str]) -> None:
-        split = {c: self._split(c) for c in chunks}
-        new = list({w for ws in split.values() for w in ws}.difference(self.words))
-        self.words.update(zip(new, self._merge([w.encode() for w in new])))
-        words = self.words
-        self.cache.update((c, words[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(words.__getitem__, ws)))) for c, ws in split.items())
-
-    def _merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(words)
+        if not chunks:
+            return
+        chunks, words = list(chunks), self.words
+        plain = self._plain(chunks)
+        # most often letters with punctuation behind, which need no pattern
+        body = [c.rstrip(PUNCTUATION) for c in plain]
+        split = [((b,) if len(b) == len(c) else (b, c[len(b) :])) if b.isalpha() else self.word(c) for b, c in zip(body, plain)]
+        new = list(set().union(*split).difference(words))
+        words.update(zip(new, self._merge([w.encode() for w in new])))
+        self.cache.update((c, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for c, ws in zip(chunks, split))
+
+    def _merge(self, words: list[bytes]) -> list[bytes]:
+        out = [b""] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         least = 0
         for most in (8, 12, 16, 24, 48, 96, LONG_WORD):
             at = np.flatnonzero((lengths > least) & (lengths <= most))
             for k in range(0, len(at), 1 << 14):
                 some = at[k : k + (1 << 14)].tolist()
-                for i, ids in zip(some, self._scan([words[i] for i in some])):
+                for i, ids in zip(some, self._scanned([words[i] for i in some])):
                     out[i] = ids
             least = most
         for i in np.flatnonzero(lengths > LONG_WORD).tolist():
-            out[i] = tuple(self._heap(words[i]))
+            out[i] = array("i", self._heap(words[i])).tobytes()
         return out
 
     def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -158,6 +211,9 @@ class WordBpe:
         return np.where(self.keys[at] == pair, self.ranks[at], NO_MERGE)
 
     def _scan(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        return [tuple(array("i", ids)) for ids in self._scanned(words)]
+
+    def _scanned(self, words: list[bytes]) -> list[bytes]:
         """Words of up to LONG_WORD bytes side by side, a row of part ids and a row of ranks each."""
         count = np.fromiter(map(len, words), np.int64, len(words))
         width = int(count.max())
@@ -170,14 +226,15 @@ class WordBpe:
         if width > 1:
             inside = place[1:] < count[:, None]
             ranks[:, :-1][inside] = self._rank_of(parts[:, :-1][inside], parts[:, 1:][inside])
-        out: list[tuple[int, ...]] = [()] * len(words)
+        out = [b""] * len(words)
         while True:
             at = ranks.argmin(1)
             least = ranks[np.arange(len(rows)), at]
             done = least == NO_MERGE
             if done.any():
-                for i, n, ids in zip(rows[done].tolist(), count[done].tolist(), parts[done].tolist()):
-                    out[i] = tuple(ids[:n])
+                raw = parts[done].tobytes()
+                for k, (i, n) in enumerate(zip(rows[done].tolist(), count[done].tolist())):
+                    out[i] = raw[4 * width * k : 4 * (width * k + n)]
                 if done.all():
                     return out
                 going = ~done
@@ -217,17 +274,15 @@ class WordBpe:
         return [p for p, keep in zip(parts, alive) if keep]
 
 
-def slices(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts in lists of about CHARS_AT_ONCE characters."""
-    some, size = [], 0
-    for t in texts:
-        some.append(t.as_py() or "")
-        size += len(some[-1])
-        if size > CHARS_AT_ONCE:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts, empty for null, in arrays of about BYTES_AT_ONCE bytes."""
+    texts = pc.fill_null(texts, "")
+    ends, start = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + BYTES_AT_ONCE)))
+        yield texts.slice(start, end - start)
+        start = end
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -271,19 +326,17 @@ class BpeTokenizer:
 
 
 def _encoded(bpe: WordBpe, texts: pa.Array) -> pa.Array:
-    flat, ends = array("i"), [0]
-    for some in slices(texts):
-        for ids in bpe.encode_many(some):
-            flat.extend(ids)
-            ends.append(len(flat))
-    values = pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+    done = [bpe.encode_column(some) for some in slices(texts)]
+    return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int32()))
 
 
 def _decoded(bpe: WordBpe, rows: pa.Array) -> pa.Array:
-    ids, ends = rows.flatten(), np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-    starts = [0, *ends[:-1]] if ends else []
-    return pa.array((bpe.decode(ids.slice(a, b - a).to_numpy(zero_copy_only=False).tolist()) for a, b in zip(starts, ends)), pa.string())
+    ids, ends = rows.flatten(), np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    known = not ids.null_count and (not len(ids) or 0 <= pc.min(ids).as_py() and pc.max(ids).as_py() < len(bpe.names))
+    if known and not (names := bpe.names.take(ids)).null_count:
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), names), " ")
+    ends = ends.tolist()
+    return pa.array((bpe.decode(ids.slice(a, b - a).to_pylist()) for a, b in zip([0, *ends], ends)), pa.string())
 
 
 def _model(key: str, spec) -> WordBpe:

@@ -65,3 +65,22 @@ def test_query_on_nulls_repeats_and_clashing_columns(spark, library, tmp_path):
     both = docs.select(one.round_trip(F.col("text")).alias("x")).select("x.*").collect()
     assert sorted((r.ids, r.back) for r in apart.collect()) == sorted(map(tuple, both)) and {r.none for r in apart.collect()} == {""}
     assert bpe.encode_documents(docs, PATH).filter(F.size("token_ids") > 0).count() == 3
+
+
+def test_whole_columns_equal_single_texts():
+    ours, rnd = model(), random.Random(9)
+    alphabet = ["a", "B", "th", "ing", " ", "\n", "\x1c", "\x1f", "\x85", "\u2003", "\u3000", "'s", "1", "é", "Σ", "İ", "\u0301", "!", "&&", "<|"]
+    for extra in ([], ["<|endoftext|>"]):
+        texts = ["".join(rnd.choices(alphabet + extra, k=rnd.randrange(60))) for _ in range(2000)] + ["", " ", "x" * 5000, None]
+        got = bpe._encoded(ours, bpe.pa.array(texts).slice(3))
+        assert got.to_pylist() == [list(model_ids) for model_ids in model().encode_many([t or "" for t in texts[3:]])]
+
+
+def test_common_words_are_merged_once_however_many_rare_ones_come(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 50)
+    ours, merged = model(), []
+    real = ours._merge
+    monkeypatch.setattr(ours, "_merge", lambda words: merged.extend(words) or real(words))
+    for i in range(20):
+        ours.encode_many([f"the common. The {' '.join(f'rare{i}x{k}' for k in range(60))}"])
+    assert merged.count(b"the") == merged.count(b"common") == 1
