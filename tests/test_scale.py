@@ -1,5 +1,7 @@
 """What bounds the work and memory of tasks on larger tables."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +146,14 @@ def test_bounds_of_influence_know_the_entry_that_divides_a_row(spark, rule):
         assert (bound >= gain * (1 - 1e-12)).all()
         # as good as the gain itself where walks end after two steps
         assert np.allclose(bound, gain) if walk < 3 else (bound - gain).sum() < 0.7 * (plain - gain).sum()
+
+
+def test_the_driver_holds_little_beside_the_edges_of_a_matrix():
+    rng, n = np.random.default_rng(2), 1_000_000
+    src, dst, w = rng.integers(0, 80_000, n) * 3, rng.integers(0, 80_000, n) * 3, rng.random(n)
+    tracemalloc.start()
+    small = graph.SmallMatrix.of(src, dst, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * n
+    assert np.array_equal(np.repeat(small.ids, np.diff(small.starts)), np.sort(src)) and np.array_equal(np.sort(small.ids[small.to]), np.sort(dst))
