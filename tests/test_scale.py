@@ -157,3 +157,12 @@ def test_the_driver_holds_little_beside_the_edges_of_a_matrix():
     tracemalloc.stop()
     assert peak < 50 * n
     assert np.array_equal(np.repeat(small.ids, np.diff(small.starts)), np.sort(src)) and np.array_equal(np.sort(small.ids[small.to]), np.sort(dst))
+
+
+def test_rows_of_three_powers_come_from_tasks_beyond_the_edges_of_two(spark, monkeypatch):
+    p = spark.createDataFrame([(i, (i + d) % 9, 1.0) for i in range(9) for d in (1, 2)], "src long, dst long, w double")
+    want = {(r.src, r.dst): r.w for r in graph.reachability(p, spark.range(9), 3).collect()}
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 6)
+    monkeypatch.setattr(graph, "matmul", None)
+    got = {(r.src, r.dst): r.w for r in graph.reachability(p, spark.range(9), 3).collect()}
+    assert got == want and len(got) == 9 * 7
